@@ -245,12 +245,14 @@ def wasserstein_drift(ref: DataFrame, cur: DataFrame, cols: list[str], buckets:
 
 
 def psi_drift(ref: DataFrame, cur: DataFrame, cols: list[str], threshold: float = PSI_THRESHOLD,
-              eps: float = EPS, exact: bool = True) -> DataFrame:
+              eps: float = EPS, quantiles: str = "auto") -> DataFrame:
     """PSI over 10 bins cut at the reference deciles (right-closed)."""
+    from loanlens.operators.profile import quantile_row
     qs = [i / 10.0 for i in range(1, 10)]
-    pct = (lambda c: F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in qs]))) if exact else \
-          (lambda c: F.percentile_approx(F.col(c).cast("double"), qs, 10000))
-    edges = ref.agg(*[pct(c).alias(c) for c in cols]).unpivot([], cols, "feature", "edges")
+    names = [f"d{i}" for i in range(1, 10)]
+    qr = quantile_row(ref, cols, qs, names, quantiles)
+    edges = qr.select(*[F.array(*[F.col(f"{c}__{n}") for n in names]).alias(c) for c in cols]) \
+              .unpivot([], cols, "feature", "edges")
     s = stacked(ref, cur, cols).select("side", *[F.col(c).cast("double").alias(c) for c in cols])
     long = s.unpivot(["side"], cols, "feature", "value").where(F.col("value").isNotNull())
     long = long.join(F.broadcast(edges), "feature")  # one row per column

@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.operators.clean import median_expr
 
 
 @dataclass
@@ -40,19 +39,27 @@ class FittedEncoder:
     # ---------------------------------------------------------------- fit
     @classmethod
     def fit(cls, df: DataFrame, numeric: list[str], categorical: list[str],
-            exact: bool = True) -> "FittedEncoder":
+            quantiles: str = "auto", max_categories: int = 1000) -> "FittedEncoder":
         enc = cls(list(numeric), list(categorical))
-        # pass 1a: medians of every numeric column in one aggregation
+        # pass 1a: exact medians of every numeric column ('auto' picks Spark's
+        # percentile map or the distributed selection per column by its
+        # distinct count; 'approx' = percentile_approx)
         if numeric:
-            row = df.agg(*[median_expr(c, exact).alias(c) for c in numeric]).head()
-            enc.medians = {c: (None if row[c] is None else float(row[c])) for c in numeric}
+            from loanlens.operators.profile import quantile_row
+            row = quantile_row(df, numeric, [0.5], ["median"], quantiles).head()
+            enc.medians = {c: (None if row[f"{c}__median"] is None else float(row[f"{c}__median"]))
+                           for c in numeric}
         # pass 1b: (column, value) counts for all text columns in one grouped
         # aggregation; its output has one row per distinct category (k rows)
         if categorical:
             cnt = (df.select(*categorical).unpivot([], categorical, "feature", "value")
                    .where(F.col("value").isNotNull())
                    .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
-            rows = cnt.collect()
+            sizes = {r["feature"]: r["count"] for r in cnt.groupBy("feature").count().collect()}
+            wide = {c: n for c, n in sizes.items() if n > max_categories}
+            if wide:  # checked before anything is collected
+                raise ValueError(f"too many categories to one-hot encode: {wide} (> {max_categories})")
+            rows = cnt.collect()  # one row per distinct category, at most max_categories each
             by: dict[str, list[tuple[str, int]]] = {c: [] for c in categorical}
             for r in rows:
                 by[r["feature"]].append((r["value"], r["n"]))

@@ -25,6 +25,44 @@ def _pct(c: str | Column, qs: list[float], exact: bool = True) -> Column:
     return F.transform(F.percentile_approx(c, qs, 10000), lambda x: x.cast("double"))
 
 
+MAP_QUANTILE_MAX_DISTINCT = 100_000
+
+
+def quantile_row(df: DataFrame, cols: list[str], qs: list[float], names: list[str],
+                 mode: str = "auto", groups: list[str] | None = None) -> DataFrame:
+    """One row per group with ``<col>__<name>`` quantile columns (exact, interpolated).
+
+    ``map``: Spark's ``percentile`` (a map of distinct values per group;
+    memory grows with the number of distinct values);
+    ``distributed``: the scalable selection of ``operators.quantiles``;
+    ``auto`` (default): one HyperLogLog pass (``approx_count_distinct``)
+    picks ``map`` for columns with <= 100k distinct values and
+    ``distributed`` for the rest; ``approx``: ``percentile_approx``.
+    """
+    from loanlens.operators.quantiles import quantiles_wide
+    groups = list(groups or [])
+    if mode == "auto":
+        ndv = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).head()
+        small = [c for c in cols if ndv[c] <= MAP_QUANTILE_MAX_DISTINCT]
+        big = [c for c in cols if c not in small]
+        parts = []
+        if small:
+            parts.append(quantile_row(df, small, qs, names, "map", groups))
+        if big:
+            parts.append(quantile_row(df, big, qs, names, "distributed", groups))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.join(p, groups, "full") if groups else out.crossJoin(p)
+        return out
+    if mode == "distributed":
+        return quantiles_wide(df, cols, qs, groups, names)
+    aggs = []
+    for c in cols:
+        arr = _pct(F.col(c).cast("double"), qs, exact=(mode == "map"))
+        aggs += [arr[i].alias(f"{c}__{n}") for i, n in enumerate(names)]
+    return df.groupBy(*groups).agg(*aggs)
+
+
 def _stack_structs(row_df: DataFrame, names: list[str], var: str = "feature") -> DataFrame:
     """One-row frame whose columns are structs of equal type -> long rows."""
     return row_df.unpivot([], names, var, "s").select(var, "s.*")
@@ -46,17 +84,23 @@ def profile_info(df: DataFrame) -> DataFrame:
 
 # --- B3 / B4 ---------------------------------------------------------------
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, quantiles: str = "auto") -> DataFrame:
+    """count, mean, sample std, min, quartiles, max per numeric column.
+
+    Moments in one aggregation, quartiles from ``quantile_row``; both are
+    one-row frames joined as constants.
+    """
     cols = cols or numeric_columns(df)
-    aggs = []
-    for c in cols:
-        q = _pct(F.col(c).cast("double"), [0.25, 0.5, 0.75], exact)
-        aggs.append(F.struct(
-            F.count(F.col(c)).alias("count"), F.avg(F.col(c)).alias("mean"),
-            F.stddev_samp(F.col(c)).alias("std"), F.min(F.col(c)).cast("double").alias("min"),
-            q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"),
-            F.max(F.col(c)).cast("double").alias("max")).alias(c))
-    return _stack_structs(df.agg(*aggs), cols)
+    mom = df.agg(*[F.struct(F.count(F.col(c)).alias("count"), F.avg(F.col(c)).alias("mean"),
+                            F.stddev_samp(F.col(c)).alias("std"), F.min(F.col(c)).cast("double").alias("min"),
+                            F.max(F.col(c)).cast("double").alias("max")).alias(f"{c}__m") for c in cols])
+    qr = quantile_row(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], quantiles)
+    row = mom.crossJoin(qr).select(*[F.struct(
+        F.col(f"{c}__m.count").alias("count"), F.col(f"{c}__m.mean").alias("mean"),
+        F.col(f"{c}__m.std").alias("std"), F.col(f"{c}__m.min").alias("min"),
+        F.col(f"{c}__q25").alias("q25"), F.col(f"{c}__q50").alias("q50"), F.col(f"{c}__q75").alias("q75"),
+        F.col(f"{c}__m.max").alias("max")).alias(c) for c in cols])
+    return _stack_structs(row, cols)
 
 
 def describe_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -162,18 +206,16 @@ def sample_skew(c: str) -> Column:
     return F.when(n >= 3, F.skewness(F.col(c)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def iqr_outliers(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+def iqr_outliers(df: DataFrame, cols: list[str], quantiles: str = "auto") -> DataFrame:
     """IQR rule per column: q1, q3, bounds, outliers (strict), percent of all rows, skew.
 
-    Pass 1: one-row aggregate of quartiles and skewness for every column.
+    Pass 1: quartiles of every column (``quantile_row``) and one aggregation
+    of skewness and row count, joined as one constant row.
     Pass 2: that row is broadcast-joined back and all outlier counts are
     conditional sums of a single aggregation.
     """
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in cols:
-        q = _pct(F.col(c).cast("double"), [0.25, 0.75], exact)
-        aggs += [q[0].alias(f"{c}__q1"), q[1].alias(f"{c}__q3"), sample_skew(c).alias(f"{c}__skew")]
-    stats = df.agg(*aggs)
+    mom = df.agg(F.count(F.lit(1)).alias("_n"), *[sample_skew(c).alias(f"{c}__skew") for c in cols])
+    stats = mom.crossJoin(quantile_row(df, cols, [0.25, 0.75], ["q1", "q3"], quantiles))
     joined = df.select(*cols).crossJoin(F.broadcast(stats))
     aggs2 = [F.first("_n").alias("_n")]
     for c in cols:
@@ -216,11 +258,11 @@ def rate_by(df: DataFrame, x: str, hue: str = "loan_status") -> DataFrame:
 
 
 def box_summary(df: DataFrame, value: str, by: str | None = "loan_status",
-                exact: bool = True) -> DataFrame:
+                quantiles: str = "auto") -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers (last value inside 1.5 IQR), outliers."""
     keys = [by] if by else []
-    q = _pct(F.col(value).cast("double"), [0.25, 0.5, 0.75], exact)
-    stats = df.groupBy(*keys).agg(q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
+    stats = quantile_row(df, [value], [0.25, 0.5, 0.75], ["q1", "median", "q3"], quantiles, keys) \
+        .select(*keys, *[F.col(f"{value}__{n}").alias(n) for n in ("q1", "median", "q3")])
     stats = stats.withColumn("lower", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
                  .withColumn("upper", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     # k-row side (one row per class): broadcast join, no shuffle of the rows.

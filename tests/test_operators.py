@@ -171,3 +171,15 @@ def test_psi_zero_on_identical_sides(spark, sf):
     assert all(abs(r.psi) < 1e-12 for r in psi)
     ks = D.ks_drift(df, df, ["person_income"]).head()
     assert ks.ks_stat == 0.0 and ks.p_value == 1.0
+
+
+def test_distributed_quantiles_equal_percentile(spark, sf):
+    from loanlens.operators.quantiles import quantiles_long
+    from loanlens.plans.base import feat
+    df = feat(spark, sf)
+    cols, ps = ["person_income", "loan_to_income", "loan_int_rate"], [0.1, 0.25, 0.5, 0.9]
+    got = {(r.feature, r.p): r.value for r in quantiles_long(df, cols, ps).collect()}
+    ref = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in ps])).alias(c) for c in cols]).head()
+    for c in cols:
+        for i, p in enumerate(ps):
+            assert got[(c, p)] == pytest.approx(ref[c][i], rel=1e-12)
