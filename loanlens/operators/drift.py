@@ -15,6 +15,7 @@ distance and chi-square for text columns.
 from __future__ import annotations
 
 import html
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,8 +114,8 @@ def top_categories(ref: DataFrame, cur: DataFrame, cols: list[str], k: int = 3)
     s = s.select("side", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias(c) for c in cols])
     long = s.unpivot(["side"], cols, "feature", "value")
     g = long.groupBy("side", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("side", "feature").orderBy(F.desc("n"), F.asc("value"))
-    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    from loanlens.operators.ranks import top_k as _top_k
+    return _top_k(g, ["side", "feature"], [F.desc("n"), F.asc("value")], k, "value")
 
 
 def drift_summary(ref: DataFrame, cur: DataFrame, target: str = "default",
@@ -184,32 +185,57 @@ def _value_hist(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
         F.count_if(F.col("side") == "current").alias("n_cur"))
 
 
-def _range_bucket(h: DataFrame, buckets: int) -> tuple[DataFrame, Column]:
+def _ecdf(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = 4096) -> DataFrame:
+    """Merged histogram with both empirical CDFs and the next distinct value.
+
+    Rows are bucketed by value range per column; bucket totals (and each
+    bucket's first value) form a small table whose running sums are the
+    offsets. One window over (feature, bucket) then yields the inclusive
+    running counts and ``lead(value)``; the last value of a bucket takes the
+    first value of the next non-empty bucket. No window spans a whole column.
+    """
+    h = _value_hist(ref, cur, cols)
     rng = h.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    h = h.join(F.broadcast(rng), "feature")  # one row per column
     b = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
                                    * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int")
-    return h, b
+    h = h.join(F.broadcast(rng), "feature").withColumn("_bk", b).drop("_lo", "_hi")
+    tot = h.groupBy("feature", "_bk").agg(F.sum("n_ref").alias("_tr"), F.sum("n_cur").alias("_tc"),
+                                          F.min("value").alias("_fv"))
+    wb = Window.partitionBy("feature").orderBy("_bk")  # <= buckets rows per column
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("feature")
+    offs = tot.select("feature", "_bk",
+                      F.coalesce(F.sum("_tr").over(before), F.lit(0)).alias("_or"),
+                      F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"),
+                      F.lead("_fv").over(wb).alias("_nb"),
+                      F.sum("_tr").over(whole).alias("tot_ref"), F.sum("_tc").over(whole).alias("tot_cur"))
+    w = Window.partitionBy("feature", "_bk").orderBy("value")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    j = h.join(F.broadcast(offs), ["feature", "_bk"])
+    return j.select("feature", "value", "tot_ref", "tot_cur",
+                    ((F.sum("n_ref").over(upto) + F.col("_or")) / F.col("tot_ref")).alias("F_ref"),
+                    ((F.sum("n_cur").over(upto) + F.col("_oc")) / F.col("tot_cur")).alias("F_cur"),
+                    F.coalesce(F.lead("value").over(w), F.col("_nb")).alias("next_value"))
 
 
-def _ecdf(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = 4096) -> DataFrame:
-    """Merged histogram with both empirical CDFs at every distinct value."""
-    h = _value_hist(ref, cur, cols)
-    h, b = _range_bucket(h, buckets)
-    c = cumulative(h, b, [F.col("value")], ["n_ref", "n_cur"], groups=["feature"])
-    tot = h.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
-    c = c.join(F.broadcast(tot), "feature")
-    return c.withColumn("F_ref", F.col("n_ref_cum") / F.col("tot_ref")) \
-            .withColumn("F_cur", F.col("n_cur_cum") / F.col("tot_cur"))
-
-
-def ks_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
-    """Asymptotic two-sample KS p-value Q(sqrt(nm/(n+m)) * D), clipped to [0, 1]."""
-    lam = F.sqrt(n * m / (n + m)) * d
-    q = None
-    for k in range(1, terms + 1):
+def ks_pvalue(lam: Column) -> Column:
+    """Asymptotic two-sample KS p-value Q(lam), lam = sqrt(nm/(n+m)) D.
+
+    Two fast-converging forms of the Kolmogorov distribution: for lam < 1,
+    Q = 1 - sqrt(2 pi)/lam * sum_k exp(-(2k-1)^2 pi^2 / (8 lam^2)) (6 terms);
+    otherwise Q = 2 sum_k (-1)^(k-1) exp(-2 k^2 lam^2) (8 terms). Clipped to
+    [0, 1]; 1 for lam < 0.05.
+    """
+    small = None
+    for k in range(1, 7):
+        t = F.exp(F.lit(-((2 * k - 1) ** 2) * math.pi ** 2 / 8.0) / (lam * lam))
+        small = t if small is None else small + t
+    small = F.lit(1.0) - F.lit(math.sqrt(2 * math.pi)) / lam * small
+    large = None
+    for k in range(1, 9):
         t = F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * lam * lam)
-        q = t if q is None else q + t
+        large = t if large is None else large + t
+    q = F.when(lam < 1.0, small).otherwise(large)
     return F.when(lam < 0.05, F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
 
 
@@ -218,29 +244,17 @@ def ks_drift(ref: DataFrame, cur: DataFrame, cols: list[str], p_threshold: float
     e = _ecdf(ref, cur, cols)
     g = e.groupBy("feature").agg(F.max(F.abs(F.col("F_ref") - F.col("F_cur"))).alias("ks_stat"),
                                  F.first("tot_ref").alias("n_ref"), F.first("tot_cur").alias("n_cur"))
-    g = g.withColumn("p_value", ks_pvalue(F.col("ks_stat"), F.col("n_ref").cast("double"),
-                                          F.col("n_cur").cast("double")))
+    n, m = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
+    g = g.withColumn("_lam", F.sqrt(n * m / (n + m)) * F.col("ks_stat"))
+    g = g.withColumn("p_value", ks_pvalue(F.col("_lam"))).drop("_lam")
     return g.withColumn("drifted", (F.col("p_value") < p_threshold).cast("int"))
 
 
 def wasserstein_drift(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = 4096) -> DataFrame:
-    """W1 = sum |F_ref(x_i) - F_cur(x_i)| * (x_{i+1} - x_i) per numeric column.
-
-    The next distinct value comes from ``lead`` inside value buckets; the
-    last value of a bucket takes the first value of the next non-empty
-    bucket from a small broadcast table.
-    """
+    """W1 = sum |F_ref(x_i) - F_cur(x_i)| * (x_{i+1} - x_i) per numeric column."""
     e = _ecdf(ref, cur, cols, buckets)
-    h, b = _range_bucket(e.drop("_lo", "_hi"), buckets)
-    h = h.withColumn("_bk", b)
-    w = Window.partitionBy("feature", "_bk").orderBy("value")
-    h = h.withColumn("_nx", F.lead("value").over(w))
-    first = h.groupBy("feature", "_bk").agg(F.min("value").alias("_fv"))
-    wl = Window.partitionBy("feature").orderBy("_bk")  # <= buckets rows per column
-    nxt = first.select("feature", "_bk", F.lead("_fv").over(wl).alias("_nb"))
-    j = h.join(F.broadcast(nxt), ["feature", "_bk"])
-    gap = F.coalesce(F.col("_nx"), F.col("_nb")) - F.col("value")
-    return j.groupBy("feature").agg(
+    gap = F.col("next_value") - F.col("value")
+    return e.groupBy("feature").agg(
         F.coalesce(F.sum(F.abs(F.col("F_ref") - F.col("F_cur")) * gap), F.lit(0.0)).alias("wasserstein"))
 
 

@@ -106,19 +106,19 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, quantiles: st
 def describe_categorical(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """count / unique / top / freq per text column; top ties -> smallest value.
 
-    One unpivot + one grouped count: the grouped result has one row per
-    distinct (column, value), so the ranking window runs on k rows.
+    One unpivot + one grouped count (one row per distinct (column, value));
+    the top value comes from a salted two-level top-1, so a high-cardinality
+    column is not ranked in a single task.
     """
     cols = cols or categorical_columns(df)
     long = df.select(*cols).unpivot([], cols, "feature", "value")
     counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("feature").orderBy(F.desc("n"), F.asc("value"))
-    ranked = counts.withColumn("rk", F.row_number().over(w))
-    return ranked.groupBy("feature").agg(
-        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-        F.max(F.when(F.col("rk") == 1, F.col("value"))).alias("top"),
-        F.max(F.when(F.col("rk") == 1, F.col("n"))).alias("freq"))
+    from loanlens.operators.ranks import top_k
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"))
+    top = top_k(counts, ["feature"], [F.desc("n"), F.asc("value")], 1, "value") \
+        .select("feature", F.col("value").alias("top"), F.col("n").alias("freq"))
+    return totals.join(top, "feature")  # k rows each
 
 
 # --- B5 / B6 / B7 ----------------------------------------------------------

@@ -73,3 +73,20 @@ def cumulative(df: DataFrame, bucket: Column, order: list[Column], sums: list[st
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w) + F.col(f"_o_{c}"))
     return out.drop("_bk", *[f"_o_{c}" for c in sums])
+
+
+def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int, salt_col: str,
+          salt: int = 256, name: str = "rank") -> DataFrame:
+    """Rows ranked 1..k within ``groups`` by ``order`` (exact, two levels).
+
+    Level 1 keeps the top k inside (groups, hash(salt_col) mod salt); level 2
+    ranks the at most salt x k survivors per group. A group with many
+    distinct rows (a high-cardinality column) is thus spread over ``salt``
+    tasks instead of one. ``order`` must be a total order (include a
+    tiebreaker) for the result to be deterministic.
+    """
+    s = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salt))
+    w1 = Window.partitionBy(*groups, s).orderBy(*order)
+    first = df.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1")
+    w2 = Window.partitionBy(*groups).orderBy(*order)
+    return first.withColumn(name, F.row_number().over(w2)).where(F.col(name) <= k)

@@ -6,6 +6,8 @@ rest. Both are the cleaned, derived feature table without key and time.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from loanlens.operators import drift as D
@@ -120,8 +122,10 @@ ECDF = ("hv AS (SELECT feature, value, count(*) FILTER (WHERE side = 'reference'
 
 def _ks_p_sql(d: str, n: str, m: str) -> str:
     lam = f"(sqrt({n}*{m}/({n}+{m}))*{d})"
-    terms = " + ".join(f"{2.0 * (-1) ** (k - 1)!r}*exp({-2.0 * k * k!r}*{lam}*{lam})" for k in range(1, 101))
-    return f"CASE WHEN {lam} < 0.05e0 THEN 1e0 ELSE least(greatest({terms}, 0e0), 1e0) END"
+    small = " + ".join(f"exp({-((2 * k - 1) ** 2) * math.pi ** 2 / 8.0!r} / ({lam}*{lam}))" for k in range(1, 7))
+    large = " + ".join(f"{2.0 * (-1) ** (k - 1)!r}*exp({-2.0 * k * k!r}*{lam}*{lam})" for k in range(1, 9))
+    q = f"CASE WHEN {lam} < 1e0 THEN 1e0 - {math.sqrt(2 * math.pi)!r} / {lam} * ({small}) ELSE {large} END"
+    return f"CASE WHEN {lam} < 0.05e0 THEN 1e0 ELSE least(greatest({q}, 0e0), 1e0) END"
 
 
 @register("ks_drift", rounded(with_(*SIDES, NUM_LONG, *ECDF,
