@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loanlens.operators.clean import clean_applications, filter_outliers
 from loanlens.operators.features import derive_features
+from loanlens.sources.stages import stage
 from loanlens.sources.tables import FEATURES_RAW, TARGET, applications
 
 NUMERIC_RAW = ["person_age", "person_income", "person_emp_length", "loan_amnt",
@@ -16,8 +17,13 @@ TEXT_RAW = ["person_home_ownership", "loan_intent", "loan_grade", "cb_person_def
 assert set(NUMERIC_RAW) | set(TEXT_RAW) == set(FEATURES_RAW)
 
 
+def _inputs(d: str) -> list[str]:
+    return [f"{d.rstrip('/')}/orders.parquet", f"{d.rstrip('/')}/customer.parquet"]
+
+
 def apps(spark: SparkSession, d: str) -> DataFrame:
-    return applications(spark, d)
+    """Stage 1: applications from orders x customer (written once per input)."""
+    return stage(spark, "applications", _inputs(d), lambda: applications(spark, d))
 
 
 def filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +31,8 @@ def filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    return clean_applications(apps(spark, d))
+    """Stage 2: the cleaned table (filters + fills), as the reference persists it."""
+    return stage(spark, "clean", _inputs(d), lambda: clean_applications(apps(spark, d)))
 
 
 def feat(spark: SparkSession, d: str) -> DataFrame:
