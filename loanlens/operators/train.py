@@ -171,22 +171,28 @@ def test_metrics(fm: FittedModel, test: DataFrame, label: str = "label", thresho
 
 
 def cross_validate(df: DataFrame, kinds: list[str], k: int, fold_col: str = "fold",
-                   label: str = "label", **fit_params) -> DataFrame:
+                   label: str = "label", parallelism: int = 4, **fit_params) -> DataFrame:
     """Per model and fold, fit on the other folds and score the held-out fold.
 
-    Returns (model, fold, metrics...). Folds are exact stratified (a column),
-    each fit is a distributed Spark job; the k x models loop is the only
-    driver-side loop and it moves no data.
+    Returns (model, fold, metrics...). Folds are exact stratified (a column);
+    every fit is a distributed Spark job, and up to ``parallelism`` fits are
+    submitted at once from driver threads (as ``CrossValidator`` does). The
+    driver loop moves no data.
     """
-    rows = None
-    for kind in kinds:
-        for f in range(k):
-            tr = df.where(F.col(fold_col) != f)
-            te = df.where(F.col(fold_col) == f)
-            m = test_metrics(fit_model(kind, tr, label=label, **fit_params), te, label) \
-                .withColumn("fold", F.lit(f))
-            rows = m if rows is None else rows.unionByName(m)
-    return rows
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(task):
+        kind, f = task
+        tr = df.where(F.col(fold_col) != f)
+        te = df.where(F.col(fold_col) == f)
+        m = test_metrics(fit_model(kind, tr, label=label, **fit_params), te, label)
+        return m.withColumn("fold", F.lit(f)).collect()  # one row
+
+    tasks = [(kind, f) for kind in kinds for f in range(k)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        rows = [r for part in ex.map(one, tasks) for r in part]
+    schema = "model string, accuracy double, precision double, recall double, f1 double, roc_auc double, fold int"
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
 
 
 def cv_summary(per_fold: DataFrame) -> DataFrame:
