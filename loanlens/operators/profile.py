@@ -146,9 +146,9 @@ def half_up(c: Column, digits: int) -> Column:
 
 
 def class_balance(df: DataFrame, target: str = "loan_status") -> DataFrame:
-    g = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    tot = F.sum("n").over(Window.partitionBy())  # 2-row frame, single partition is fine
-    return g.select(target, "n", half_up(F.col("n") * 100.0 / tot, 2).alias("pct"))
+    g = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))  # one row per class
+    tot = g.agg(F.sum("n").alias("_tot"))
+    return g.crossJoin(F.broadcast(tot)).select(target, "n", half_up(F.col("n") * 100.0 / F.col("_tot"), 2).alias("pct"))
 
 
 # --- B8 / B9 ---------------------------------------------------------------

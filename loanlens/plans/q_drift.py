@@ -90,7 +90,8 @@ TOP = ("tc AS (SELECT side, feature, value, n, row_number() OVER (PARTITION BY s
        ") GROUP BY side, feature, value))")
 
 
-@register("top_categories_drift", with_(*SIDES, TOP) + "SELECT side, feature, value, n, rank FROM tc WHERE rank <= 3")
+@register("top_categories_drift", with_(*SIDES, TOP) +
+          "SELECT side, feature, value, n, CAST(rank AS INT) AS rank FROM tc WHERE rank <= 3")
 def top_categories_drift(spark, d):
     """Top 3 values per side and text column."""
     ref, cur = sides(spark, d)
