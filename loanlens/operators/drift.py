@@ -351,3 +351,13 @@ def quality_by_side(ref: DataFrame, cur: DataFrame, label: str, score: str | Non
     auc = c.groupBy("side").agg(F.try_divide(F.sum(F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2.0)),
                                              F.sum("neg") * F.sum("pos")).alias("roc_auc"))
     return metrics_from_counts(cm).join(auc, "side")
+
+
+def write_report(ref: DataFrame, cur: DataFrame, out_dir: str, target: str = "default",
+                 exclude: tuple[str, ...] = ()) -> str:
+    """A10: drift summary table (Parquet) and the HTML report next to it."""
+    from loanlens.sources.io import write_table, write_text
+    t = resolve_target(ref, cur, target)
+    write_table(drift_summary(ref, cur, t, exclude), f"{out_dir}/drift_summary")
+    write_text(ref.sparkSession, report_html(ref, cur, t, exclude), f"{out_dir}/monitoring_report.html")
+    return out_dir

@@ -183,3 +183,22 @@ def test_distributed_quantiles_equal_percentile(spark, sf):
     for c in cols:
         for i, p in enumerate(ps):
             assert got[(c, p)] == pytest.approx(ref[c][i], rel=1e-12)
+
+
+def test_csv_roundtrip_and_report_files(spark, sf):
+    import uuid
+    from loanlens.plans.base import apps
+    from loanlens.session import scratch_path
+    from loanlens.sources.io import write_table
+    from loanlens.sources.tables import read_applications_csv
+    base = scratch_path(spark, "io-" + uuid.uuid4().hex[:8])
+    a = apps(spark, sf)
+    write_table(a, base + "/csv", "csv")
+    back = read_applications_csv(spark, base + "/csv")
+    assert back.count() == a.count() and back.columns == a.columns
+    assert back.exceptAll(a).count() == 0
+    ref, cur = _pair(spark, "default")
+    D.write_report(ref, cur, base + "/report")
+    html = "\n".join(r.value for r in spark.read.text(base + "/report/monitoring_report.html").collect())
+    assert "Monitoring summary" in html and "Target drift" in html
+    assert spark.read.parquet(base + "/report/drift_summary").count() == 1
