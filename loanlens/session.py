@@ -31,7 +31,10 @@ def get_spark(master: str | None = None, partitions: int = 8,
         .config("spark.driver.memory", os.environ.get("LOANLENS_DRIVER_MEM", "16g"))
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # noqa: BLE001 - Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -46,7 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="loanlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext; it reads the conf
+        pass
     return d
 
 

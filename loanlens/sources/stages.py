@@ -23,7 +23,10 @@ from loanlens.session import scratch_path
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
+    """Hadoop FileSystem handle (classic sessions); None under Spark Connect."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return None, None
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -33,11 +36,27 @@ def input_stamp(spark: SparkSession, paths: list[str]) -> str:
     parts = []
     for path in paths:
         p, fs = _fs(spark, path)
-        st = fs.getContentSummary(p)
-        parts.append(f"{path}:{st.getLength()}:{fs.getFileStatus(p).getModificationTime()}")
+        if fs is not None:
+            st = fs.getContentSummary(p)
+            parts.append(f"{path}:{st.getLength()}:{fs.getFileStatus(p).getModificationTime()}")
+        else:  # file listing through the binaryFile source; ``content`` is pruned, not read
+            rows = (spark.read.format("binaryFile").load(path)
+                    .selectExpr("sum(length) AS n", "max(modificationTime) AS t").collect())
+            parts.append(f"{path}:{rows[0]['n']}:{rows[0]['t']}")
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    done, fs = _fs(spark, path + "/_SUCCESS")
+    if fs is not None:
+        return bool(fs.exists(done))
+    try:
+        spark.read.parquet(path).schema  # noqa: B018 - listing only
+        return True
+    except Exception:  # noqa: BLE001 - missing path
+        return False
+
+
 def enabled(spark: SparkSession) -> bool:
     return spark.conf.get("loanlens.stages.enabled", "true").lower() == "true"
 
@@ -47,7 +66,6 @@ def stage(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
     if not enabled(spark):
         return build()
     path = scratch_path(spark, f"stage-{name}-{input_stamp(spark, inputs)}")
-    done, fs = _fs(spark, path + "/_SUCCESS")
-    if not fs.exists(done):
+    if not _exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
