@@ -39,10 +39,10 @@ def feat(spark: SparkSession, d: str) -> DataFrame:
     return derive_features(clean(spark, d), mode="train")
 
 
-def pseudo_score(df: DataFrame) -> DataFrame:
-    """(app_id, label, score) with a deterministic, tie-rich score."""
+def pseudo_score(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(app_id, label, score [, keep...]) with a deterministic, tie-rich score."""
     score = ((F.col("app_id") * 7907) % 1000) / F.lit(2000.0) + F.col(TARGET) * F.lit(0.25)
-    return df.select("app_id", F.col(TARGET).alias("label"), score.alias("score"))
+    return df.select("app_id", F.col(TARGET).alias("label"), score.alias("score"), *keep)
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:

@@ -226,14 +226,13 @@ _SCORED_SIDES = ("qs AS (SELECT CASE WHEN a.app_ts < TIMESTAMP '2000-01-01' THEN
           "coalesce(2*tp / nullif(CAST(2*tp + fp + fn AS DOUBLE), 0), 0e0) AS f1, roc_auc FROM cm JOIN au ON cm.side = au.side",
           ["accuracy", "precision", "recall", "f1", "roc_auc"]))
 def quality_by_side(spark, d):
-    """Classification quality per side (pseudo score, threshold 0.5)."""
-    s = scored(spark, d)
+    """Classification quality per side (pseudo score, threshold 0.5); the
+    side comes from the same row, so no join is needed."""
+    from loanlens.plans.base import clean, pseudo_score
+    s = pseudo_score(clean(spark, d), keep=("app_ts",))
     cut = F.lit(CUTOFF).cast("timestamp_ntz")
-    ts = feat(spark, d).select("app_id", "app_ts")
-    j = s.join(ts, "app_id")
-    ref = j.where(F.col("app_ts") < cut)
-    cur = j.where(F.col("app_ts") >= cut)
-    return D.quality_by_side(ref, cur, "label", "score", 0.5)
+    return D.quality_by_side(s.where(F.col("app_ts") < cut), s.where(F.col("app_ts") >= cut),
+                             "label", "score", 0.5)
 
 
 @register("decision_columns", rounded(with_(CLEAN, PSEUDO) +
