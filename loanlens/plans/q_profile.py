@@ -202,19 +202,27 @@ def top_outlier_features(spark, d):
 
 # ---------------------------------------------------------------- box / hist / kde
 
-@register("box_by_status", rounded(with_(CLEAN,
-    "s AS (SELECT loan_status, quantile_cont(loan_int_rate, 0.25) AS q1, quantile_cont(loan_int_rate, 0.5) AS median, "
-    "quantile_cont(loan_int_rate, 0.75) AS q3 FROM clean GROUP BY loan_status)",
-    "bx AS (SELECT *, q1 - 1.5e0*(q3 - q1) AS lower, q3 + 1.5e0*(q3 - q1) AS upper FROM s)") +
-    "SELECT bx.loan_status, q1, median, q3, lower, upper, "
-    "CAST(min(CASE WHEN v >= lower AND v <= upper THEN v END) AS DOUBLE) AS whisker_low, "
-    "CAST(max(CASE WHEN v >= lower AND v <= upper THEN v END) AS DOUBLE) AS whisker_high, "
-    "count(CASE WHEN v IS NOT NULL AND NOT (v >= lower AND v <= upper) THEN 1 END) AS n_outliers, count(v) AS n "
-    "FROM (SELECT loan_status, loan_int_rate AS v FROM clean) cv JOIN bx ON cv.loan_status = bx.loan_status "
-    "GROUP BY bx.loan_status, q1, median, q3, lower, upper",
-    ["q1", "median", "q3", "lower", "upper", "whisker_low", "whisker_high"]))
+def _box_sql(c: str) -> str:
+    return (f"SELECT '{c}' AS feature, bx.loan_status, q1, median, q3, lower, upper, "
+            "CAST(min(CASE WHEN v >= lower AND v <= upper THEN v END) AS DOUBLE) AS whisker_low, "
+            "CAST(max(CASE WHEN v >= lower AND v <= upper THEN v END) AS DOUBLE) AS whisker_high, "
+            "count(CASE WHEN v IS NOT NULL AND NOT (v >= lower AND v <= upper) THEN 1 END) AS n_outliers, count(v) AS n "
+            f"FROM (SELECT loan_status, {c} AS v FROM clean) cv JOIN (SELECT *, q1 - 1.5e0*(q3 - q1) AS lower, "
+            f"q3 + 1.5e0*(q3 - q1) AS upper FROM (SELECT loan_status, quantile_cont({c}, 0.25) AS q1, "
+            f"quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3 FROM clean GROUP BY loan_status)) bx "
+            "ON cv.loan_status = bx.loan_status GROUP BY bx.loan_status, q1, median, q3, lower, upper")
+
+
+_BOX_COLS = ["loan_int_rate", "loan_percent_income"]
+
+
+@register("box_by_status", rounded(with_(CLEAN) + " UNION ALL ".join(_box_sql(c) for c in _BOX_COLS),
+                                   ["q1", "median", "q3", "lower", "upper", "whisker_low", "whisker_high"]))
 def box_by_status(spark, d):
-    return P.box_summary(clean(spark, d), "loan_int_rate", TARGET)
+    """Box summaries by loan status of the two columns most linked to the target."""
+    df = clean(spark, d)
+    parts = [P.box_summary(df, c, TARGET).withColumn("feature", F.lit(c)) for c in _BOX_COLS]
+    return parts[0].unionByName(parts[1])
 
 
 @register("histogram_income", rounded(with_(CLEAN,

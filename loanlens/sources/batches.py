@@ -10,14 +10,24 @@ from loanlens.operators.rules import ALL_FIELDS
 BATCH_CAP = 100  # records per request envelope
 
 
-def to_envelopes(df: DataFrame, key: str = "app_id", size: int = BATCH_CAP) -> DataFrame:
-    """Pack records into envelopes of at most ``size`` (by key ranges of ``size``).
-
-    Each group holds at most ``size`` rows, so ``collect_list`` is bounded.
+def to_envelopes(df: DataFrame, key: str = "app_id", size: int = BATCH_CAP, by: str = "key") -> DataFrame:
+    """Pack records into envelopes of at most ``size`` records.
+
+    ``by='key'``: envelope = floor(key / size), for a unique integer key (the
+    registered query uses the order key); ``by='position'``: envelope =
+    floor(monotonically_increasing_id / size), i.e. consecutive rows of one
+    input partition, so a group never exceeds ``size`` whatever the key
+    distribution (deterministic for a deterministic input order).
+    Either way ``collect_list`` works on a bounded group.
     """
     rec = F.struct(F.col(key), *[F.col(c) for c in ALL_FIELDS])
-    return df.groupBy(F.floor(F.col(key) / size).alias("batch_id")).agg(
-        F.array_sort(F.collect_list(rec)).alias("applications"))
+    if by == "key":
+        env = F.floor(F.col(key) / size)
+    elif by == "position":
+        env = F.floor(F.monotonically_increasing_id() / size)
+    else:
+        raise ValueError(by)
+    return df.groupBy(env.alias("batch_id")).agg(F.array_sort(F.collect_list(rec)).alias("applications"))
 
 
 def explode_envelopes(env: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from the raw scans.
 from __future__ import annotations
 
 import hashlib
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,11 +63,27 @@ def enabled(spark: SparkSession) -> bool:
     return spark.conf.get("loanlens.stages.enabled", "true").lower() == "true"
 
 
+_LOCK = threading.Lock()
+
+
 def stage(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
-    """Return the stage table ``name`` for ``inputs``, writing it on first use."""
+    """Return the stage table ``name`` for ``inputs``, writing it on first use.
+
+    The table is written to a temporary sibling and renamed into place, so a
+    reader never sees a half-written stage and two concurrent builders do not
+    corrupt each other (the loser's copy is removed).
+    """
     if not enabled(spark):
         return build()
     path = scratch_path(spark, f"stage-{name}-{input_stamp(spark, inputs)}")
-    if not _exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
+    with _LOCK:
+        if not _exists(spark, path):
+            tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+            build().write.mode("overwrite").parquet(tmp)
+            src, fs = _fs(spark, tmp)
+            if fs is None:  # Spark Connect: no file system handle; read the temp copy
+                return spark.read.parquet(tmp)
+            dst, _ = _fs(spark, path)
+            if not fs.rename(src, dst):  # another builder won: keep theirs
+                fs.delete(src, True)
     return spark.read.parquet(path)

@@ -202,3 +202,42 @@ def test_csv_roundtrip_and_report_files(spark, sf):
     html = "\n".join(r.value for r in spark.read.text(base + "/report/monitoring_report.html").collect())
     assert "Monitoring summary" in html and "Target drift" in html
     assert spark.read.parquet(base + "/report/drift_summary").count() == 1
+
+
+def test_top_k_equals_global_window(spark):
+    from loanlens.operators.ranks import top_k
+    df = spark.range(0, 5000).select((F.col("id") % 4).alias("g"), (F.col("id") % 97).cast("string").alias("v"),
+                                     ((F.col("id") * 31) % 113).alias("n"))
+    order = [F.desc("n"), F.asc("v")]
+    a = top_k(df, ["g"], order, 3, "v", salt=16).select("g", "v", "n", "rank")
+    w = Window.partitionBy("g").orderBy(*order)
+    b = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3).select("g", "v", "n", "rank")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_cumulative_equals_global_running_sum(spark):
+    from loanlens.operators.ranks import cumulative
+    df = spark.range(0, 2000).select((((F.col("id") * 7919) % 2000) / 2000.0).alias("s"), (F.col("id") % 3).alias("x"))
+    a = cumulative(df, score_bucket("s", 32), [F.col("s")], ["x"]).select("s", "x_cum")
+    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    b = df.select("s", F.sum("x").over(w).alias("x_cum"))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_grouped_distributed_quantiles(spark, sf):
+    from loanlens.operators.quantiles import quantiles_long
+    df = clean(spark, sf)
+    got = {(r.loan_status, r.p): r.value for r in quantiles_long(df, ["person_income"], [0.25, 0.5], ["loan_status"]).collect()}
+    ref = df.groupBy("loan_status").agg(F.percentile("person_income", F.array(F.lit(0.25), F.lit(0.5))).alias("q")).collect()
+    for r in ref:
+        assert got[(r.loan_status, 0.25)] == pytest.approx(r.q[0]) and got[(r.loan_status, 0.5)] == pytest.approx(r.q[1])
+
+
+def test_envelopes_are_bounded_and_lossless(spark, sf):
+    from loanlens.plans.base import apps
+    from loanlens.sources.batches import explode_envelopes, to_envelopes
+    a = apps(spark, sf)
+    for by in ("key", "position"):
+        env = to_envelopes(a, by=by)
+        assert env.select(F.max(F.size("applications"))).head()[0] <= 100
+        assert explode_envelopes(env).count() == a.count()
