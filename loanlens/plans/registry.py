@@ -52,4 +52,4 @@ def load_all() -> None:
     """Import every query module so that its ``register`` calls run."""
     from loanlens.plans import (  # noqa: F401
         q_profile, q_clean, q_rules, q_features, q_encode, q_split, q_evaluate,
-        q_drift, q_models, q_stream)
+        q_drift, q_models, q_stream, q_generic)
