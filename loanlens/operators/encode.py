@@ -216,7 +216,7 @@ def variance_keep(enc_df: DataFrame, names: list[str], threshold: float = 0.01)
 
 def importance_filter(enc_df: DataFrame, names: list[str], label: str = "loan_status",
                       threshold: float = 0.01, num_trees: int = 100, seed: int = 42,
-                      max_depth: int = 5) -> DataFrame:
+                      max_depth: int = 12) -> DataFrame:
     """forest importances; keep >= threshold, ordered by importance desc."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler

@@ -37,6 +37,20 @@ from loanlens.operators.evaluate import evaluate_all
 
 MODELS = ("logreg", "forest", "gbt", "svm")
 
+# The reference's tuning grids, mapped to Spark parameters
+# (n_estimators -> maxIter / numTrees, max_depth -> maxDepth, learning_rate
+# -> stepSize, subsample -> subsamplingRate, min_samples_leaf ->
+# minInstancesPerNode; min_samples_split has no Spark equivalent).
+REFERENCE_GRIDS = {
+    "gbt": {"maxIter": [100, 200, 300], "maxDepth": [4, 5, 6], "stepSize": [0.01, 0.05, 0.1],
+            "subsamplingRate": [0.8, 0.9, 1.0]},
+    "forest": {"numTrees": [100, 200, 300], "maxDepth": [10, 15, 20], "minInstancesPerNode": [2, 4, 6]},
+}
+SMALL_GRIDS = {
+    "gbt": {"maxDepth": [3, 5], "maxIter": [10, 20]},
+    "forest": {"maxDepth": [5, 10], "numTrees": [10, 20]},
+}
+
 
 def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFrame:
     """Vector of the **selected** named columns only (keeps column pruning upstream)."""
@@ -151,9 +165,11 @@ def fit_model(kind: str, train: DataFrame, features: str = "features", label: st
         fmap = FourierMap.fit(vec.select(*cols), [f"x{i}" for i in range(names_dim)],
                               rff_components, seed)
         z = fmap.transform(balanced_weights(train, label), features, "_rff")
+        total_w = z.agg(F.sum("weight")).head()[0]
+        # C = 1 in the reference's objective -> regParam = 1 / (C * sum(weights)), as for LR
         svc = LinearSVC(featuresCol="_rff", labelCol=label, weightCol="weight", maxIter=100,
-                        regParam=params.get("regParam", 1e-3), rawPredictionCol="_raw",
-                        predictionCol="_pred").fit(z)
+                        regParam=params.get("regParam", 1.0 / (params.get("C", 1.0) * total_w)),
+                        rawPredictionCol="_raw", predictionCol="_pred").fit(z)
         margin = svc.transform(z).withColumn("_margin_v", array_to_vector(
             F.array(vector_to_array("_raw")[1])))
         platt = LogisticRegression(featuresCol="_margin_v", labelCol=label, maxIter=100,
@@ -222,8 +238,9 @@ def grid_search(df: DataFrame, kind: str, grid: dict[str, list], fold_col: str =
         b = b.addGrid(est.getParam(name), values)
     maps = b.build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="recallByLabel", metricLabel=1.0)
+    k = int(df.agg(F.max(fold_col)).head()[0]) + 1  # numFolds must match the fold column
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
+                        numFolds=k, parallelism=parallelism, seed=seed)
     model = cv.fit(data)
     rows = []
     for pm, metric in zip(maps, model.avgMetrics):

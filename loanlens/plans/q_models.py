@@ -59,12 +59,9 @@ def grid_search(spark, d):
     """CrossValidator over the fold column, 2 x 2 grid per model, by recall of class 1."""
     p = prepare(spark, d, k=3)
     rows = []
-    _, r = TR.grid_search(p.train.select("label", "features", "fold"), "gbt",
-                          {"maxDepth": [3, 5], "maxIter": [10, 20]})
-    rows += r
-    _, r = TR.grid_search(p.train.select("label", "features", "fold"), "forest",
-                          {"maxDepth": [5, 10], "numTrees": [10, 20]})
-    rows += r
+    for kind in ("gbt", "forest"):
+        _, r = TR.grid_search(p.train.select("label", "features", "fold"), kind, TR.SMALL_GRIDS[kind])
+        rows += r
     return spark.createDataFrame(rows, "model string, params string, mean_recall double")
 
 

@@ -84,3 +84,19 @@ def test_models_output_probabilities(spark, small_model):
         assert 0.0 <= out[0] <= out[1] <= 1.0
         met = TR.test_metrics(fm, p.test).head()
         assert 0.5 < met.roc_auc <= 1.0
+
+
+def test_offline_flow_and_reloaded_scorer(spark, sf):
+    from loanlens.plans.offline import load_scorer, train_and_select
+    out = scratch_path(spark, "ll-offline-" + uuid.uuid4().hex[:8])
+    res = train_and_select(spark, sf, out, k=2, num_trees=5, gbt_iter=5)
+    assert res["comparison"].count() == 4 and res["cv_summary"].count() == 4
+    assert res["sweep"].count() == 16
+    final = res["final"].head()
+    assert final.threshold == 0.55 and 0.0 <= final.roc_auc <= 1.0
+    scorer = load_scorer(spark, out)
+    assert scorer.threshold == 0.55 and len(scorer.selected) > 0
+    recs = serving_view(apps(spark, sf)).drop("app_ts", "loan_status")
+    scored = scorer(recs)
+    assert scored.count() > 0
+    assert set(scored.columns) >= {"prediction", "probability_default", "risk_level", "recommendation"}
