@@ -260,18 +260,28 @@ def wasserstein_drift(ref: DataFrame, cur: DataFrame, cols: list[str], buckets:
 
 def psi_drift(ref: DataFrame, cur: DataFrame, cols: list[str], threshold: float = PSI_THRESHOLD,
               eps: float = EPS, quantiles: str = "auto") -> DataFrame:
-    """PSI over 10 bins cut at the reference deciles (right-closed)."""
+    """PSI over 10 bins cut at the reference deciles (right-closed).
+
+    The deciles are one row (``quantile_row``), broadcast to every row; each
+    column's bin is the number of deciles strictly below the value (plain
+    comparisons, whole-stage codegen), then the integer bins are unpivoted
+    and counted per side in one aggregation.
+    """
     from loanlens.operators.profile import quantile_row
     qs = [i / 10.0 for i in range(1, 10)]
     names = [f"d{i}" for i in range(1, 10)]
     qr = quantile_row(ref, cols, qs, names, quantiles)
-    edges = qr.select(*[F.array(*[F.col(f"{c}__{n}") for n in names]).alias(c) for c in cols]) \
-              .unpivot([], cols, "feature", "edges")
-    s = stacked(ref, cur, cols).select("side", *[F.col(c).cast("double").alias(c) for c in cols])
-    long = s.unpivot(["side"], cols, "feature", "value").where(F.col("value").isNotNull())
-    long = long.join(F.broadcast(edges), "feature")  # one row per column
-    binned = long.withColumn("bin", F.size(F.filter("edges", lambda e: F.col("value") > e)))
-    cnt = binned.groupBy("feature", "bin").agg(
+    s = stacked(ref, cur, cols).crossJoin(F.broadcast(qr))
+    bins = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        b = None
+        for n in names:
+            t = F.when(x > F.col(f"{c}__{n}"), 1).otherwise(0)
+            b = t if b is None else b + t
+        bins.append(F.when(x.isNotNull(), b).alias(c))
+    long = s.select("side", *bins).unpivot(["side"], cols, "feature", "bin").where(F.col("bin").isNotNull())
+    cnt = long.groupBy("feature", "bin").agg(
         F.count_if(F.col("side") == "reference").alias("n_ref"),
         F.count_if(F.col("side") == "current").alias("n_cur"))
     return _psi_from_counts(cnt, threshold, eps)

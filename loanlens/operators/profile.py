@@ -29,7 +29,8 @@ MAP_QUANTILE_MAX_DISTINCT = 100_000
 
 
 def quantile_row(df: DataFrame, cols: list[str], qs: list[float], names: list[str],
-                 mode: str = "auto", groups: list[str] | None = None) -> DataFrame:
+                 mode: str = "auto", groups: list[str] | None = None,
+                 ndv: dict[str, int] | None = None) -> DataFrame:
     """One row per group with ``<col>__<name>`` quantile columns (exact, interpolated).
 
     ``map``: Spark's ``percentile`` (a map of distinct values per group;
@@ -42,7 +43,8 @@ def quantile_row(df: DataFrame, cols: list[str], qs: list[float], names: list[st
     from loanlens.operators.quantiles import quantiles_wide
     groups = list(groups or [])
     if mode == "auto":
-        ndv = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).head()
+        if ndv is None:  # callers that already scan the data pass ``ndv`` in
+            ndv = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).head().asDict()
         small = [c for c in cols if ndv[c] <= MAP_QUANTILE_MAX_DISTINCT]
         big = [c for c in cols if c not in small]
         parts = []
@@ -87,19 +89,26 @@ def profile_info(df: DataFrame) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, quantiles: str = "auto") -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column.
 
-    Moments in one aggregation, quartiles from ``quantile_row``; both are
-    one-row frames joined as constants.
+    Pass 1: moments and distinct-count sketches of every column in one
+    aggregation (a k-value row reaches the driver); pass 2: quartiles
+    (``quantile_row``, whose method the sketches choose). The moments come
+    back into the plan as literals.
     """
     cols = cols or numeric_columns(df)
-    mom = df.agg(*[F.struct(F.count(F.col(c)).alias("count"), F.avg(F.col(c)).alias("mean"),
-                            F.stddev_samp(F.col(c)).alias("std"), F.min(F.col(c)).cast("double").alias("min"),
-                            F.max(F.col(c)).cast("double").alias("max")).alias(f"{c}__m") for c in cols])
-    qr = quantile_row(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], quantiles)
-    row = mom.crossJoin(qr).select(*[F.struct(
-        F.col(f"{c}__m.count").alias("count"), F.col(f"{c}__m.mean").alias("mean"),
-        F.col(f"{c}__m.std").alias("std"), F.col(f"{c}__m.min").alias("min"),
+    aggs = []
+    for c in cols:
+        aggs += [F.count(F.col(c)).alias(f"{c}__count"), F.avg(F.col(c)).alias(f"{c}__mean"),
+                 F.stddev_samp(F.col(c)).alias(f"{c}__std"), F.min(F.col(c)).cast("double").alias(f"{c}__min"),
+                 F.max(F.col(c)).cast("double").alias(f"{c}__max"),
+                 F.approx_count_distinct(F.col(c)).alias(f"{c}__ndv")]
+    m = df.agg(*aggs).head()
+    qr = quantile_row(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], quantiles,
+                      ndv={c: m[f"{c}__ndv"] for c in cols})
+    row = qr.select(*[F.struct(
+        F.lit(m[f"{c}__count"]).cast("bigint").alias("count"), F.lit(m[f"{c}__mean"]).cast("double").alias("mean"),
+        F.lit(m[f"{c}__std"]).cast("double").alias("std"), F.lit(m[f"{c}__min"]).cast("double").alias("min"),
         F.col(f"{c}__q25").alias("q25"), F.col(f"{c}__q50").alias("q50"), F.col(f"{c}__q75").alias("q75"),
-        F.col(f"{c}__m.max").alias("max")).alias(c) for c in cols])
+        F.lit(m[f"{c}__max"]).cast("double").alias("max")).alias(c) for c in cols])
     return _stack_structs(row, cols)
 
 
@@ -209,13 +218,16 @@ def sample_skew(c: str) -> Column:
 def iqr_outliers(df: DataFrame, cols: list[str], quantiles: str = "auto") -> DataFrame:
     """IQR rule per column: q1, q3, bounds, outliers (strict), percent of all rows, skew.
 
-    Pass 1: quartiles of every column (``quantile_row``) and one aggregation
-    of skewness and row count, joined as one constant row.
+    Pass 1: one aggregation of row count, skewness and distinct-count
+    sketches (k values to the driver), then the quartiles (``quantile_row``).
     Pass 2: that row is broadcast-joined back and all outlier counts are
     conditional sums of a single aggregation.
     """
-    mom = df.agg(F.count(F.lit(1)).alias("_n"), *[sample_skew(c).alias(f"{c}__skew") for c in cols])
-    stats = mom.crossJoin(quantile_row(df, cols, [0.25, 0.75], ["q1", "q3"], quantiles))
+    m = df.agg(F.count(F.lit(1)).alias("_n"), *[sample_skew(c).alias(f"{c}__skew") for c in cols],
+               *[F.approx_count_distinct(F.col(c)).alias(f"{c}__ndv") for c in cols]).head()
+    qr = quantile_row(df, cols, [0.25, 0.75], ["q1", "q3"], quantiles, ndv={c: m[f"{c}__ndv"] for c in cols})
+    stats = qr.select("*", F.lit(m["_n"]).cast("bigint").alias("_n"),
+                      *[F.lit(m[f"{c}__skew"]).cast("double").alias(f"{c}__skew") for c in cols])
     joined = df.select(*cols).crossJoin(F.broadcast(stats))
     aggs2 = [F.first("_n").alias("_n")]
     for c in cols:
