@@ -10,7 +10,6 @@ pairwise-complete Pearson correlation.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -333,7 +332,3 @@ def kde(df: DataFrame, c: str, grid: int = 200, fine_bins: int = 1024) -> DataFr
     # density x data range: dimensionless, O(1), comparable across columns
     return out.crossJoin(F.broadcast(st.select("lo", "hi"))).select(
         "gi", "x", "density", (F.col("density") * (F.col("hi") - F.col("lo"))).alias("scaled_density"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -9,8 +9,6 @@ column, never a positional join.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +59,3 @@ def with_weights(df: DataFrame, label: str = "loan_status", name: str = "weight"
     """Attach the balanced weight column (broadcast join with the k-row weights)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(name))
     return df.join(F.broadcast(w), label)
-
-
-def test_rows(n: int, test_size: float = 0.2) -> int:
-    return math.ceil(n * test_size)

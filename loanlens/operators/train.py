@@ -25,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -262,7 +262,3 @@ def save_pipeline(stages: list[Transformer], path: str) -> None:
 
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def unfitted_pipeline(stages) -> Pipeline:
-    return Pipeline(stages=stages)

@@ -254,3 +254,22 @@ def batch_summary(spark, d):
     """Reply summary of the scored batch."""
     s = scored(spark, d).select("app_id", F.col("score").alias("probability_default"))
     return _batch_summary(_decisions(s, "probability_default", 0.55))
+
+
+@register("dataset_drift", rounded(with_(*SIDES, NUM_LONG, *ECDF, *CAT_CNT,
+          "ks AS (SELECT feature, max(abs(F_ref - F_cur)) AS ks_stat, CAST(max(tot_ref) AS DOUBLE) AS n, "
+          "CAST(max(tot_cur) AS DOUBLE) AS m FROM ec GROUP BY feature)",
+          f"kd AS (SELECT feature, CASE WHEN {_ks_p_sql('ks_stat', 'n', 'm')} < 0.05e0 THEN 1 ELSE 0 END AS drifted FROM ks)",
+          "jp AS (SELECT feature, n_ref / CAST(tot_ref AS DOUBLE) AS p, n_cur / CAST(tot_cur AS DOUBLE) AS q FROM ct)",
+          "jd AS (SELECT feature, CASE WHEN sqrt(greatest(sum(0.5e0 * CASE WHEN p > 0 THEN p * ln(p / ((p + q)/2e0)) ELSE 0e0 END "
+          "+ 0.5e0 * CASE WHEN q > 0 THEN q * ln(q / ((p + q)/2e0)) ELSE 0e0 END), 0e0)) > 0.1e0 THEN 1 ELSE 0 END AS drifted "
+          "FROM jp GROUP BY feature)",
+          "al AS (SELECT drifted FROM kd UNION ALL SELECT drifted FROM jd)") +
+          "SELECT count(*) AS n_columns, CAST(sum(drifted) AS BIGINT) AS n_drifted, sum(drifted) / CAST(count(*) AS DOUBLE) "
+          "AS share_drifted FROM al", ["share_drifted"]))
+def dataset_drift(spark, d):
+    """Share of drifted columns (KS p < 0.05 for numeric, JS > 0.1 for text)."""
+    ref, cur = sides(spark, d)
+    per = D.ks_drift(ref, cur, NUM).select("feature", "drifted").unionByName(
+        D.js_drift(ref, cur, TXT).select("feature", "drifted"))
+    return D.drift_share(per)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from loanlens.operators import evaluate as EV
 from loanlens.plans.base import scored
 from loanlens.plans.registry import register, rounded
