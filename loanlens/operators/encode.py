@@ -2,8 +2,9 @@
 
 ``FittedEncoder`` replaces the reference's ColumnTransformer (median impute +
 standard scale for numbers; most-frequent impute + one-hot for text). The
-fit is two aggregation passes that return k constants (medians, means,
-population stds, modes, sorted category lists); ``transform`` is one
+fit is three aggregation passes (moments + sketches, medians, category
+counts) that return k constants (medians, means, population stds, modes,
+sorted category lists); ``transform`` is one
 ``select`` of named double columns built from those constants, so it works
 the same on a batch DataFrame and on a stream, stays in whole-stage codegen,
 and keeps Catalyst's column pruning (features stay named columns; a
@@ -41,43 +42,57 @@ class FittedEncoder:
     def fit(cls, df: DataFrame, numeric: list[str], categorical: list[str],
             quantiles: str = "auto", max_categories: int = 1000) -> "FittedEncoder":
         enc = cls(list(numeric), list(categorical))
-        # pass 1a: exact medians of every numeric column ('auto' picks Spark's
-        # percentile map or the distributed selection per column by its
-        # distinct count; 'approx' = percentile_approx)
+        # pass 1: per numeric column count, rows, mean, population variance and a
+        # distinct-count sketch, all in one aggregation (k values to the driver)
         if numeric:
             from loanlens.operators.profile import quantile_row
-            row = quantile_row(df, numeric, [0.5], ["median"], quantiles).head()
-            enc.medians = {c: (None if row[f"{c}__median"] is None else float(row[f"{c}__median"]))
-                           for c in numeric}
-        # pass 1b: (column, value) counts for all text columns in one grouped
-        # aggregation; its output has one row per distinct category (k rows)
+            aggs = [F.count(F.lit(1)).alias("_rows")]
+            for c in numeric:
+                x = F.col(c).cast("double")
+                aggs += [F.count(x).alias(f"{c}__c"), F.avg(x).alias(f"{c}__m"), F.var_pop(x).alias(f"{c}__v"),
+                         F.approx_count_distinct(x).alias(f"{c}__ndv")]
+            mom = df.agg(*aggs).head()
+            # pass 2: exact medians ('auto': Spark's percentile map or the
+            # distributed selection per column, chosen by the sketch)
+            qrow = quantile_row(df, numeric, [0.5], ["median"], quantiles,
+                                ndv={c: mom[f"{c}__ndv"] for c in numeric}).head()
+            n = mom["_rows"]
+            for c in numeric:
+                med = qrow[f"{c}__median"]
+                enc.medians[c] = None if med is None else float(med)
+                cnt, mu, var = mom[f"{c}__c"], mom[f"{c}__m"], mom[f"{c}__v"]
+                # mean / population std after imputing the (n - cnt) nulls with the
+                # median: exact parallel-variance combination of the two groups
+                k = n - cnt if med is not None else 0
+                tot = cnt + k
+                if tot == 0:
+                    enc.means[c], enc.stds[c] = 0.0, 1.0
+                    continue
+                mu = mu if mu is not None else 0.0
+                m_all = (cnt * mu + k * (med or 0.0)) / tot
+                m2 = (var or 0.0) * cnt + cnt * (mu - m_all) ** 2 + k * ((med or 0.0) - m_all) ** 2
+                sd = (m2 / tot) ** 0.5
+                enc.means[c] = m_all
+                enc.stds[c] = sd if sd > 0.0 else 1.0
+        # pass 3: (column, value) counts of all text columns in one grouped
+        # aggregation; at most max_categories per column are fetched
         if categorical:
             cnt = (df.select(*categorical).unpivot([], categorical, "feature", "value")
                    .where(F.col("value").isNotNull())
                    .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
-            sizes = {r["feature"]: r["count"] for r in cnt.groupBy("feature").count().collect()}
-            wide = {c: n for c, n in sizes.items() if n > max_categories}
-            if wide:  # checked before anything is collected
-                raise ValueError(f"too many categories to one-hot encode: {wide} (> {max_categories})")
-            rows = cnt.collect()  # one row per distinct category, at most max_categories each
+            cap = max_categories * len(categorical)
+            rows = cnt.limit(cap + 1).collect()  # bounded fetch
             by: dict[str, list[tuple[str, int]]] = {c: [] for c in categorical}
             for r in rows:
                 by[r["feature"]].append((r["value"], r["n"]))
+            wide = {c: len(v) for c, v in by.items() if len(v) > max_categories}
+            if wide or len(rows) > cap:
+                raise ValueError(f"too many categories to one-hot encode (> {max_categories} per column): "
+                                 f"{wide or 'total over cap'}")
             for c in categorical:
                 vals = by[c]
                 enc.modes[c] = min(vals, key=lambda t: (-t[1], t[0]))[0] if vals else None
                 enc.categories[c] = sorted(v for v, _ in vals)
-        # pass 2: mean / population std of the imputed numbers
-        if numeric:
-            imp = [enc._imputed(c) for c in numeric]
-            aggs = []
-            for c, e in zip(numeric, imp):
-                aggs += [F.avg(e).alias(f"{c}__m"), F.stddev_pop(e).alias(f"{c}__s")]
-            row = df.agg(*aggs).head()
-            for c in numeric:
-                m, s = row[f"{c}__m"], row[f"{c}__s"]
-                enc.means[c] = float(m) if m is not None else 0.0
-                enc.stds[c] = float(s) if s not in (None, 0.0) else 1.0
         return enc
 
     # ---------------------------------------------------------- transform
