@@ -100,3 +100,10 @@ def test_offline_flow_and_reloaded_scorer(spark, sf):
     scored = scorer(recs)
     assert scored.count() > 0
     assert set(scored.columns) >= {"prediction", "probability_default", "risk_level", "recommendation"}
+
+
+def test_strict_scoring_raises_on_invalid_batch(spark, sf, small_model):
+    p, m = small_model
+    recs = serving_view(apps(spark, sf)).drop("app_ts", "loan_status")  # holds ages of 144, missing fields
+    with pytest.raises(ValueError, match="Error in record"):
+        score_records(recs, p.encoder, p.selected, m, 0.55, on_invalid="raise")
