@@ -291,18 +291,29 @@ def box_summary(df: DataFrame, value: str, by: str | None = "loan_status",
 
 # --- B16 / B17 -------------------------------------------------------------
 
-def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
-    """Equal-width bins over [min, max]; the max falls in the last bin."""
-    rng = df.agg(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi"))
+def histograms(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
+    """Equal-width bins over [min, max] of every column in one aggregation.
+
+    (feature, bin, bin_lo, bin_hi, n); the max falls in the last bin, a
+    zero-width column in bin 0. Ranges are one k-row aggregate, broadcast.
+    """
+    rng = df.agg(*[F.struct(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi")).alias(c)
+                   for c in cols]).unpivot([], cols, "feature", "r").select("feature", "r.*")
+    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([], cols, "feature", "value").where(F.col("value").isNotNull())
+            .join(F.broadcast(rng), "feature"))
     w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    b = F.least(F.floor(safe_div(F.col(c) - F.col("_lo"), w)), F.lit(bins - 1))
-    b = F.coalesce(b, F.lit(0)).cast("int")  # zero width: everything in bin 0
-    j = df.where(F.col(c).isNotNull()).select(c).crossJoin(F.broadcast(rng))
-    return (j.groupBy(b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
-            .select("bin", (F.col("_lo") + F.col("bin") * w).alias("bin_lo"),
+    b = F.coalesce(F.least(F.floor(safe_div(F.col("value") - F.col("_lo"), w)), F.lit(bins - 1)), F.lit(0)).cast("int")
+    return (long.groupBy("feature", b.alias("bin"), "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
+            .select("feature", "bin", (F.col("_lo") + F.col("bin") * w).alias("bin_lo"),
                     (F.col("_lo") + (F.col("bin") + 1) * w).alias("bin_hi"), "n"))
 
 
+def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
+    """One column's histogram (``histograms`` without the feature column)."""
+    return histograms(df, [c], bins).drop("feature")
+
+
 def kde(df: DataFrame, c: str, grid: int = 200, fine_bins: int = 1024) -> DataFrame:
     """Gaussian density on ``grid`` points over [min, max], Scott bandwidth.
 

@@ -235,6 +235,20 @@ def histogram_income(spark, d):
     return P.histogram(clean(spark, d), "person_income", 30)
 
 
+def _hist_sql(src: str, c: str, bins: int = 30) -> str:
+    return (f"SELECT '{c}' AS feature, bin, lo + bin*((hi - lo)/{bins}e0) AS bin_lo, lo + (bin + 1)*((hi - lo)/{bins}e0) AS bin_hi, "
+            f"count(*) AS n FROM (SELECT CAST(coalesce(least(floor((CAST({c} AS DOUBLE) - lo) / nullif((hi - lo)/{bins}e0, 0)), "
+            f"{bins - 1}), 0) AS INT) AS bin, lo, hi FROM {src}, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi "
+            f"FROM {src}) r WHERE {c} IS NOT NULL) GROUP BY bin, lo, hi")
+
+
+@register("histogram_numeric", rounded(with_(CLEAN) + _union([_hist_sql("clean", c) for c in NUMERIC_RAW]),
+                                       ["bin_lo", "bin_hi"]))
+def histogram_numeric(spark, d):
+    """B16 for every numeric column of the cleaned table, in one aggregation."""
+    return P.histograms(clean(spark, d), NUMERIC_RAW, 30)
+
+
 @register("kde_income", rounded(with_(CLEAN,
     "st AS (SELECT CAST(min(person_income) AS DOUBLE) AS lo, CAST(max(person_income) AS DOUBLE) AS hi, "
     "count(person_income) AS n, stddev_samp(person_income) * pow(CAST(count(person_income) AS DOUBLE), -0.2e0) AS bw, "

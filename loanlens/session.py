@@ -15,10 +15,13 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, partitions: int = 8,
-              app_name: str = "loanlens") -> SparkSession:
+              app_name: str = "loanlens", extra_conf: dict[str, str] | None = None) -> SparkSession:
     master = master or os.environ.get("LOANLENS_MASTER", "local[8]")
+    b = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        b = b.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        b.master(master)
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
