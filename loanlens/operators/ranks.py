@@ -43,7 +43,10 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column]
 
     ``bucket`` must be non-decreasing in ``order`` (ties in order must share
     a bucket). Equal to ``row_number() over (partition by groups order by
-    order)`` without a single-partition window.
+    order)`` without a single-partition window. Meant for few groups (class
+    labels, columns): the broadcast offsets table has groups x buckets rows.
+    With many groups a plain ``Window.partitionBy(groups)`` is already
+    spread over tasks and needs no buckets.
     """
     b = df.withColumn("_bk", bucket)
     sizes = b.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -9,7 +9,7 @@ column, never a positional join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.operators.ranks import md5_bucket, md5_order_key, ranked
@@ -20,14 +20,31 @@ def _class_ranked(df: DataFrame, key: str, label: str, seed: int, hex_digits: in
     return ranked(d, [label], md5_bucket("_ord", hex_digits), [F.col("_ord"), F.col(key)], "_rk")
 
 
+MAX_CLASSES = 10_000
+
+
+def class_sizes(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
+    """Rows per class, fetched once (k rows) with an explicit size check."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} classes; not a class label")
+    return {r[label]: r["n"] for r in rows}
+
+
+def _class_map(values: dict) -> Column:
+    """Literal map class -> value (no join; the plan carries the constants)."""
+    items = [x for k, v in values.items() if k is not None for x in (F.lit(k), F.lit(v))]
+    return F.create_map(*items) if items else F.create_map()
+
+
 def stratified_split(df: DataFrame, key: str = "app_id", label: str = "loan_status",
                      test_size: float = 0.2, seed: int = 42, hex_digits: int = 3) -> DataFrame:
     """Add ``split`` ('train' / 'test'), exact ceil(test_size * n_c) test rows per class."""
+    sizes = class_sizes(df, label)
     r = _class_ranked(df, key, label, seed, hex_digits)
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))      # one row per class
-    r = r.join(F.broadcast(n), label)
-    is_test = F.col("_rk") <= F.ceil(F.col("_n") * F.lit(test_size))
-    return r.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_ord", "_rk", "_n")
+    n_c = F.element_at(_class_map(sizes), F.col(label))
+    is_test = F.col("_rk") <= F.ceil(n_c * F.lit(test_size))
+    return r.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_ord", "_rk")
 
 
 def stratified_folds(df: DataFrame, key: str = "app_id", label: str = "loan_status",
@@ -49,13 +66,15 @@ def class_ratio(df: DataFrame, label: str = "loan_status") -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "loan_status") -> DataFrame:
     """Balanced weights n / (n_classes * n_c) per class (k rows)."""
-    c = class_counts(df, label)
-    tot = c.agg(F.sum("n").alias("_tot"), F.count(F.lit(1)).alias("_k"))
-    return c.crossJoin(F.broadcast(tot)).select(
-        label, "n", (F.col("_tot") / (F.col("_k") * F.col("n"))).alias("weight"))
+    sizes = class_sizes(df, label)
+    n, k = sum(sizes.values()), len(sizes)
+    return df.sparkSession.createDataFrame(
+        [(c, m, n / (k * m)) for c, m in sizes.items()],
+        f"{label} {dict(df.dtypes)[label]}, n bigint, weight double")
 
 
 def with_weights(df: DataFrame, label: str = "loan_status", name: str = "weight") -> DataFrame:
-    """Attach the balanced weight column (broadcast join with the k-row weights)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(F.broadcast(w), label)
+    """Attach the balanced weight column as a literal class -> weight map."""
+    sizes = class_sizes(df, label)
+    n, k = sum(sizes.values()), len(sizes)
+    return df.withColumn(name, F.element_at(_class_map({c: n / (k * m) for c, m in sizes.items()}), F.col(label)))

@@ -59,19 +59,17 @@ def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFram
 
 
 def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
-    """n / (2 n_c) per row via a broadcast 2-row table."""
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = c.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = c.crossJoin(tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(name))
-    return df.join(F.broadcast(w), label)
+    """n / (2 n_c) per row, from class sizes fetched once (a literal map, no join)."""
+    from loanlens.operators.split import with_weights
+    return with_weights(df, label, name)
 
 
 def positive_weight(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
     """1 for negatives, n0/n1 for positives (boosting's scale_pos_weight)."""
-    r = df.agg(F.try_divide(F.count_if(F.col(label) == 0).cast("double"),
-                            F.count_if(F.col(label) == 1)).alias("_r"))
-    return df.crossJoin(F.broadcast(r)).withColumn(
-        name, F.when(F.col(label) == 1, F.col("_r")).otherwise(F.lit(1.0))).drop("_r")
+    from loanlens.operators.split import class_sizes
+    sizes = class_sizes(df, label)
+    ratio = sizes.get(0, 0) / sizes[1] if sizes.get(1) else 1.0
+    return df.withColumn(name, F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
 
 
 # ------------------------------------------------------------------ RFF for the SVM
