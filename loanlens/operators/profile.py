@@ -314,32 +314,43 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
     return histograms(df, [c], bins).drop("feature")
 
 
-def kde(df: DataFrame, c: str, grid: int = 200, fine_bins: int = 1024) -> DataFrame:
-    """Gaussian density on ``grid`` points over [min, max], Scott bandwidth.
-
-    Binned KDE: rows are first reduced to ``fine_bins`` bin centres with
-    counts (one aggregation, map-side combined), then the density is a sum
-    over bins x grid (<= 1024 x 200 rows), so the cost does not grow with
-    the data beyond the one pass. Bandwidth = sample std * n^(-1/5).
+def kdes(df: DataFrame, cols: list[str], grid: int = 200, fine_bins: int = 1024) -> DataFrame:
+    """Gaussian densities of every column on ``grid`` points over [min, max].
+
+    Binned KDE with Scott's bandwidth (sample std * n^(-1/5)): rows are
+    reduced to <= ``fine_bins`` bin centres with counts per column (one
+    aggregation, map-side combined), then each density is a sum over
+    bins x grid (<= 1024 x 200 rows per column), so the cost beyond the one
+    pass does not grow with the data. Output (feature, gi, x, density,
+    scaled_density = density x data range, dimensionless).
     """
     spark = df.sparkSession
-    st = df.agg(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"),
-                F.count(F.col(c)).alias("n"), F.stddev_samp(F.col(c)).alias("sd"))
+    st = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"),
+                           F.count(F.col(c)).alias("n"), F.stddev_samp(F.col(c)).alias("sd")).alias(c)
+                  for c in cols]).unpivot([], cols, "feature", "s").select("feature", "s.*")
     st = st.withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))) \
            .withColumn("fw", (F.col("hi") - F.col("lo")) / F.lit(float(fine_bins)))
-    fb = F.coalesce(F.least(F.floor(safe_div(F.col(c) - F.col("lo"), F.col("fw"))),
+    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([], cols, "feature", "value").where(F.col("value").isNotNull())
+            .join(F.broadcast(st), "feature"))  # one row per column
+    fb = F.coalesce(F.least(F.floor(safe_div(F.col("value") - F.col("lo"), F.col("fw"))),
                             F.lit(fine_bins - 1)), F.lit(0))
-    binned = (df.where(F.col(c).isNotNull()).select(c).crossJoin(F.broadcast(st))
-              .groupBy(fb.alias("fb"), "lo", "fw", "bw", "n")
-              .agg(F.count(F.lit(1)).alias("cnt"))
+    binned = (long.groupBy("feature", fb.alias("fb")).agg(F.count(F.lit(1)).alias("cnt"))
+              .join(F.broadcast(st), "feature")
               .withColumn("centre", F.col("lo") + (F.col("fb") + 0.5) * F.col("fw")))
     pts = spark.range(grid).select(F.col("id").cast("int").alias("gi"))
-    g = pts.crossJoin(F.broadcast(st.select("lo", "hi"))).select(
-        "gi", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / F.lit(float(grid - 1))).alias("x"))
+    g = pts.crossJoin(F.broadcast(st.select("feature", "lo", "hi"))).select(
+        "feature", "gi",
+        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / F.lit(float(grid - 1))).alias("x"))
     z = (F.col("x") - F.col("centre")) / F.col("bw")
     dens = F.sum(F.col("cnt") * F.exp(-0.5 * z * z)) / (
         F.first("n") * F.first("bw") * F.lit(math.sqrt(2 * math.pi)))
-    out = g.crossJoin(F.broadcast(binned)).groupBy("gi", "x").agg(dens.alias("density"))
-    # density x data range: dimensionless, O(1), comparable across columns
-    return out.crossJoin(F.broadcast(st.select("lo", "hi"))).select(
-        "gi", "x", "density", (F.col("density") * (F.col("hi") - F.col("lo"))).alias("scaled_density"))
+    # bins x grid per column: <= fine_bins x grid rows each, joined on the column name
+    out = g.join(binned, "feature").groupBy("feature", "gi", "x").agg(dens.alias("density"))
+    return out.join(F.broadcast(st.select("feature", "lo", "hi")), "feature").select(
+        "feature", "gi", "x", "density", (F.col("density") * (F.col("hi") - F.col("lo"))).alias("scaled_density"))
+
+
+def kde(df: DataFrame, c: str, grid: int = 200, fine_bins: int = 1024) -> DataFrame:
+    """One column's density (``kdes`` without the feature column)."""
+    return kdes(df, [c], grid, fine_bins).drop("feature")
\ No newline at end of file

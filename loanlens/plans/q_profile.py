@@ -261,3 +261,26 @@ def histogram_numeric(spark, d):
     "SELECT gi, x, density, density*rng AS scaled_density FROM k", ["x", "density", "scaled_density"]))
 def kde_income(spark, d):
     return P.kde(clean(spark, d), "person_income", 200, 1024)
+
+
+def _kde_sql(src: str, c: str) -> str:
+    return (f"SELECT '{c}' AS feature, gi, x, density, density * rng AS scaled_density FROM ("
+            f"SELECT gi, x, sum(cnt * exp(-0.5e0 * ((x - (lo + (fb + 0.5e0)*fw))/bw) * ((x - (lo + (fb + 0.5e0)*fw))/bw))) "
+            f"/ (max(n) * max(bw) * sqrt(2e0*pi())) AS density, max(hi) - max(lo) AS rng FROM "
+            f"(SELECT CAST(gi AS INT) AS gi, lo + (hi - lo) * gi / 199e0 AS x FROM range(200) t(gi), st_{c}) g, "
+            f"(SELECT coalesce(least(floor((CAST({c} AS DOUBLE) - lo) / nullif(fw, 0)), 1023), 0) AS fb, count(*) AS cnt "
+            f"FROM {src}, st_{c} WHERE {c} IS NOT NULL GROUP BY 1) bn, st_{c} GROUP BY gi, x)")
+
+
+def _kde_stats(src: str, c: str) -> str:
+    return (f"st_{c} AS (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, count({c}) AS n, "
+            f"stddev_samp({c}) * pow(CAST(count({c}) AS DOUBLE), -0.2e0) AS bw, "
+            f"(CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE)) / 1024e0 AS fw FROM {src})")
+
+
+@register("kde_numeric", rounded(with_(CLEAN, *[_kde_stats("clean", c) for c in NUMERIC_RAW]) +
+                                 _union([_kde_sql("clean", c) for c in NUMERIC_RAW]),
+                                 ["x", "density", "scaled_density"]))
+def kde_numeric(spark, d):
+    """B17 for every numeric column of the cleaned table (binned, Scott bandwidth)."""
+    return P.kdes(clean(spark, d), NUMERIC_RAW)
