@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.columns import INTEGRAL_TYPES, NUMERIC_TYPES
-from loanlens.operators.ranks import cumulative
+from loanlens.operators.ranks import BUCKETS, adaptive_buckets, cumulative
 
 # Fixed default decision thresholds (parameters; the library's own are unknown).
 PSI_THRESHOLD = 0.2
@@ -185,7 +185,7 @@ def _value_hist(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
         F.count_if(F.col("side") == "current").alias("n_cur"))
 
 
-def _ecdf(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = 4096) -> DataFrame:
+def _ecdf(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Merged histogram with both empirical CDFs and the next distinct value.
 
     Rows are bucketed by value range per column; bucket totals (and each
@@ -195,10 +195,11 @@ def _ecdf(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = 4096)
     first value of the next non-empty bucket. No window spans a whole column.
     """
     h = _value_hist(ref, cur, cols)
-    rng = h.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    rng = h.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+                                   adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"))
     b = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-                                   * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int")
-    h = h.join(F.broadcast(rng), "feature").withColumn("_bk", b).drop("_lo", "_hi")
+                                   * F.col("_B")), F.col("_B") - 1), F.lit(0)).cast("int")
+    h = h.join(F.broadcast(rng), "feature").withColumn("_bk", b).drop("_lo", "_hi", "_B")
     tot = h.groupBy("feature", "_bk").agg(F.sum("n_ref").alias("_tr"), F.sum("n_cur").alias("_tc"),
                                           F.min("value").alias("_fv"))
     wb = Window.partitionBy("feature").orderBy("_bk")  # <= buckets rows per column
@@ -250,7 +251,7 @@ def ks_drift(ref: DataFrame, cur: DataFrame, cols: list[str], p_threshold: float
     return g.withColumn("drifted", (F.col("p_value") < p_threshold).cast("int"))
 
 
-def wasserstein_drift(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = 4096) -> DataFrame:
+def wasserstein_drift(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = BUCKETS) -> DataFrame:
     """W1 = sum |F_ref(x_i) - F_cur(x_i)| * (x_{i+1} - x_i) per numeric column."""
     e = _ecdf(ref, cur, cols, buckets)
     gap = F.col("next_value") - F.col("value")
@@ -356,7 +357,7 @@ def quality_by_side(ref: DataFrame, cur: DataFrame, label: str, score: str | Non
                                F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
     h = s.groupBy("side", "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
     from loanlens.operators.ranks import score_bucket
-    c = cumulative(h, score_bucket("score", 4096, descending=True), [F.desc("score")], ["pos", "neg"],
+    c = cumulative(h, score_bucket("score", BUCKETS, descending=True), [F.desc("score")], ["pos", "neg"],
                    groups=["side"])
     auc = c.groupBy("side").agg(F.try_divide(F.sum(F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2.0)),
                                              F.sum("neg") * F.sum("pos")).alias("roc_auc"))

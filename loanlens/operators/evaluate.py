@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.operators.ranks import cumulative, score_bucket
+from loanlens.operators.ranks import BUCKETS, adaptive_buckets, cumulative, score_bucket
 
 
 def _z(c: Column) -> Column:
@@ -52,14 +52,17 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5, label: str = "
 
 
 def score_histogram(df: DataFrame, label: str = "label", score: str = "score",
-                    buckets: int = 4096) -> DataFrame:
+                    buckets: int = BUCKETS) -> DataFrame:
     """(score, pos, neg) per distinct score with inclusive running sums in
     descending score order: tp, fp = rows with score >= this score."""
     h = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    c = cumulative(h, score_bucket("score", buckets, descending=True), [F.desc("score")],
-                   ["pos", "neg"])
-    tot = h.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = h.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"))  # one row
+    hb = h.crossJoin(F.broadcast(tot.select("_B")))
+    c = cumulative(hb, score_bucket("score", F.col("_B"), descending=True), [F.desc("score")],
+                   ["pos", "neg"]).drop("_B")
+    tot = tot.drop("_B")
     return c.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp") \
             .crossJoin(F.broadcast(tot))
 
@@ -83,7 +86,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> Data
 
 
 def auc_trapezoid(points: DataFrame, x: str = "fpr", y: str = "tpr",
-                  order: list[Column] | None = None, buckets: int = 1024) -> DataFrame:
+                  order: list[Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """H5: area by trapezoid over points sorted by ``order`` (default x, then y).
 
     The previous point comes from ``lag`` inside x-buckets; the first point

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.operators.ranks import cumulative
+from loanlens.operators.ranks import BUCKETS, adaptive_buckets, cumulative
 
 
 def _slog(c: Column) -> Column:
@@ -33,7 +33,7 @@ def _slog(c: Column) -> Column:
 
 
 def quantiles_long(df: DataFrame, cols: list[str], probs: list[float], groups: list[str] | None = None,
-                   buckets: int = 4096) -> DataFrame:
+                   buckets: int = BUCKETS) -> DataFrame:
     """(groups..., feature, p, value): exact interpolated quantiles of every column."""
     groups = list(groups or [])
     spark = df.sparkSession
@@ -42,11 +42,11 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float], groups: l
             .unpivot(groups, cols, "feature", "value").where(F.col("value").isNotNull()))
     h = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     rng = h.groupBy(*keys).agg(_slog(F.min("value")).alias("_lo"), _slog(F.max("value")).alias("_hi"),
-                               F.sum("cnt").alias("_n"))
+                               F.sum("cnt").alias("_n"), adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"))
     hb = h.join(F.broadcast(rng), keys)  # one row per (group, column)
     bk = F.coalesce(F.least(F.floor(F.try_divide(_slog(F.col("value")) - F.col("_lo"),
-                                                  F.col("_hi") - F.col("_lo")) * buckets),
-                            F.lit(buckets - 1)), F.lit(0)).cast("int")
+                                                  F.col("_hi") - F.col("_lo")) * F.col("_B")),
+                            F.col("_B") - 1), F.lit(0)).cast("int")
     c = cumulative(hb, bk, [F.col("value")], ["cnt"], groups=keys)
     c = c.select(*keys, "value", (F.col("cnt_cum") - F.col("cnt")).alias("_before"), F.col("cnt_cum").alias("_upto"))
     pr = spark.createDataFrame([(float(p),) for p in probs], "p double")

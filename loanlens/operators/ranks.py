@@ -20,21 +20,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Default bucket count of the offset scheme (16^4). Only non-empty buckets
+# reach the offsets table, so small inputs pay nothing; at ~1e11 rows a
+# (group, bucket) window partition holds ~2 million rows.
+BUCKETS = 65536
+ROWS_PER_BUCKET = 2048
+
+
+def adaptive_buckets(distinct: Column, cap: int = BUCKETS) -> Column:
+    """Bucket count for ``distinct`` ordered values: about ROWS_PER_BUCKET
+    values per bucket, between 1 and ``cap`` (a column, so it can differ per
+    group without an extra job)."""
+    return F.least(F.lit(cap), F.greatest(F.lit(1), F.ceil(distinct / F.lit(ROWS_PER_BUCKET)))).cast("int")
+
+
+def hex_digits_for(n: int, cap: int = 4) -> int:
+    """md5-prefix length giving about ROWS_PER_BUCKET rows per bucket (1..cap)."""
+    d = 1
+    while d < cap and 16 ** d * ROWS_PER_BUCKET < n:
+        d += 1
+    return d
+
 
 def md5_order_key(key: str, seed: int = 42) -> Column:
     """Seeded pseudo-random order: md5 of 'key|seed' (same text in DuckDB)."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
-def md5_bucket(order_col: str, hex_digits: int = 3) -> Column:
+def md5_bucket(order_col: str, hex_digits: int = 4) -> Column:
     """First hex digits of an md5 string as an int bucket (monotone in the string)."""
     return F.conv(F.substring(F.col(order_col), 1, hex_digits), 16, 10).cast("int")
 
 
-def score_bucket(score_col: str, buckets: int = 4096, descending: bool = False) -> Column:
+def score_bucket(score_col: str, buckets: "int | Column" = BUCKETS, descending: bool = False) -> Column:
     """Bucket of a score in [0, 1]; higher scores get higher buckets unless descending."""
-    b = F.least(F.greatest(F.floor(F.col(score_col) * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    return (F.lit(buckets - 1) - b) if descending else b
+    nb = buckets if isinstance(buckets, Column) else F.lit(buckets)
+    b = F.least(F.greatest(F.floor(F.col(score_col) * nb), F.lit(0)), nb - 1).cast("int")
+    return (nb - 1 - b) if descending else b
 
 
 def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column],

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.operators.ranks import md5_bucket, md5_order_key, ranked
+from loanlens.operators.ranks import hex_digits_for, md5_bucket, md5_order_key, ranked
 
 
 def _class_ranked(df: DataFrame, key: str, label: str, seed: int, hex_digits: int) -> DataFrame:
@@ -38,9 +38,10 @@ def _class_map(values: dict) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str = "app_id", label: str = "loan_status",
-                     test_size: float = 0.2, seed: int = 42, hex_digits: int = 3) -> DataFrame:
+                     test_size: float = 0.2, seed: int = 42, hex_digits: int | None = None) -> DataFrame:
     """Add ``split`` ('train' / 'test'), exact ceil(test_size * n_c) test rows per class."""
     sizes = class_sizes(df, label)
+    hex_digits = hex_digits or hex_digits_for(max(sizes.values(), default=0))
     r = _class_ranked(df, key, label, seed, hex_digits)
     n_c = F.element_at(_class_map(sizes), F.col(label))
     is_test = F.col("_rk") <= F.ceil(n_c * F.lit(test_size))
@@ -48,8 +49,10 @@ def stratified_split(df: DataFrame, key: str = "app_id", label: str = "loan_stat
 
 
 def stratified_folds(df: DataFrame, key: str = "app_id", label: str = "loan_status",
-                     k: int = 5, seed: int = 42, hex_digits: int = 3) -> DataFrame:
+                     k: int = 5, seed: int = 42, hex_digits: int | None = None) -> DataFrame:
     """Add ``fold`` in [0, k): round-robin over the seeded order within each class."""
+    if hex_digits is None:
+        hex_digits = hex_digits_for(max(class_sizes(df, label).values(), default=0))
     r = _class_ranked(df, key, label, seed, hex_digits)
     return r.withColumn("fold", F.pmod(F.col("_rk") - 1, F.lit(k)).cast("int")).drop("_ord", "_rk")
 
