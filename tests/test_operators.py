@@ -241,3 +241,37 @@ def test_envelopes_are_bounded_and_lossless(spark, sf):
         env = to_envelopes(a, by=by)
         assert env.select(F.max(F.size("applications"))).head()[0] <= 100
         assert explode_envelopes(env).count() == a.count()
+
+
+def test_json_envelopes_roundtrip(spark, sf):
+    import uuid
+    from loanlens.plans.base import apps
+    from loanlens.session import scratch_path
+    from loanlens.sources.batches import explode_envelopes, read_envelopes_json, to_envelopes
+    path = scratch_path(spark, "env-" + uuid.uuid4().hex[:8])
+    a = apps(spark, sf)
+    to_envelopes(a).select("applications").write.json(path)
+    back = explode_envelopes(read_envelopes_json(spark, path))
+    assert back.count() == a.count()
+    assert back.select("app_id").distinct().count() == a.count()
+
+
+def test_target_resolution_fallback_and_binary_check(spark):
+    ref = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.7)], "name string, grade int, score double")
+    cur = spark.createDataFrame([("c", 2, 0.1)], "name string, grade int, score double")
+    assert D.resolve_target(ref, cur, "default") == "grade"  # first integer column in both
+    td = D.target_drift(ref, cur, "grade")
+    with pytest.raises(ValueError, match="outside 0/1"):
+        D.check_binary_target(td)
+    assert D.check_binary_target(td, cast="truncate") is td
+    with pytest.raises(ValueError):
+        D.resolve_target(ref.select("name"), cur.select("name"), "default")
+
+
+def test_report_text_of_golden_pair(spark):
+    ref, cur = _pair(spark, "default")
+    html = D.report_html(ref, cur, "default")
+    assert "Reference rows: 4 | Current rows: 4" in html
+    assert "Reference target rate: 50.00% | Current target rate: 75.00%" in html
+    assert "Target prevalence changed by 25.000%." in html
+    assert "mean shift: 0.125" in html
