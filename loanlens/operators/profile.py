@@ -161,28 +161,44 @@ def class_balance(df: DataFrame, target: str = "loan_status") -> DataFrame:
 
 # --- B8 / B9 ---------------------------------------------------------------
 
-def _pair_corr(a: str, b: str) -> Column:
-    """Pearson r over rows where both are non-null; null for a constant column."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    xa = F.when(both, F.col(a).cast("double"))
-    xb = F.when(both, F.col(b).cast("double"))
+def _pair_corr(a: str, b: str, masked: bool = True) -> Column:
+    """Pearson r over rows where both are non-null; null for a constant column.
+
+    ``masked=False`` drops the pairwise null masks, valid (and much cheaper:
+    no per-pair CASE inside the aggregation) when neither column has nulls.
+    """
+    if masked:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        xa = F.when(both, F.col(a).cast("double"))
+        xb = F.when(both, F.col(b).cast("double"))
+    else:
+        xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
     return safe_div(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
 
 
+def nullable_columns(df: DataFrame, cols: list[str]) -> set[str]:
+    """Columns holding at least one null (one aggregation, k numbers to the driver)."""
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).head()
+    return {c for c in cols if row[c]}
+
+
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Long upper triangle (a, b, r), i < j, in one aggregation pass.
 
     Column order of ``cols`` is kept: position columns ``i``/``j`` are
     returned so callers (the correlation filter) can apply order-dependent
-    rules. For very wide inputs use ``corr_matrix_ml``.
+    rules. A first small pass finds the columns with nulls; only pairs
+    involving them carry pairwise-complete masks. For very wide inputs use
+    ``corr_matrix_ml``.
     """
     cols = cols or numeric_columns(df)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double")
+    nulls = nullable_columns(df, cols)
     aggs = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
                      F.lit(i).alias("i"), F.lit(j).alias("j"),
-                     _pair_corr(cols[i], cols[j]).alias("r")).alias(f"p{i}_{j}")
+                     _pair_corr(cols[i], cols[j], cols[i] in nulls or cols[j] in nulls).alias("r")).alias(f"p{i}_{j}")
             for i, j in pairs]
     names = [f"p{i}_{j}" for i, j in pairs]
     return df.agg(*aggs).unpivot([], names, "_k", "s").select("s.*")
@@ -202,7 +218,8 @@ def corr_matrix_ml(df: DataFrame, cols: list[str]) -> list[list[float]]:
 
 
 def corr_with_target(df: DataFrame, cols: list[str], target: str = "loan_status") -> DataFrame:
-    aggs = [_pair_corr(c, target).alias(c) for c in cols]
+    nulls = nullable_columns(df, cols + [target])
+    aggs = [_pair_corr(c, target, c in nulls or target in nulls).alias(c) for c in cols]
     return df.agg(*aggs).unpivot([], cols, "feature", "r")
 
 

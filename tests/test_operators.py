@@ -275,3 +275,18 @@ def test_report_text_of_golden_pair(spark):
     assert "Reference target rate: 50.00% | Current target rate: 75.00%" in html
     assert "Target prevalence changed by 25.000%." in html
     assert "mean shift: 0.125" in html
+
+
+def test_corr_matrix_pairwise_complete_with_nulls(spark):
+    import numpy as np
+    from loanlens.operators.profile import corr_matrix
+    rows = [(float(i), (float(i * i % 7) if i % 4 else None), float((i * 3) % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r.a, r.b): r.r for r in corr_matrix(df, ["a", "b", "c"]).collect()}
+    def pair(x, y):
+        m = [(p, q) for p, q in zip(x, y) if p is not None and q is not None]
+        return float(np.corrcoef([p for p, _ in m], [q for _, q in m])[0, 1])
+    cols = list(zip(*rows))
+    assert got[("a", "b")] == pytest.approx(pair(cols[0], cols[1]))
+    assert got[("b", "c")] == pytest.approx(pair(cols[1], cols[2]))
+    assert got[("a", "c")] == pytest.approx(pair(cols[0], cols[2]))
