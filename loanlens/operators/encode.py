@@ -45,12 +45,12 @@ class FittedEncoder:
         # pass 1: per numeric column count, rows, mean, population variance and a
         # distinct-count sketch, all in one aggregation (k values to the driver)
         if numeric:
-            from loanlens.operators.profile import quantile_row
+            from loanlens.operators.profile import ndv_sketch, quantile_row
             aggs = [F.count(F.lit(1)).alias("_rows")]
             for c in numeric:
                 x = F.col(c).cast("double")
                 aggs += [F.count(x).alias(f"{c}__c"), F.avg(x).alias(f"{c}__m"), F.var_pop(x).alias(f"{c}__v"),
-                         F.approx_count_distinct(x).alias(f"{c}__ndv")]
+                         ndv_sketch(x).alias(f"{c}__ndv")]
             mom = df.agg(*aggs).head()
             # pass 2: exact medians ('auto': Spark's percentile map or the
             # distributed selection per column, chosen by the sketch)

@@ -25,6 +25,12 @@ def _pct(c: str | Column, qs: list[float], exact: bool = True) -> Column:
 
 
 MAP_QUANTILE_MAX_DISTINCT = 100_000
+NDV_RSD = 0.1  # the sketch only decides "<= 100k distinct or not"
+
+
+def ndv_sketch(c: "str | Column") -> Column:
+    """Approximate distinct count used to choose the quantile method."""
+    return F.approx_count_distinct(F.col(c) if isinstance(c, str) else c, rsd=NDV_RSD)
 
 
 def quantile_row(df: DataFrame, cols: list[str], qs: list[float], names: list[str],
@@ -43,7 +49,7 @@ def quantile_row(df: DataFrame, cols: list[str], qs: list[float], names: list[st
     groups = list(groups or [])
     if mode == "auto":
         if ndv is None:  # callers that already scan the data pass ``ndv`` in
-            ndv = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).head().asDict()
+            ndv = df.agg(*[ndv_sketch(c).alias(c) for c in cols]).head().asDict()
         small = [c for c in cols if ndv[c] <= MAP_QUANTILE_MAX_DISTINCT]
         big = [c for c in cols if c not in small]
         parts = []
@@ -99,7 +105,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, quantiles: st
         aggs += [F.count(F.col(c)).alias(f"{c}__count"), F.avg(F.col(c)).alias(f"{c}__mean"),
                  F.stddev_samp(F.col(c)).alias(f"{c}__std"), F.min(F.col(c)).cast("double").alias(f"{c}__min"),
                  F.max(F.col(c)).cast("double").alias(f"{c}__max"),
-                 F.approx_count_distinct(F.col(c)).alias(f"{c}__ndv")]
+                 ndv_sketch(c).alias(f"{c}__ndv")]
     m = df.agg(*aggs).head()
     qr = quantile_row(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], quantiles,
                       ndv={c: m[f"{c}__ndv"] for c in cols})
@@ -240,7 +246,7 @@ def iqr_outliers(df: DataFrame, cols: list[str], quantiles: str = "auto") -> Dat
     conditional sums of a single aggregation.
     """
     m = df.agg(F.count(F.lit(1)).alias("_n"), *[sample_skew(c).alias(f"{c}__skew") for c in cols],
-               *[F.approx_count_distinct(F.col(c)).alias(f"{c}__ndv") for c in cols]).head()
+               *[ndv_sketch(c).alias(f"{c}__ndv") for c in cols]).head()
     qr = quantile_row(df, cols, [0.25, 0.75], ["q1", "q3"], quantiles, ndv={c: m[f"{c}__ndv"] for c in cols})
     stats = qr.select("*", F.lit(m["_n"]).cast("bigint").alias("_n"),
                       *[F.lit(m[f"{c}__skew"]).cast("double").alias(f"{c}__skew") for c in cols])
