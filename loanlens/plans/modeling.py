@@ -41,9 +41,16 @@ class Prepared:
 _CACHE: dict[tuple, Prepared] = {}
 
 
-def prepare(spark: SparkSession, d: str, fit_on: str = "train", k: int = 5) -> Prepared:
-    """Build (once per session and input) the assembled model table."""
-    key = (id(spark), d, fit_on, k)
+def prepare(spark: SparkSession, d: str, fit_on: str = "train", k: int = 5,
+            importance: bool = True) -> Prepared:
+    """Build (once per session and input) the assembled model table.
+
+    Feature selection follows the reference's order: correlation filter,
+    forest importance (>= 0.01, ordered by importance), variance filter, all
+    fitted on the training part (``fit_on='all'`` reproduces the reference's
+    fit before the split).
+    """
+    key = (id(spark), d, fit_on, k, importance)
     if key in _CACHE:
         return _CACHE[key]
     ensure_checkpoint_dir(spark)
@@ -55,7 +62,10 @@ def prepare(spark: SparkSession, d: str, fit_on: str = "train", k: int = 5) -> P
     wide_train = wide.where(F.col("split") == "train") if fit_on == "train" else wide
     names = enc.output_names
     drop = set(EN.correlation_drop(wide_train, names))
-    kept = EN.variance_keep(wide_train, [n for n in names if n not in drop])
+    kept = [n for n in names if n not in drop]
+    if importance:
+        kept = [r["feature"] for r in EN.importance_filter(wide_train, kept, TARGET).collect()]  # k rows
+    kept = EN.variance_keep(wide_train, kept)
     data = assemble(wide.select("app_id", F.col(TARGET).alias("label"), "split", "fold", *kept), kept)
     data = data.select("app_id", "label", "split", "fold", "features").checkpoint(eager=True)
     prep = Prepared(data, enc, kept)
