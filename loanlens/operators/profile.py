@@ -24,8 +24,8 @@ def _pct(c: str | Column, qs: list[float], exact: bool = True) -> Column:
     return F.transform(F.percentile_approx(c, qs, 10000), lambda x: x.cast("double"))
 
 
-MAP_QUANTILE_MAX_DISTINCT = 100_000
-NDV_RSD = 0.1  # the sketch only decides "<= 100k distinct or not"
+MAP_QUANTILE_MAX_DISTINCT = 1_000_000  # a 1M-entry percentile map is ~50-80 MB in one task
+NDV_RSD = 0.1  # the sketch only decides "<= 1M distinct or not"
 
 
 def ndv_sketch(c: "str | Column") -> Column:
@@ -42,7 +42,7 @@ def quantile_row(df: DataFrame, cols: list[str], qs: list[float], names: list[st
     memory grows with the number of distinct values);
     ``distributed``: the scalable selection of ``operators.quantiles``;
     ``auto`` (default): one HyperLogLog pass (``approx_count_distinct``)
-    picks ``map`` for columns with <= 100k distinct values and
+    picks ``map`` for columns with <= 1M distinct values and
     ``distributed`` for the rest; ``approx``: ``percentile_approx``.
     """
     from loanlens.operators.quantiles import quantiles_wide
