@@ -253,10 +253,10 @@ def feature_importance(fm: FittedModel, names: list[str]) -> list[tuple[str, flo
     return sorted(zip(names, imp), key=lambda t: (-t[1], t[0]))
 
 
-def save_pipeline(stages: list[Transformer], path: str) -> None:
+def save_model(stages: list[Transformer], path: str) -> None:
     """Persist fitted stages as a ``PipelineModel`` directory."""
     PipelineModel(stages).write().overwrite().save(path)
 
 
-def load_pipeline(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)

@@ -69,8 +69,8 @@ def test_late_events_beyond_watermark_are_dropped(spark):
 def test_model_persistence_roundtrip(spark, small_model):
     p, m = small_model
     d = scratch_path(spark, "ll-model-" + uuid.uuid4().hex[:8])
-    TR.save_pipeline([m.model], d)
-    loaded = TR.load_pipeline(d)
+    TR.save_model([m.model], d)
+    loaded = TR.load_model(d)
     a = m.model.transform(p.test).select("app_id", "_prob").collect()
     b = loaded.transform(p.test).select("app_id", "_prob").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
