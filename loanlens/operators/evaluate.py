@@ -58,11 +58,12 @@ def score_histogram(df: DataFrame, label: str = "label", score: str = "score",
     h = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     tot = h.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"))  # one row
-    hb = h.crossJoin(F.broadcast(tot.select("_B")))
-    c = cumulative(hb, score_bucket("score", F.col("_B"), descending=True), [F.desc("score")],
-                   ["pos", "neg"]).drop("_B")
-    tot = tot.drop("_B")
+                adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"),
+                F.min("score").alias("_lo"), F.max("score").alias("_hi"))  # one row
+    hb = h.crossJoin(F.broadcast(tot.select("_B", "_lo", "_hi")))
+    bk = score_bucket("score", F.col("_B"), descending=True, lo=F.col("_lo"), hi=F.col("_hi"))
+    c = cumulative(hb, bk, [F.desc("score")], ["pos", "neg"]).drop("_B", "_lo", "_hi")
+    tot = tot.drop("_B", "_lo", "_hi")
     return c.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp") \
             .crossJoin(F.broadcast(tot))
 

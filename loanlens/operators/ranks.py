@@ -52,10 +52,16 @@ def md5_bucket(order_col: str, hex_digits: int = 4) -> Column:
     return F.conv(F.substring(F.col(order_col), 1, hex_digits), 16, 10).cast("int")
 
 
-def score_bucket(score_col: str, buckets: "int | Column" = BUCKETS, descending: bool = False) -> Column:
-    """Bucket of a score in [0, 1]; higher scores get higher buckets unless descending."""
+def score_bucket(score_col: str, buckets: "int | Column" = BUCKETS, descending: bool = False,
+                 lo: "float | Column" = 0.0, hi: "float | Column" = 1.0) -> Column:
+    """Bucket of a score in [lo, hi] (default [0, 1]); higher scores get higher
+    buckets unless descending. Pass the observed min / max (columns of a
+    one-row aggregate) for scores of any range."""
     nb = buckets if isinstance(buckets, Column) else F.lit(buckets)
-    b = F.least(F.greatest(F.floor(F.col(score_col) * nb), F.lit(0)), nb - 1).cast("int")
+    lo_c = lo if isinstance(lo, Column) else F.lit(float(lo))
+    hi_c = hi if isinstance(hi, Column) else F.lit(float(hi))
+    frac = F.coalesce(F.try_divide(F.col(score_col) - lo_c, hi_c - lo_c), F.lit(0.0))
+    b = F.least(F.greatest(F.floor(frac * nb), F.lit(0)), nb - 1).cast("int")
     return (nb - 1 - b) if descending else b
 
 

@@ -73,3 +73,13 @@ def test_envelopes_bounded_with_a_hot_key(spark, skewed):
     env = B.to_envelopes(recs, by="position")
     assert env.select(F.max(F.size("applications"))).head()[0] <= 100
     assert B.explode_envelopes(env).count() == N
+
+
+def test_roc_auc_with_scores_outside_unit_interval(skewed):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    margins = skewed.withColumn("score", (F.col("score") - 0.5) * 100.0)  # raw margins in [-50, 50]
+    auc = EV.roc_auc(margins).head()[0]
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0)
+    assert auc == pytest.approx(ev.evaluate(margins.withColumn("label", F.col("label").cast("double"))), abs=1e-9)
+    ap = EV.average_precision(margins).head()[0]
+    assert 0.0 <= ap <= 1.0
