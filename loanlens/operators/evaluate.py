@@ -92,12 +92,15 @@ def auc_trapezoid(points: DataFrame, x: str = "fpr", y: str = "tpr",
 
     The previous point comes from ``lag`` inside x-buckets; the first point
     of a bucket takes the last point of the previous non-empty bucket from a
-    small broadcast table, so no window covers all points at once.
-    Requires x in [0, 1].
+    small broadcast table, so no window covers all points at once. Buckets
+    follow the observed x range.
     """
     order = order or [F.col(x), F.col(y)]
-    bk = F.least(F.floor(F.col(x) * buckets), F.lit(buckets - 1)).cast("int")
-    p = points.select(F.col(x).alias("_x"), F.col(y).alias("_y"), *order).withColumn("_bk", bk)
+    rng = points.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"),
+                     adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"))  # one row
+    bk = score_bucket("_x", F.col("_B"), lo=F.col("_lo"), hi=F.col("_hi"))
+    p = (points.select(F.col(x).alias("_x"), F.col(y).alias("_y"), *order)
+         .crossJoin(F.broadcast(rng)).withColumn("_bk", bk).drop("_lo", "_hi", "_B"))
     w = Window.partitionBy("_bk").orderBy(*order)
     p = p.withColumn("_rn", F.row_number().over(w)) \
          .withColumn("_px", F.lag("_x").over(w)).withColumn("_py", F.lag("_y").over(w))

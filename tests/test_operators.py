@@ -290,3 +290,11 @@ def test_corr_matrix_pairwise_complete_with_nulls(spark):
     assert got[("a", "b")] == pytest.approx(pair(cols[0], cols[1]))
     assert got[("b", "c")] == pytest.approx(pair(cols[1], cols[2]))
     assert got[("a", "c")] == pytest.approx(pair(cols[0], cols[2]))
+
+
+def test_trapezoid_on_arbitrary_points(spark):
+    pts = spark.createDataFrame([(float(x), float(x) ** 2) for x in range(-50, 51)], "fpr double, tpr double")
+    area = EV.auc_trapezoid(pts).head()[0]
+    import numpy as np
+    xs = np.arange(-50, 51, dtype=float)
+    assert area == pytest.approx(float(np.trapezoid(xs ** 2, xs)))
