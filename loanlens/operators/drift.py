@@ -357,8 +357,11 @@ def quality_by_side(ref: DataFrame, cur: DataFrame, label: str, score: str | Non
                                F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
     h = s.groupBy("side", "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
     from loanlens.operators.ranks import score_bucket
-    c = cumulative(h, score_bucket("score", BUCKETS, descending=True), [F.desc("score")], ["pos", "neg"],
-                   groups=["side"])
+    rng = h.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"),
+                adaptive_buckets(F.count(F.lit(1)), BUCKETS).alias("_B"))  # one row
+    hb = h.crossJoin(F.broadcast(rng))
+    bk = score_bucket("score", F.col("_B"), descending=True, lo=F.col("_lo"), hi=F.col("_hi"))
+    c = cumulative(hb, bk, [F.desc("score")], ["pos", "neg"], groups=["side"])
     auc = c.groupBy("side").agg(F.try_divide(F.sum(F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2.0)),
                                              F.sum("neg") * F.sum("pos")).alias("roc_auc"))
     return metrics_from_counts(cm).join(auc, "side")
