@@ -70,7 +70,7 @@ def stacked(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
 def drift_overview(ref: DataFrame, cur: DataFrame) -> DataFrame:
     """Row counts per side (two scans, one row)."""
     return ref.agg(F.count(F.lit(1)).alias("reference_rows")).crossJoin(
-        cur.agg(F.count(F.lit(1)).alias("current_rows")))
+        F.broadcast(cur.agg(F.count(F.lit(1)).alias("current_rows"))))  # one row each
 
 
 def target_drift(ref: DataFrame, cur: DataFrame, target: str, cast: str = "strict") -> DataFrame:
@@ -82,7 +82,7 @@ def target_drift(ref: DataFrame, cur: DataFrame, target: str, cast: str = "stric
     def side(df, name):
         t = F.col(target).cast("int")
         return df.agg(F.avg(t).alias(f"{name}_rate"), F.count_if(~t.isin(0, 1)).alias(f"{name}_bad"))
-    j = side(ref, "reference").crossJoin(side(cur, "current"))
+    j = side(ref, "reference").crossJoin(F.broadcast(side(cur, "current")))  # one row each
     return j.select("reference_rate", "current_rate",
                     F.abs(F.col("current_rate") - F.col("reference_rate")).alias("rate_change"),
                     (F.col("reference_bad") + F.col("current_bad")).alias("n_non_binary"))

@@ -188,4 +188,4 @@ def evaluate_all(df: DataFrame, threshold: float = 0.5, label: str = "label",
                  score: str = "score") -> DataFrame:
     """One row: accuracy, precision, recall, F1 at ``threshold`` and ROC-AUC."""
     m = classification_metrics(df, threshold, label, score)
-    return m.crossJoin(roc_auc(df, label, score))
+    return m.crossJoin(F.broadcast(roc_auc(df, label, score)))  # one row each

@@ -59,7 +59,7 @@ def quantile_row(df: DataFrame, cols: list[str], qs: list[float], names: list[st
             parts.append(quantile_row(df, big, qs, names, "distributed", groups))
         out = parts[0]
         for p in parts[1:]:
-            out = out.join(p, groups, "full") if groups else out.crossJoin(p)
+            out = out.join(p, groups, "full") if groups else out.crossJoin(F.broadcast(p))  # one row each
         return out
     if mode == "distributed":
         return quantiles_wide(df, cols, qs, groups, names)

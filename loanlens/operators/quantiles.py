@@ -50,7 +50,7 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float], groups: l
     c = cumulative(hb, bk, [F.col("value")], ["cnt"], groups=keys)
     c = c.select(*keys, "value", (F.col("cnt_cum") - F.col("cnt")).alias("_before"), F.col("cnt_cum").alias("_upto"))
     pr = spark.createDataFrame([(float(p),) for p in probs], "p double")
-    tg = rng.select(*keys, "_n").crossJoin(pr).withColumn("_pos", (F.col("_n") - 1) * F.col("p")) \
+    tg = rng.select(*keys, "_n").crossJoin(F.broadcast(pr)).withColumn("_pos", (F.col("_n") - 1) * F.col("p")) \
             .withColumn("_klo", F.floor("_pos")).withColumn("_khi", F.ceil("_pos"))
     # the row whose rank range [_before, _upto) holds position k has the k-th value (0-based)
     hit = c.join(F.broadcast(tg), keys).where(

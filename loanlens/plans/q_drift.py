@@ -50,7 +50,7 @@ def resolve_target(spark, d):
     """The target found in both tables, with its non-null count per side."""
     ref, cur = sides(spark, d)
     t = D.resolve_target(ref, cur, "loan_status")
-    return ref.agg(F.count(t).alias("reference_rows")).crossJoin(cur.agg(F.count(t).alias("current_rows"))) \
+    return ref.agg(F.count(t).alias("reference_rows")).crossJoin(F.broadcast(cur.agg(F.count(t).alias("current_rows")))) \
               .select(F.lit(t).alias("target"), "reference_rows", "current_rows")
 
 
