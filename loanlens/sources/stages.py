@@ -63,7 +63,14 @@ def enabled(spark: SparkSession) -> bool:
     return spark.conf.get("loanlens.stages.enabled", "true").lower() == "true"
 
 
-_LOCK = threading.Lock()
+_LOCKS: dict[str, threading.RLock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock_for(path: str) -> threading.RLock:
+    """One re-entrant lock per stage path: a stage may build from other stages."""
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.RLock())
 
 
 def stage(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
@@ -76,7 +83,7 @@ def stage(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
     if not enabled(spark):
         return build()
     path = scratch_path(spark, f"stage-{name}-{input_stamp(spark, inputs)}")
-    with _LOCK:
+    with _lock_for(path):
         if not _exists(spark, path):
             tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
             build().write.mode("overwrite").parquet(tmp)
