@@ -22,4 +22,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every operator module so that its ``register`` calls run."""
     from loanlens.llm import (  # noqa: F401
-        url_filter, mixing, quality, token_ids, line_dedup, language, toxicity)
+        url_filter, mixing, quality, token_ids, line_dedup, language, toxicity, simhash, decontaminate)
