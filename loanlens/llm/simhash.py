@@ -134,12 +134,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
         t, p = (x.join(sizes, ["seg", "v"], "left_anti") for x in (t, p))
     t, p = t.withColumnRenamed("fp", "a"), p.withColumnRenamed("fp", "b")
     # the ball is symmetric, so the smaller of two fingerprints is always found by the larger
-    out = p.join(t, (t["seg"] == p["seg"]) & (t["v"] == p["v"]) & (t["a"] < p["b"]) & near(t["a"], p["b"])).select("a", "b")
+    out = p.join(t.hint("merge"), (t["seg"] == p["seg"]) & (t["v"] == p["v"]) & (t["a"] < p["b"]) & near(t["a"], p["b"])).select("a", "b")
     if some_hot:
         inside = staged(probes.join(sizes, ["seg", "v"], "left_semi").select("fp").distinct(), "hot-members")
         masks = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in ball_masks(64, max_bits // 2)])
         center = inside.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("c"))
-        star = center.join(center.groupBy("c").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z"), "c")
+        # exploded rows are many times what the planner takes them for, so no side is broadcast
+        star = center.join(center.groupBy("c").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z").hint("merge"), "c")
         if max_bits % 2:   # odd: the ball of radius k covers distance 2k, one more bit is looked up directly
             raise ValueError("hot segment values need an even max_bits")
         out = out.unionByName(star.select("a", F.col("fp").alias("b")).filter("a < b"))
