@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,10 +68,13 @@ def release(spark: SparkSession) -> None:
 
     They go when the driver's JVM collects the plans that own them, which a
     driver with little garbage does seldom; on long chains of written stages
-    they would all pile up on the executors' disks.
+    they would all pile up on the executors' disks. The first collection
+    finds the plans, the second what they own.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def ascii_lower(c: Column) -> Column:

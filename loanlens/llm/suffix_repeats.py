@@ -48,7 +48,7 @@ from loanlens.llm.common import drop_stage, release, staged, table
 from loanlens.llm.registry import register
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 PIECE = 1 << 20
 GROUP = 20_000
 _N_BITS = 6          # windows of a phrase
