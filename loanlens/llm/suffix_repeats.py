@@ -21,11 +21,14 @@ a maximal repeat; it is output as a group with all its occurrences, and the
 occurrences behind its smallest document are marked.
 
 Matches use 64-bit hashes of anchor and phrase together (128 bits), the
-suffix array uses the bytes themselves. A passage that very many documents
-share sends one 40-byte row for each document and anchor to the anchor's
-task, where rows are sorted (with spill) and streamed; only first documents
-of distinct phrases meet in memory, in groups of at most ``GROUP`` phrases;
-beyond, the anchor's windows are grouped by a partial aggregation instead.
+suffix array uses the bytes themselves. Common passages: a task compares its
+own documents before the shuffle and sends on one row a phrase, so the
+inside of a passage arrives once a task. The anchors at a passage's two ends
+make another phrase in nearly every document; their rows (40 bytes) still go
+to the anchor's task, where they are sorted with spill and streamed. Only
+first documents of distinct phrases meet in memory, in groups of at most
+``GROUP`` phrases; beyond, the anchor's windows are grouped by a partial
+aggregation instead.
 
 Defined results: a null or empty text has no bytes; rows with a null id stay
 whole and are nobody's smaller document; equal ids are one document to each
@@ -51,8 +54,12 @@ LENGTH = 50
 GRAM = 20
 PIECE = 1 << 20
 GROUP = 20_000
-_N_BITS = 6          # windows of a phrase
-_LO_BITS = 31        # first byte of a phrase
+# a position packs: row | first byte of the phrase | two flags | windows of the phrase
+_N_BITS = 6
+_MORE = 1 << 6       # the phrase occurs again in its document
+_SURE = 1 << 7       # a smaller document read by the same task holds the phrase
+_LO = 8
+_ROW = _LO + 31
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -136,8 +143,19 @@ def _phrase_rows(length: int, gram: int):
             doc, row, off, texts = zip(*buf, strict=True)
             owner, first, n, ah, ph = phrases(list(texts), length, gram)
             lo = first + np.array(off, np.int64)[owner]
-            pos = np.array(row, np.int64)[owner] << (_LO_BITS + _N_BITS) | lo << _N_BITS | n
-            return pa.RecordBatch.from_arrays([pa.array(ah), pa.array(ph), pa.array(np.array(doc, np.int64)[owner]), pa.array(pos)],
+            doc, row = np.array(doc, np.int64)[owner], np.array(row, np.int64)[owner]
+            order = np.lexsort((lo, row, doc, ph, ah))
+            doc, row, lo, n, ah, ph = (x[order] for x in (doc, row, lo, n, ah, ph))
+            new = np.r_[True, (ah[1:] != ah[:-1]) | (ph[1:] != ph[:-1])] if len(ah) else np.zeros(0, bool)
+            own = new | np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])] if len(ah) else new
+            at = np.flatnonzero(own)        # one row for each phrase and document
+            more = np.diff(np.append(at, len(own))) > 1
+            least = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            sure = doc[at] > doc[least[at]]
+            pos = row[at] << _ROW | lo[at] << _LO | np.where(sure, _SURE, 0) | np.where(more, _MORE, 0) | n[at]
+            # sure rows need no comparison: they are spread over the tasks
+            key = np.where(sure, _mix((doc[at] ^ pos << 20).view(np.uint64)).view(np.int64), ah[at])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ph[at]), pa.array(doc[at]), pa.array(pos)],
                                               names=["ah", "ph", "doc", "pos"])
         for b in batches:
             cols = [b.column(b.schema.get_field_index(c)) for c in ("doc", "row", "text")]
@@ -289,8 +307,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, row, text, phrase_list in zip(*cols, strict=True):
             raw, doc, row = text.as_buffer().to_pybytes(), doc.as_py(), row.as_py()
             for x in phrase_list.as_py():
-                lo, n = x["pos"] >> _N_BITS & (1 << _LO_BITS) - 1, x["pos"] & (1 << _N_BITS) - 1
-                if x["pos"] >> (_LO_BITS + _N_BITS) == row:
+                lo, n = x["pos"] >> _LO & (1 << _ROW - _LO) - 1, x["pos"] & (1 << _N_BITS) - 1
+                if x["pos"] >> _ROW == row:
                     for o, v in zip(out, (x["ah"], doc, x["pos"], raw[lo:lo + n + LENGTH - 1]), strict=True):
                         o.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
@@ -328,10 +346,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     rows = rows.repartition("ah")
     group = Window.partitionBy("ah")
     same = Window.partitionBy("ah", "ph")
-    rows = (rows.withColumn("d0", F.min("doc").over(group)).withColumn("d1", F.max("doc").over(group)).filter("d0 < d1")
+    rows = (rows.withColumn("d0", F.min("doc").over(group)).withColumn("d1", F.max("doc").over(group))
+            .withColumn("sure", F.col("pos").bitwiseAND(_SURE) != 0).filter("sure OR d0 < d1")
             .withColumn("p0", F.min("ph").over(group)).withColumn("p1", F.max("ph").over(group))
             .withColumn("first", F.min("doc").over(same)))
-    whole = F.col("first") < F.col("doc")
+    whole = F.col("sure") | (F.col("first") < F.col("doc"))
     found = staged(rows.filter(whole | (F.col("p0") != F.col("p1")))
                    .select("doc", "pos", F.when(~whole, F.col("ah")).alias("ah")), "phrases")
     release(spark)
@@ -376,15 +395,31 @@ def covered(raw: bytes, row: int, marks: pa.ListScalar, length: int) -> np.ndarr
     if not marks.is_valid:
         return np.zeros(len(raw), bool)
     pos, mask = (marks.values.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "mask"))
-    own = pos >> (_LO_BITS + _N_BITS) == row
+    own = pos >> _ROW == row
     pos, mask = pos[own], mask[own].view(np.uint64)
-    lo = pos >> _N_BITS & (1 << _LO_BITS) - 1
+    lo = pos >> _LO & (1 << _ROW - _LO) - 1
+    again = np.flatnonzero(pos & _MORE)
+    if len(again):
+        extra = [(at, mask[k]) for k in again.tolist()
+                 for at in other_places(raw, int(lo[k]), int(pos[k] & (1 << _N_BITS) - 1) + length - 1)]
+        lo = np.concatenate([lo, np.array([x for x, _ in extra], np.int64)])
+        mask = np.concatenate([mask, np.array([m for _, m in extra], np.uint64)])
     which, bit = np.nonzero(np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     start = lo[which] + bit
     edge = np.bincount(start, minlength=len(raw) + 1) - np.bincount(start + length, minlength=len(raw) + 1)
     return np.cumsum(edge)[:-1] > 0
 
 
+def other_places(raw: bytes, lo: int, size: int) -> Iterator[int]:
+    """Other places of the ``size`` bytes at ``lo``."""
+    part = raw[lo:lo + size]
+    at = raw.find(part)
+    while at >= 0:
+        if at != lo:
+            yield at
+        at = raw.find(part, at + 1)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     d = numbered(docs)
