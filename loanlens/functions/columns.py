@@ -33,6 +33,16 @@ def round_doubles(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the keys come from ``left``."""
+    r = right.select(*[F.col(c).alias(f"_rk_{c}" if c in keys else c) for c in right.columns])
+    on = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_rk_{k}"])
+        on = c if on is None else on & c
+    return left.join(r, on, how).drop(*[f"_rk_{k}" for k in keys])
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """One missing value: NaN in double columns becomes null."""
     return df.select([

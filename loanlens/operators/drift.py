@@ -44,7 +44,7 @@ def resolve_target(ref: DataFrame, cur: DataFrame, target: str = "default") -> s
     for f in ref.schema.fields:
         if f.name in cur.columns and isinstance(f.dataType, INTEGRAL_TYPES):
             return f.name
-    raise ValueError(f"Could not identify a compatible target column from {ref.columns}")
+    raise ValueError(f"no shared target column among {ref.columns}")
 
 
 def shared_columns(ref: DataFrame, cur: DataFrame, target: str,
@@ -73,7 +73,7 @@ def drift_overview(ref: DataFrame, cur: DataFrame) -> DataFrame:
         F.broadcast(cur.agg(F.count(F.lit(1)).alias("current_rows"))))  # one row each
 
 
-def target_drift(ref: DataFrame, cur: DataFrame, target: str, cast: str = "strict") -> DataFrame:
+def target_drift(ref: DataFrame, cur: DataFrame, target: str) -> DataFrame:
     """Target rate per side after an int cast, and the absolute change.
 
     ``n_non_binary`` counts values outside {0, 1} after the cast;
@@ -149,28 +149,31 @@ def drift_summary(ref: DataFrame, cur: DataFrame, target: str = "default",
 
 
 def report_html(ref: DataFrame, cur: DataFrame, target: str = "default",
-                exclude: tuple[str, ...] = ()) -> str:
-    """The simple HTML report built from k summary rows."""
+                exclude: tuple[str, ...] = (), cast: str = "strict") -> str:
+    """The simple HTML report built from k summary rows.
+
+    A target outside 0/1 is an error unless ``cast='truncate'``.
+    """
     t = resolve_target(ref, cur, target)
     ov = drift_overview(ref, cur).head()
-    td = target_drift(ref, cur, t).head()
+    td = check_binary_target(target_drift(ref, cur, t), cast).head()
     rows = drift_summary(ref, cur, t, exclude).orderBy("kind", "feature").collect()
     body = []
     for r in rows:
         if r["kind"] == "numeric":
-            text = f"mean shift: {r['mean_shift']:.3f}"
+            shift = r["mean_shift"]
+            text = "mean moved by " + ("n/a" if shift is None else f"{shift:.3f}")
         else:
-            text = f"reference categories: {r['reference_top']}; current categories: {r['current_top']}"
+            text = f"most frequent before: {r['reference_top']}; now: {r['current_top']}"
         body.append(f"<tr><td>{html.escape(r['feature'])}</td><td>{html.escape(text)}</td></tr>")
     if not body:
-        body = ['<tr><td colspan="2">No comparable feature columns were found.</td></tr>']
+        body = ['<tr><td colspan="2">The two tables share no feature.</td></tr>']
     rr, cr = td["reference_rate"] or 0.0, td["current_rate"] or 0.0
     return ("<!DOCTYPE html>\n<html lang=\"en\">\n<head><meta charset=\"utf-8\" />"
             "<title>Monitoring summary</title></head>\n<body>\n<h1>Monitoring summary</h1>\n"
-            f"<p>Reference rows: {ov['reference_rows']} | Current rows: {ov['current_rows']}</p>\n"
-            f"<p>Reference target rate: {rr:.2%} | Current target rate: {cr:.2%}</p>\n"
-            f"<h2>Target drift</h2>\n<p>Target prevalence changed by {abs(cr - rr):.3%}.</p>\n"
-            "<h2>Feature-level summary</h2>\n<table>\n<thead><tr><th>Feature</th><th>Observation</th></tr></thead>\n"
+            f"<p>{ov['reference_rows']} rows before, {ov['current_rows']} rows now</p>\n"
+            f"<h2>Target drift</h2>\n<p>Share of positives: {rr:.2%} before, {cr:.2%} now, a move of {abs(cr - rr):.3%}</p>\n"
+            "<h2>Features</h2>\n<table>\n<thead><tr><th>Column</th><th>Change</th></tr></thead>\n"
             f"<tbody>{''.join(body)}</tbody>\n</table>\n</body>\n</html>\n")
 
 
@@ -214,8 +217,8 @@ def _ecdf(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = BUCKET
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     j = h.join(F.broadcast(offs), ["feature", "_bk"])
     return j.select("feature", "value", "tot_ref", "tot_cur",
-                    ((F.sum("n_ref").over(upto) + F.col("_or")) / F.col("tot_ref")).alias("F_ref"),
-                    ((F.sum("n_cur").over(upto) + F.col("_oc")) / F.col("tot_cur")).alias("F_cur"),
+                    F.try_divide((F.sum("n_ref").over(upto) + F.col("_or")).cast("double"), F.col("tot_ref")).alias("F_ref"),
+                    F.try_divide((F.sum("n_cur").over(upto) + F.col("_oc")).cast("double"), F.col("tot_cur")).alias("F_cur"),
                     F.coalesce(F.lead("value").over(w), F.col("_nb")).alias("next_value"))
 
 
@@ -246,7 +249,7 @@ def ks_drift(ref: DataFrame, cur: DataFrame, cols: list[str], p_threshold: float
     g = e.groupBy("feature").agg(F.max(F.abs(F.col("F_ref") - F.col("F_cur"))).alias("ks_stat"),
                                  F.first("tot_ref").alias("n_ref"), F.first("tot_cur").alias("n_cur"))
     n, m = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
-    g = g.withColumn("_lam", F.sqrt(n * m / (n + m)) * F.col("ks_stat"))
+    g = g.withColumn("_lam", F.sqrt(F.try_divide(n * m, n + m)) * F.col("ks_stat"))
     g = g.withColumn("p_value", ks_pvalue(F.col("_lam"))).drop("_lam")
     return g.withColumn("drifted", (F.col("p_value") < p_threshold).cast("int"))
 
@@ -291,8 +294,9 @@ def psi_drift(ref: DataFrame, cur: DataFrame, cols: list[str], threshold: float
 def _psi_from_counts(cnt: DataFrame, threshold: float, eps: float) -> DataFrame:
     tot = cnt.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
     c = cnt.join(F.broadcast(tot), "feature")
-    pr = F.greatest(F.col("n_ref") / F.col("tot_ref"), F.lit(eps))
-    pc = F.greatest(F.col("n_cur") / F.col("tot_cur"), F.lit(eps))
+    some = (F.col("tot_ref") > 0) & (F.col("tot_cur") > 0)  # an empty side: null
+    pr = F.when(some, F.greatest(F.try_divide(F.col("n_ref").cast("double"), F.col("tot_ref")), F.lit(eps)))
+    pc = F.when(some, F.greatest(F.try_divide(F.col("n_cur").cast("double"), F.col("tot_cur")), F.lit(eps)))
     g = c.groupBy("feature").agg(F.sum((pc - pr) * F.log(pc / pr)).alias("psi"))
     return g.withColumn("drifted", (F.col("psi") > threshold).cast("int"))
 
@@ -321,11 +325,11 @@ def _category_counts(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFra
 def js_drift(ref: DataFrame, cur: DataFrame, cols: list[str], threshold: float = JS_THRESHOLD) -> DataFrame:
     """Jensen-Shannon distance (natural log) between category shares."""
     c = _category_counts(ref, cur, cols)
-    p, q = F.col("n_ref") / F.col("tot_ref"), F.col("n_cur") / F.col("tot_cur")
+    p, q = (F.try_divide(F.col(f"n_{s}").cast("double"), F.col(f"tot_{s}")) for s in ("ref", "cur"))
     m = (p + q) / 2.0
-    kl = lambda a: F.when(a > 0, a * F.log(a / m)).otherwise(F.lit(0.0))
+    kl = lambda a: F.when(a.isNull(), F.lit(None)).when(a > 0, a * F.log(a / m)).otherwise(F.lit(0.0))
     g = c.groupBy("feature").agg(F.sum(0.5 * kl(p) + 0.5 * kl(q)).alias("_js"))
-    return g.select("feature", F.sqrt(F.greatest(F.col("_js"), F.lit(0.0))).alias("js_distance")) \
+    return g.select("feature", F.sqrt(F.when(F.col("_js") < 0, F.lit(0.0)).otherwise(F.col("_js"))).alias("js_distance")) \
             .withColumn("drifted", (F.col("js_distance") > threshold).cast("int"))
 
 
@@ -335,7 +339,7 @@ def chi2_drift(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     n = F.col("tot_ref") + F.col("tot_cur")
     col_tot = F.col("n_ref") + F.col("n_cur")
     e_ref, e_cur = F.col("tot_ref") * col_tot / n, F.col("tot_cur") * col_tot / n
-    term = (F.col("n_ref") - e_ref) ** 2 / e_ref + (F.col("n_cur") - e_cur) ** 2 / e_cur
+    term = F.try_divide((F.col("n_ref") - e_ref) ** 2, e_ref) + F.try_divide((F.col("n_cur") - e_cur) ** 2, e_cur)
     return c.groupBy("feature").agg(F.sum(term).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
 
 

@@ -127,9 +127,9 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataF
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """H7: sum(pos/P * tp/(tp+fp)) over distinct scores."""
+    """H7: sum(pos/P * tp/(tp+fp)) over distinct scores; 0 without positives."""
     h = score_histogram(df, label, score)
-    return h.agg(F.coalesce(F.sum(F.col("pos") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp"))),
+    return h.agg(F.coalesce(F.sum(F.try_divide(F.col("pos").cast("double"), F.col("P")) * F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))),
                             F.lit(0.0)).alias("average_precision"))
 
 

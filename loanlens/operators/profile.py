@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.functions.columns import categorical_columns, numeric_columns, safe_div
+from loanlens.functions.columns import categorical_columns, null_safe_join, numeric_columns, safe_div
 
 
 def _pct(c: str | Column, qs: list[float], exact: bool = True) -> Column:
@@ -299,8 +299,8 @@ def box_summary(df: DataFrame, value: str, by: str | None = "loan_status",
         .select(*keys, *[F.col(f"{value}__{n}").alias(n) for n in ("q1", "median", "q3")])
     stats = stats.withColumn("lower", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
                  .withColumn("upper", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    # k-row side (one row per class): broadcast join, no shuffle of the rows.
-    j = (df.select(*keys, value).join(F.broadcast(stats), keys) if keys
+    # one row per class on the right; Catalyst broadcasts it where it is small
+    j = (null_safe_join(df.select(*keys, value), stats, keys) if keys
          else df.select(value).crossJoin(F.broadcast(stats)))
     v = F.col(value)
     inside = (v >= F.col("lower")) & (v <= F.col("upper"))
@@ -365,9 +365,9 @@ def kdes(df: DataFrame, cols: list[str], grid: int = 200, fine_bins: int = 1024)
     g = pts.crossJoin(F.broadcast(st.select("feature", "lo", "hi"))).select(
         "feature", "gi",
         (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("gi") / F.lit(float(grid - 1))).alias("x"))
-    z = (F.col("x") - F.col("centre")) / F.col("bw")
-    dens = F.sum(F.col("cnt") * F.exp(-0.5 * z * z)) / (
-        F.first("n") * F.first("bw") * F.lit(math.sqrt(2 * math.pi)))
+    z = safe_div(F.col("x") - F.col("centre"), F.col("bw"))  # constant column: null density
+    dens = safe_div(F.sum(F.col("cnt") * F.exp(-0.5 * z * z)),
+                    F.first("n") * F.first("bw") * F.lit(math.sqrt(2 * math.pi)))
     # bins x grid per column: <= fine_bins x grid rows each, joined on the column name
     out = g.join(binned, "feature").groupBy("feature", "gi", "x").agg(dens.alias("density"))
     return out.join(F.broadcast(st.select("feature", "lo", "hi")), "feature").select(

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.functions.columns import null_safe_join
 from loanlens.operators.ranks import BUCKETS, adaptive_buckets, cumulative
 
 
@@ -43,7 +44,7 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float], groups: l
     h = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     rng = h.groupBy(*keys).agg(_slog(F.min("value")).alias("_lo"), _slog(F.max("value")).alias("_hi"),
                                F.sum("cnt").alias("_n"), adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"))
-    hb = h.join(F.broadcast(rng), keys)  # one row per (group, column)
+    hb = null_safe_join(h, rng, keys)  # one row per (group, column)
     bk = F.coalesce(F.least(F.floor(F.try_divide(_slog(F.col("value")) - F.col("_lo"),
                                                   F.col("_hi") - F.col("_lo")) * F.col("_B")),
                             F.col("_B") - 1), F.lit(0)).cast("int")
@@ -53,7 +54,7 @@ def quantiles_long(df: DataFrame, cols: list[str], probs: list[float], groups: l
     tg = rng.select(*keys, "_n").crossJoin(F.broadcast(pr)).withColumn("_pos", (F.col("_n") - 1) * F.col("p")) \
             .withColumn("_klo", F.floor("_pos")).withColumn("_khi", F.ceil("_pos"))
     # the row whose rank range [_before, _upto) holds position k has the k-th value (0-based)
-    hit = c.join(F.broadcast(tg), keys).where(
+    hit = null_safe_join(c, tg, keys).where(
         ((F.col("_klo") >= F.col("_before")) & (F.col("_klo") < F.col("_upto"))) |
         ((F.col("_khi") >= F.col("_before")) & (F.col("_khi") < F.col("_upto"))))
     lohi = hit.groupBy(*keys, "p", "_pos", "_klo", "_khi").agg(

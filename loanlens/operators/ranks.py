@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanlens.functions.columns import null_safe_join
+
 # Default bucket count of the offset scheme (16^4). Only non-empty buckets
 # reach the offsets table, so small inputs pay nothing; at ~1e11 rows a
 # (group, bucket) window partition holds ~2 million rows.
@@ -72,7 +74,8 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column]
     ``bucket`` must be non-decreasing in ``order`` (ties in order must share
     a bucket). Equal to ``row_number() over (partition by groups order by
     order)`` without a single-partition window. Meant for few groups (class
-    labels, columns): the broadcast offsets table has groups x buckets rows.
+    labels, columns): the offsets table has groups x buckets rows. Null groups
+    are groups like any other.
     With many groups a plain ``Window.partitionBy(groups)`` is already
     spread over tasks and needs no buckets.
     """
@@ -81,7 +84,7 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column]
     wo = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select(*groups, "_bk", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*groups, "_bk").orderBy(*order)
-    out = (b.join(F.broadcast(offs), [*groups, "_bk"])
+    out = (null_safe_join(b, offs, [*groups, "_bk"])
            .withColumn(name, (F.row_number().over(w) + F.col("_off")).cast("long")))
     return out.drop("_bk", "_off")
 
@@ -100,7 +103,7 @@ def cumulative(df: DataFrame, bucket: Column, order: list[Column], sums: list[st
     offs = tot.select(*groups, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
                                          for c in sums])
     w = Window.partitionBy(*groups, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(F.broadcast(offs), [*groups, "_bk"])
+    out = null_safe_join(b, offs, [*groups, "_bk"])
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w) + F.col(f"_o_{c}"))
     return out.drop("_bk", *[f"_o_{c}" for c in sums])

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.functions.columns import null_safe_join
 from loanlens.operators.ranks import hex_digits_for, md5_bucket, md5_order_key, ranked
 
 
@@ -20,39 +21,29 @@ def _class_ranked(df: DataFrame, key: str, label: str, seed: int, hex_digits: in
     return ranked(d, [label], md5_bucket("_ord", hex_digits), [F.col("_ord"), F.col(key)], "_rk")
 
 
-MAX_CLASSES = 10_000
-
-
-def class_sizes(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
-    """Rows per class, fetched once (k rows) with an explicit size check."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"{label} has more than {max_classes} classes; not a class label")
-    return {r[label]: r["n"] for r in rows}
-
-
-def _class_map(values: dict) -> Column:
-    """Literal map class -> value (no join; the plan carries the constants)."""
-    items = [x for k, v in values.items() if k is not None for x in (F.lit(k), F.lit(v))]
-    return F.create_map(*items) if items else F.create_map()
+def largest_class(df: DataFrame, label: str) -> int:
+    """Rows of the largest class (one row reaches the driver)."""
+    return class_counts(df, label).agg(F.max("n")).first()[0] or 0
 
 
 def stratified_split(df: DataFrame, key: str = "app_id", label: str = "loan_status",
                      test_size: float = 0.2, seed: int = 42, hex_digits: int | None = None) -> DataFrame:
-    """Add ``split`` ('train' / 'test'), exact ceil(test_size * n_c) test rows per class."""
-    sizes = class_sizes(df, label)
-    hex_digits = hex_digits or hex_digits_for(max(sizes.values(), default=0))
+    """Add ``split`` ('train' / 'test'), exact ceil(test_size * n_c) test rows per class.
+
+    Rows with a null label are a class of their own.
+    """
+    hex_digits = hex_digits or hex_digits_for(largest_class(df, label))
     r = _class_ranked(df, key, label, seed, hex_digits)
-    n_c = F.element_at(_class_map(sizes), F.col(label))
-    is_test = F.col("_rk") <= F.ceil(n_c * F.lit(test_size))
-    return r.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_ord", "_rk")
+    r = null_safe_join(r, class_counts(df, label).withColumnRenamed("n", "_n_c"), [label])
+    is_test = F.col("_rk") <= F.ceil(F.col("_n_c") * F.lit(test_size))
+    return r.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_ord", "_rk", "_n_c")
 
 
 def stratified_folds(df: DataFrame, key: str = "app_id", label: str = "loan_status",
                      k: int = 5, seed: int = 42, hex_digits: int | None = None) -> DataFrame:
     """Add ``fold`` in [0, k): round-robin over the seeded order within each class."""
     if hex_digits is None:
-        hex_digits = hex_digits_for(max(class_sizes(df, label).values(), default=0))
+        hex_digits = hex_digits_for(largest_class(df, label))
     r = _class_ranked(df, key, label, seed, hex_digits)
     return r.withColumn("fold", F.pmod(F.col("_rk") - 1, F.lit(k)).cast("int")).drop("_ord", "_rk")
 
@@ -69,15 +60,13 @@ def class_ratio(df: DataFrame, label: str = "loan_status") -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "loan_status") -> DataFrame:
     """Balanced weights n / (n_classes * n_c) per class (k rows)."""
-    sizes = class_sizes(df, label)
-    n, k = sum(sizes.values()), len(sizes)
-    return df.sparkSession.createDataFrame(
-        [(c, m, n / (k * m)) for c, m in sizes.items()],
-        f"{label} {dict(df.dtypes)[label]}, n bigint, weight double")
+    c = class_counts(df, label)
+    total = c.agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    return c.crossJoin(F.broadcast(total)).select(  # one row
+        label, "n", (F.col("_n") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
 def with_weights(df: DataFrame, label: str = "loan_status", name: str = "weight") -> DataFrame:
-    """Attach the balanced weight column as a literal class -> weight map."""
-    sizes = class_sizes(df, label)
-    n, k = sum(sizes.values()), len(sizes)
-    return df.withColumn(name, F.element_at(_class_map({c: n / (k * m) for c, m in sizes.items()}), F.col(label)))
+    """Attach the balanced weight column by a join with the class table."""
+    w = class_weights(df, label).select(label, F.col("weight").alias(name))
+    return null_safe_join(df, w, [label], "left")

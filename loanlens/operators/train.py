@@ -59,16 +59,16 @@ def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFram
 
 
 def balanced_weights(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
-    """n / (2 n_c) per row, from class sizes fetched once (a literal map, no join)."""
+    """n / (2 n_c) per row, by a join with the class table."""
     from loanlens.operators.split import with_weights
     return with_weights(df, label, name)
 
 
 def positive_weight(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
     """1 for negatives, n0/n1 for positives (boosting's scale_pos_weight)."""
-    from loanlens.operators.split import class_sizes
-    sizes = class_sizes(df, label)
-    ratio = sizes.get(0, 0) / sizes[1] if sizes.get(1) else 1.0
+    from loanlens.operators.split import class_ratio
+    ratio = class_ratio(df, label).first()["ratio"]
+    ratio = 1.0 if ratio is None else ratio
     return df.withColumn(name, F.when(F.col(label) == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
 
 

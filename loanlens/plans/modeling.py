@@ -50,7 +50,7 @@ def prepare(spark: SparkSession, d: str, fit_on: str = "train", k: int = 5,
     fitted on the training part (``fit_on='all'`` reproduces the reference's
     fit before the split).
     """
-    key = (id(spark), d, fit_on, k, importance)
+    key = (spark.sparkContext.applicationId, d, fit_on, k, importance)
     if key in _CACHE:
         return _CACHE[key]
     ensure_checkpoint_dir(spark)

@@ -27,7 +27,7 @@ _FITTED: dict[tuple, TR.FittedModel] = {}
 
 def fitted(spark, d, kind: str) -> tuple:
     p = prepare(spark, d)
-    key = (id(spark), d, kind)
+    key = (spark.sparkContext.applicationId, d, kind)
     if key not in _FITTED:
         _FITTED[key] = TR.fit_model(kind, p.train)
     return p, _FITTED[key]

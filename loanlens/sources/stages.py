@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from loanlens.session import scratch_path
 
 
+#: Raise it when the stages' code changes, so that older tables in a shared folder are not read.
+VERSION = "2"
+
+
 def _fs(spark: SparkSession, path: str):
     """Hadoop FileSystem handle (classic sessions); None under Spark Connect."""
     jvm = getattr(spark, "_jvm", None)
@@ -34,13 +38,15 @@ def _fs(spark: SparkSession, path: str):
 
 
 def input_stamp(spark: SparkSession, paths: list[str]) -> str:
-    """Path, length and modification time of each input (file or folder)."""
-    parts = []
+    """Path, length and modification time of every file of the inputs, and the version of the stages."""
+    parts = [VERSION]
     for path in paths:
         p, fs = _fs(spark, path)
         if fs is not None:
-            st = fs.getContentSummary(p)
-            parts.append(f"{path}:{st.getLength()}:{fs.getFileStatus(p).getModificationTime()}")
+            files = fs.listFiles(p, True)
+            while files.hasNext():
+                st = files.next()
+                parts.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
         else:  # file listing through the binaryFile source; ``content`` is pruned, not read
             rows = (spark.read.format("binaryFile").load(path)
                     .selectExpr("sum(length) AS n", "max(modificationTime) AS t").collect())

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from loanlens.functions.columns import nan_to_null
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
@@ -97,10 +99,10 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_applications_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV scan with header and the explicit application schema (no inference)."""
-    return (spark.read.schema(APPLICATION_SCHEMA)
-            .option("header", True).option("nanValue", "NaN").csv(path))
+    return nan_to_null(spark.read.schema(APPLICATION_SCHEMA)
+                       .option("header", True).option("nanValue", "NaN").csv(path))
 
 
 def read_applications_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON records (one object per line) with the explicit schema."""
-    return spark.read.schema(APPLICATION_SCHEMA).json(path)
+    return nan_to_null(spark.read.schema(APPLICATION_SCHEMA).json(path))

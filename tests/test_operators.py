@@ -271,10 +271,9 @@ def test_target_resolution_fallback_and_binary_check(spark):
 def test_report_text_of_golden_pair(spark):
     ref, cur = _pair(spark, "default")
     html = D.report_html(ref, cur, "default")
-    assert "Reference rows: 4 | Current rows: 4" in html
-    assert "Reference target rate: 50.00% | Current target rate: 75.00%" in html
-    assert "Target prevalence changed by 25.000%." in html
-    assert "mean shift: 0.125" in html
+    assert "4 rows before, 4 rows now" in html
+    assert "50.00% before, 75.00% now, a move of 25.000%" in html
+    assert "mean moved by 0.125" in html
 
 
 def test_corr_matrix_pairwise_complete_with_nulls(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loanlens.operators import evaluate as EV
 from loanlens.operators.quantiles import quantiles_long
 from loanlens.operators.ranks import md5_bucket, md5_order_key, top_k
-from loanlens.operators.split import class_sizes, stratified_split
+from loanlens.operators.split import class_counts, stratified_split
 
 N = 30000
 
@@ -44,7 +44,7 @@ def test_top_k_with_a_hot_value(skewed):
 
 
 def test_split_exact_and_hot_class_spread_over_buckets(skewed):
-    sizes = class_sizes(skewed, "label")
+    sizes = {r["label"]: r["n"] for r in class_counts(skewed, "label").collect()}
     sp = stratified_split(skewed, key="app_id", label="label")
     got = {(r.label, r.split): r["count"] for r in sp.groupBy("label", "split").count().collect()}
     import math

@@ -37,7 +37,10 @@ def test_stream_scoring_equals_batch(spark, sf, small_model):
     assert a == b and len(a) > 0
     pa = dict(batch.select("app_id", "probability_default").collect())
     pb = dict(stream.select("app_id", "probability_default").collect())
-    assert all(abs(pa[k] - pb[k]) < 1e-12 for k in pa)
+    # an invalid record has no probability, but a row that names its broken rules
+    assert len(pa) == recs.count() and {k for k in pa if pa[k] is None} == {k for k in pb if pb[k] is None}
+    assert all(abs(pa[k] - pb[k]) < 1e-12 for k in pa if pa[k] is not None)
+    assert batch.filter("probability_default IS NULL AND coalesce(violations, '') = ''").count() == 0
 
 
 def test_late_events_beyond_watermark_are_dropped(spark):
