@@ -16,7 +16,8 @@ table. Reading goes through Spark's ``binaryFile`` source.
 
 Tokenizing: the vocabulary's words never reach over white space, so a text
 is encoded word by word, each distinct word once per worker (a bounded
-cache); tests compare it with encoding whole texts.
+cache), with a full stop or comma after a word apart from it; tests compare
+it with encoding whole texts.
 
 Defined results: a null text is empty and has only the end id; null ids come
 first; rows with equal ids are ordered by a hash of the text, so reruns
@@ -27,6 +28,7 @@ files that count.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import new_path, staged, table
+from loanlens.llm.common import LOWER, UPPER, new_path, staged, table
 from loanlens.llm.registry import register
 
 END_ID = 2
@@ -156,7 +158,7 @@ class WordEncoder:
         """(all ids with the end ids, number of ids of each text)."""
         if len(self.slot) > self.cache_words:
             self._clear()
-        split = [t.translate(_SPACES).split(" ") for t in texts]
+        split = [_words(t) for t in texts]
         new = {w for words in split for w in words if w not in self.slot}
         if new:
             self._learn(sorted(new))
@@ -179,8 +181,24 @@ class WordEncoder:
         return ids, per_text
 
 
-#: White space of the word class; single spaces afterwards, so words are what str.split(" ") gives.
-_SPACES = {i: " " for i in range(9, 14)}
+_SPACE = re.compile(r"[\x09-\x0D]")
+#: One mark between a letter and white space is a token of its own.
+_MARK = re.compile(r"(?<=[a-z])([.,])(?= |$)")
+_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def _words(text: str) -> list[str]:
+    """Parts of a text that are encoded on their own; fewer distinct ones than its words.
+
+    The vocabulary is lower case, so A-Z are lowered first, but not where a
+    special token's brackets occur, which are matched as they stand.
+    """
+    text = _SPACE.sub(" ", text)
+    if "<|" not in text:
+        text = text.translate(_LOWER) if not text.isascii() else text.lower()
+    return _MARK.sub(r" \1", text).split(" ")
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
