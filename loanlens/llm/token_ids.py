@@ -14,10 +14,10 @@ A document's offset is ``select(i)``: one sample, a few popcounts and the
 low bits, about 2 + log2(ids / documents) bits a document and no 64-bit
 table. Reading goes through Spark's ``binaryFile`` source.
 
-Tokenizing: the vocabulary's words never reach over white space, so a text
-is encoded word by word, each distinct word once per worker (a bounded
-cache), with a full stop or comma after a word apart from it; tests compare
-it with encoding whole texts.
+Tokenizing: the vocabulary's words never reach over white space, nor from a
+letter to a mark or digit, so a text is cut there and each distinct part is
+encoded once per worker (a bounded cache); tests compare it with encoding
+whole texts.
 
 Defined results: a null text is empty and has only the end id; null ids come
 first; rows with equal ids are ordered by a hash of the text, so reruns
@@ -33,9 +33,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,74 +131,126 @@ def unpack(blob: bytes) -> tuple[np.ndarray, Boundaries]:
 
 # ---- tokenizing ----------------------------------------------------------------
 
+def _table(pairs) -> np.ndarray:
+    out = np.arange(256, dtype=np.uint8)
+    for chars, to in pairs:
+        out[np.frombuffer(chars, np.uint8)] = np.frombuffer(to, np.uint8)
+    return out
+
+
+_BLANK = _table([(b"\t\n\v\f\r", b" ")])
+_FOLD = _table([(b"\t\n\v\f\r", b" "), (UPPER.encode(), LOWER.encode())])
+#: Kinds of bytes between which the vocabulary always cuts: letters, marks, digits (each alone); 0 is never cut.
+_LETTER, _MARK, _DIGIT = 1, 2, 3
+_KIND = np.array([0 if c > 126 or c < 33 or c == ord("'") else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit()
+                  else _MARK for c in range(256)], np.uint8)
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: Byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes follow from U+0100.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {c: 256 + k for k, c in enumerate(c for c in range(256) if c not in _OWN)}
+
+
+def split_parts(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(parts of all texts that are encoded on their own, number of parts of each text).
+
+    The vocabulary is lower case, drops white space and cuts where letters,
+    marks and digits meet, so A-Z are lowered and the texts cut there; that
+    leaves few distinct parts. Apostrophes and characters beyond U+00FF are
+    left to the tokenizer. Texts with a special token's brackets, which are
+    matched as they stand, are cut at white space only.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    raw = np.frombuffer(held, np.uint8)[off[0]:off[-1]] if held is not None else np.zeros(0, np.uint8)
+    off = off - off[0]
+    data = _FOLD[raw]
+    kind = _KIND[data]
+    # U+00C0-U+00FF are letters but for the signs of multiplication and division
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    special = np.asarray(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False), bool)
+    if special.any():
+        inside = np.repeat(special, np.diff(off))
+        data[inside] = _BLANK[raw[inside]]
+        kind[inside] = 0
+    word = data != 32
+    first = np.zeros(len(data), bool)
+    if len(data):
+        left, right = kind[:-1], kind[1:]
+        first[1:] = ~word[:-1] | (left > 0) & (right > 0) & ((left != right) | (right == _DIGIT))
+        first[off[:-1][off[:-1] < len(data)]] = True
+        first &= word
+    upto = np.concatenate([[0], np.cumsum(first)])
+    data = data[word]
+    at = np.append(np.flatnonzero(first[word]), len(data))
+    parts = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+    return parts.dictionary_encode(), np.diff(upto[off])
+
+
 class WordEncoder:
-    """Encodes texts word by word with a bounded cache of distinct words."""
+    """Encodes texts part by part with a bounded cache of distinct parts."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache_words = cache_words
         self._clear()
 
     def _clear(self):
-        self.slot: dict[str, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.flat = np.zeros(0, f"<u{self.id_bytes}")
         self.start = np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]):
-        """Encode new words and append their ids to the flat store."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, parts: list[bytes]) -> list[list[int]]:
+        """Ids of parts; lower-case Latin words need no normalizing and go straight to the model."""
+        found: list = [None] * len(parts)
+        rest = []
+        model = self.model
+        for k, part in enumerate(parts):
+            if part.isalpha() and part.islower():
+                found[k] = [t.id for t in model.tokenize(part.decode())]
+            elif _PLAIN.fullmatch(part.decode()):
+                found[k] = [t.id for t in model.tokenize(part.decode("latin-1").translate(_BYTE_CHARS))]
+            else:
+                rest.append(k)
+        others = self.tokenizer.encode_batch_fast([parts[k].decode() for k in rest], add_special_tokens=False)
+        for k, e in zip(rest, others, strict=True):
+            found[k] = e.ids
+        return found
+
+    def _learn(self, parts: list[bytes]):
+        """Encode new parts and append their ids to the flat store."""
+        found = self._ids(parts)
         base = len(self.slot)
-        self.slot.update(zip(words, range(base, base + len(words)), strict=True))
+        self.slot.update(zip(parts, range(base, base + len(parts)), strict=True))
         lens = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((i for x in found for i in x), self.flat.dtype, int(lens.sum()))
+        new = np.fromiter(chain.from_iterable(found), self.flat.dtype, int(lens.sum()))
         self.flat = np.concatenate([self.flat, new])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lens)])
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids with the end ids, number of ids of each text)."""
         if len(self.slot) > self.cache_words:
             self._clear()
-        split = [_words(t) for t in texts]
-        new = {w for words in split for w in words if w not in self.slot}
+        parts, counts = split_parts(texts)
+        distinct = parts.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.slot]
         if new:
-            self._learn(sorted(new))
-        slot = self.slot
-        # the end id is one more store entry behind the words
+            self._learn(new)
+        # the end id is one more store entry behind the parts
         flat = np.append(self.flat, np.array([end_id], self.flat.dtype))
         lens = np.append(np.diff(self.start), 1)
-        start = self.start
-        counts = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
-        at = np.empty(int(counts.sum()), np.int64)
-        p = 0
-        for words in split:
-            at[p:p + len(words)] = [slot[w] for w in words]
-            at[p + len(words)] = len(slot)
-            p += len(words) + 1
+        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
+        ends = np.cumsum(counts)
+        at = np.insert(slots[parts.indices.to_numpy()], ends, len(self.slot))
         n = lens[at]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[at] - (ends - n), n)]
-        per_text = np.diff(np.concatenate([[0], ends[np.cumsum(counts) - 1]])) if len(split) else counts
-        return ids, per_text
-
-
-_SPACE = re.compile(r"[\x09-\x0D]")
-#: One mark between a letter and white space is a token of its own.
-_MARK = re.compile(r"(?<=[a-z])([.,])(?= |$)")
-_LOWER = str.maketrans(UPPER, LOWER)
-
-
-def _words(text: str) -> list[str]:
-    """Parts of a text that are encoded on their own; fewer distinct ones than its words.
-
-    The vocabulary is lower case, so A-Z are lowered first, but not where a
-    special token's brackets occur, which are matched as they stand.
-    """
-    text = _SPACE.sub(" ", text)
-    if "<|" not in text:
-        text = text.translate(_LOWER) if not text.isascii() else text.lower()
-    return _MARK.sub(r" \1", text).split(" ")
+        upto = np.cumsum(n)
+        ids = flat[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(self.start[at] - (upto - n), n)]
+        return ids, np.diff(np.concatenate([[0], upto[ends + np.arange(len(ends))]]))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -245,8 +299,7 @@ def _writer(folder: str, vocab: str, end_id: int, file_ids: int):
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))
             for lo in range(0, len(texts), 256):
-                chunk = ["" if t is None else t for t in texts.slice(lo, 256).to_pylist()]
-                got, n = enc.encode(chunk, end_id)
+                got, n = enc.encode(texts.slice(lo, 256), end_id)
                 ids.append(got)
                 lens.append(n)
                 docs.append(b.column(b.schema.get_field_index("doc_id")).slice(lo, 256))

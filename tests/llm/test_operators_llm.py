@@ -379,6 +379,27 @@ def test_tokens_equal_whole_text_encoding(spark, docs, empty):
     assert many.count() == len(doc_rows()) and token_ids.tokens_of(empty, path).count() == 0
 
 
+
+def test_parts_equal_whole_text_encoding_on_odd_characters():
+    """Letters, marks, digits, apostrophes, controls, special tokens and other scripts in any order."""
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+    enc = token_ids.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), cache_words=500)
+    rng = random.Random(7)
+    bits = [*"aAbZz'sStTrRvVmMlLdD..,,!?#&<>|()=0123 \n\t\r\x0b\x0c\x00\x1c\x7féÉßÿ÷×øØ \u0085\u0338\u0301İıſ 中Яя٣²ªº😀",
+            "<|endoftext|>", "<|", "'re", "don't", "ΑΣ ", "é"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(3_000)] + [None, "", " "]
+    for lo in range(0, len(texts), 250):
+        part = texts[lo:lo + 250]
+        ids, n = enc.encode(pa.array([None, *part], pa.string()).slice(1), 2)
+        want = [e.ids + [2] for e in enc.tokenizer.encode_batch_fast([t or "" for t in part], add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    none, no_lengths = enc.encode(pa.array([], pa.string()), 2)
+    assert len(none) == 0 and len(no_lengths) == 0
+
+
 # ---- 10 urls ---------------------------------------------------------------------
 
 def test_url_rules_and_terms(spark):
