@@ -3,10 +3,12 @@
 Fixed masks pick ``1`` positions out of a window of words; words at ``0``
 positions may differ. The seeds of every benchmark item are hashed, training
 documents are hashed the same way, and equal seeds are hits. A hit fixes an
-alignment of item and document; the words around it are compared and the
-best stretch (a match scores 1, a substitution -``PENALTY``) is verified: at
-least ``MIN_MATCH`` equal words (or the whole item if shorter) and at least
-``MIN_SHARE`` of the stretch equal.
+alignment of item and document, whose words are compared. It is verified if
+any stretch of it has at least ``MIN_MATCH`` equal words (or the whole item
+if shorter) and at least ``MIN_SHARE`` of its words equal; of such stretches
+the one with the most equal words is given. Every such stretch of 13 words
+and more leaves a seed of ``MASKS`` untouched, wherever its substitutions
+are (tested), so the look-up loses none.
 
 The benchmark side is read in blocks of at most ``BLOCK_SEEDS`` seeds, so
 what is broadcast with a pass over the documents is bounded whatever the
@@ -25,6 +27,7 @@ by :func:`remove_leaks` and ignored by :func:`find_leaks`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -34,12 +37,11 @@ from pyspark.sql import functions as F
 from loanlens.llm.common import table
 from loanlens.llm.registry import register
 
-#: Fixed seed masks: 7 of 11, 7 of 12 and 7 of 13 words.
-MASKS = ["11010011011", "110100110101", "1011001010011"]
+#: Fixed seed masks of 6 words: to spoil every seed of n >= 13 words takes more than n / 5 substitutions.
+MASKS = ["1111011", "100111011", "11010110001", "11001000111"]
 MIN_ITEM = 5
 MIN_MATCH = 12
 MIN_SHARE = 0.8
-PENALTY = 3
 BLOCK_SEEDS = 1_000_000
 
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -60,9 +62,10 @@ def seeds(tok: np.ndarray, mask: str) -> np.ndarray:
     if m <= 0:
         return np.zeros(0, np.uint64)
     key = np.full(m, len(mask), np.uint64)
+    mixed = tok ^ tok >> np.uint64(29)
     for k, bit in enumerate(mask):
         if bit == "1":
-            key += (tok[k:k + m] ^ tok[k:k + m] >> np.uint64(29)) * _ODD[k]
+            key += mixed[k:k + m] * _ODD[k]
     return (key ^ key >> np.uint64(32)) * _ODD[1]
 
 
@@ -116,20 +119,35 @@ class Block:
             item = self.tokens[k]
             lo, hi = max(0, start), min(len(tok), start + len(item))
             same = tok[lo:hi] == item[lo - start:hi - start]
-            matched, first, length = best_stretch(same)
             need = min(MIN_MATCH, len(item))
-            if matched >= need and matched >= MIN_SHARE * length and (k not in best or matched > best[k][0]):
+            if np.count_nonzero(same) < need:
+                continue
+            matched, first, length = best_stretch(same)
+            if matched >= need and (k not in best or matched > best[k][0]):
                 best[k] = (matched, length, lo + first)
         return [(self.ids[k], *map(int, v)) for k, v in sorted(best.items())]
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """(equal words, start, length) of the stretch with the highest score, the earliest of ties."""
-    run = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-    low = np.minimum.accumulate(run)
-    end = int(np.argmax(run - low))
-    start = int(np.flatnonzero(run[:end + 1] == low[end])[-1])
-    return int(np.count_nonzero(same[start:end])), start, end - start
+    """(equal words, start, length) of the stretch with the most equal words among all with a share of ``MIN_SHARE``.
+
+    Of ties the shortest, then the earliest; it begins and ends with an equal word.
+    """
+    share = Fraction(MIN_SHARE).limit_denominator(1000)
+    p, q = share.numerator, share.denominator
+    count = np.concatenate([[0], np.cumsum(same)])
+    # a stretch i:j has the share if over[i] <= over[j]; the earliest such i of each j has the most equal words
+    over = q * count - p * np.arange(len(count))
+    begin = np.searchsorted(-np.minimum.accumulate(over), -over, "left")
+    matched = count - count[begin]
+    most = int(matched.max())
+    if not most:
+        return 0, 0, 0
+    at = np.flatnonzero(same)
+    first = at[count[begin[matched == most]]]
+    last = at[count[begin[matched == most]] + most - 1]
+    k = int(np.argmin(last - first))
+    return most, int(first[k]), int(last[k] - first[k]) + 1
 
 
 def blocks(benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> Iterator[Block]:

@@ -285,6 +285,51 @@ def test_decontamination_finds_substituted_passages(spark, docs, empty):
     assert decontaminate.remove_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+def brute_stretch(same):
+    """(equal words, -length) of the best stretch by trying all of them."""
+    return max((sum(same[i:j]), i - j) for i in range(len(same)) for j in range(i + 1, len(same) + 1)
+               if 5 * sum(same[i:j]) >= 4 * (j - i))
+
+
+def test_decontamination_finds_every_substitution():
+    for n in (15, 17, 20):
+        item = [f"w{i}" for i in range(n)]
+        block = decontaminate.Block([(1, " ".join(item))])
+        for k in (1, 2, 3):
+            for at in combinations(range(n), k):
+                text = ["left", "side", *("x" if i in at else w for i, w in enumerate(item)), "right"]
+                matched, length = brute_stretch([i not in at for i in range(n)])
+                got = [(m, -size) for _, m, size, _ in block.overlaps(" ".join(text))]
+                assert got == ([(matched, length)] if matched >= 12 else []), (n, at)
+
+
+def test_best_stretch_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.5, 0.75, 0.9])
+        matched, start, length = decontaminate.best_stretch(same)
+        assert (matched, -length) == (brute_stretch(same.tolist()) if same.any() else (0, 0))
+        assert int(same[start:start + length].sum()) == matched
+
+
+def spoiling(masks, n):
+    """Least substitutions in ``n`` words that spoil every seed."""
+    last = {0: 0}
+    for p in range(1, n + 1):
+        new = {}
+        for seen, c in last.items():
+            for bit in (0, 1):
+                w = (seen << 1 | bit) & (1 << 13) - 1
+                if all(p < len(m) or w & int(m, 2) for m in masks):
+                    new[w & (1 << 12) - 1] = min(c + bit, new.get(w & (1 << 12) - 1, n))
+        last = new
+    return min(last.values())
+
+
+def test_seeds_survive_the_tolerated_substitutions():
+    assert all(spoiling(decontaminate.MASKS, n) > n // 5 for n in [*range(13, 27), 30, 40])
+
+
 # ---- 7 mixing --------------------------------------------------------------------
 
 def brute_targets(sizes):
