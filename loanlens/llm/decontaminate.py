@@ -4,11 +4,12 @@ Fixed masks pick ``1`` positions out of a window of words; words at ``0``
 positions may differ. The seeds of every benchmark item are hashed, training
 documents are hashed the same way, and equal seeds are hits. A hit fixes an
 alignment of item and document, whose words are compared. It is verified if
-any stretch of it has at least ``MIN_MATCH`` equal words (or the whole item
-if shorter) and at least ``MIN_SHARE`` of its words equal; of such stretches
-the one with the most equal words is given. Every such stretch of 13 words
-and more leaves a seed of ``MASKS`` untouched, wherever its substitutions
-are (tested), so the look-up loses none.
+any stretch of it has at least ``MIN_MATCH`` equal words (for items of under
+15 words, ``MIN_SHARE`` of the item's words) and at least ``MIN_SHARE`` of
+its words equal; of such stretches the one with the most equal words is
+given. Every such stretch leaves a seed of ``MASKS`` (items of under 15
+words: of ``SHORT_MASKS``) untouched, wherever its substitutions are
+(tested), so the look-up loses none.
 
 The benchmark side is read in blocks of at most ``BLOCK_SEEDS`` seeds, so
 what is broadcast with a pass over the documents is bounded whatever the
@@ -18,14 +19,14 @@ no passage, however common, meets in one task.
 Words are runs of letters and digits of the lower-cased text (every other
 ASCII character separates). Defined results: null or empty texts and items
 match nothing; items of fewer than ``MIN_ITEM`` words are too short to be
-evidence and are left out; items shorter than a mask are looked up as whole
-sequences; repeated documents each get their rows; ties go to the earliest
+evidence and are left out; repeated documents each get their rows; ties go to the earliest
 stretch; an empty table on either side gives no rows. Other columns are kept
 by :func:`remove_leaks` and ignored by :func:`find_leaks`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -39,6 +40,8 @@ from loanlens.llm.registry import register
 
 #: Fixed seed masks of 6 words: to spoil every seed of n >= 13 words takes more than n / 5 substitutions.
 MASKS = ["1111011", "100111011", "11010110001", "11001000111"]
+#: For items too short for ``MASKS``: 4 words, enough for one change in 5 to 9 words and two in 10 to 14.
+SHORT_MASKS = ["1111", "10111", "11011", "11101"]
 MIN_ITEM = 5
 MIN_MATCH = 12
 MIN_SHARE = 0.8
@@ -69,10 +72,16 @@ def seeds(tok: np.ndarray, mask: str) -> np.ndarray:
     return (key ^ key >> np.uint64(32)) * _ODD[1]
 
 
+def need_of(n: int) -> int:
+    """Equal words asked of an item of ``n`` words."""
+    return min(MIN_MATCH, math.ceil(Fraction(MIN_SHARE).limit_denominator(1000) * n))
+
+
 def masks_for(n: int, masks=MASKS) -> list[str]:
-    """Masks that fit ``n`` words; a shorter item is looked up whole."""
-    fit = [m for m in masks if len(m) <= n]
-    return fit or (["1" * n] if n >= MIN_ITEM else [])
+    """The masks of an item of ``n`` words; none below ``MIN_ITEM``."""
+    if n * MIN_SHARE >= MIN_MATCH:
+        return masks
+    return SHORT_MASKS if n >= MIN_ITEM else []
 
 
 class Block:
@@ -119,7 +128,7 @@ class Block:
             item = self.tokens[k]
             lo, hi = max(0, start), min(len(tok), start + len(item))
             same = tok[lo:hi] == item[lo - start:hi - start]
-            need = min(MIN_MATCH, len(item))
+            need = need_of(len(item))
             if np.count_nonzero(same) < need:
                 continue
             matched, first, length = best_stretch(same)
@@ -155,7 +164,7 @@ def blocks(benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> Iterator[Blo
     items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     # a word has two characters at least, and a seed for each mask
-    n = max(1, -(-total * len(MASKS) // (2 * block_seeds)))
+    n = max(1, -(-total * max(len(MASKS), len(SHORT_MASKS)) // (2 * block_seeds)))
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
         rows = sorted((tuple(r) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))

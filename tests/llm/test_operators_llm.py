@@ -303,6 +303,19 @@ def test_decontamination_finds_every_substitution():
                 assert got == ([(matched, length)] if matched >= 12 else []), (n, at)
 
 
+def test_decontamination_finds_changed_short_items():
+    for n in range(5, 15):
+        item = [f"w{i}" for i in range(n)]
+        block = decontaminate.Block([(1, " ".join(item))])
+        for k in range(4):
+            for at in combinations(range(n), k):
+                text = ["left", "side", *("x" if i in at else w for i, w in enumerate(item)), "right"]
+                matched, length = brute_stretch([i not in at for i in range(n)])
+                got = [(m, -size) for _, m, size, _ in block.overlaps(" ".join(text))]
+                assert got == ([(matched, length)] if 5 * matched >= 4 * n else []), (n, at)
+    assert not decontaminate.Block([(1, "four word item only")]).overlaps("a four word item only b")
+
+
 def test_best_stretch_equals_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -328,6 +341,7 @@ def spoiling(masks, n):
 
 def test_seeds_survive_the_tolerated_substitutions():
     assert all(spoiling(decontaminate.MASKS, n) > n // 5 for n in [*range(13, 27), 30, 40])
+    assert all(spoiling(decontaminate.SHORT_MASKS, n) > n // 5 for n in range(5, 15))
 
 
 # ---- 7 mixing --------------------------------------------------------------------
