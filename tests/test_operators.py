@@ -297,3 +297,40 @@ def test_trapezoid_on_arbitrary_points(spark):
     import numpy as np
     xs = np.arange(-50, 51, dtype=float)
     assert area == pytest.approx(float(np.trapezoid(xs ** 2, xs)))
+
+
+def test_registered_tuning_has_the_reference_sizes(monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from loanlens.operators import train as TR
+    from loanlens.plans import offline, q_models
+    seen = {}
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+    class Session:
+        def createDataFrame(self, rows, schema):
+            return rows
+
+    def prepare(spark, d, fit_on="train", k=5, importance=True):
+        seen["folds"] = k
+        return SimpleNamespace(data=Frame(), train=Frame())
+
+    def cross_validate(df, kinds, k, num_trees=100, gbt_iter=100):
+        seen["cv"] = (tuple(kinds), k, num_trees, gbt_iter)
+
+    monkeypatch.setattr(q_models, "prepare", prepare)
+    monkeypatch.setattr(TR, "grid_search", lambda df, kind, grid: (None, [(kind, grid)]))
+    monkeypatch.setattr(TR, "cross_validate", cross_validate)
+    monkeypatch.setattr(TR, "cv_summary", lambda per_fold: per_fold)
+    assert dict(q_models.grid_search(Session(), "")) == TR.REFERENCE_GRIDS and seen["folds"] == 5
+    q_models.cv_summary(Session(), "")
+    assert seen["cv"] == (TR.MODELS, 5, 100, 100)
+    fit = inspect.signature(TR.fit_model).parameters
+    assert fit["num_trees"].default == fit["gbt_iter"].default == 100
+    run = inspect.signature(offline.train_and_select).parameters
+    assert run["full_grid"].default is True and run["k"].default == 5
+    assert run["num_trees"].default == run["gbt_iter"].default == 100
