@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ class FittedEncoder:
     # ---------------------------------------------------------------- fit
     @classmethod
     def fit(cls, df: DataFrame, numeric: list[str], categorical: list[str],
-            quantiles: str = "auto", max_categories: int = 1000) -> "FittedEncoder":
+            quantiles: str = "auto", max_categories: int | None = None) -> "FittedEncoder":
         enc = cls(list(numeric), list(categorical))
         # pass 1: per numeric column count, rows, mean, population variance and a
         # distinct-count sketch, all in one aggregation (k values to the driver)
@@ -75,18 +76,18 @@ class FittedEncoder:
                 enc.means[c] = m_all
                 enc.stds[c] = sd if sd > 0.0 else 1.0
         # pass 3: (column, value) counts of all text columns in one grouped
-        # aggregation; at most max_categories per column are fetched
+        # aggregation; no limit unless max_categories sets one per column
         if categorical:
             cnt = (df.select(*categorical).unpivot([], categorical, "feature", "value")
                    .where(F.col("value").isNotNull())
                    .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
-            cap = max_categories * len(categorical)
-            rows = cnt.limit(cap + 1).collect()  # bounded fetch
+            cap = None if max_categories is None else max_categories * len(categorical)
+            rows = (cnt if cap is None else cnt.limit(cap + 1)).collect()  # k category counts
             by: dict[str, list[tuple[str, int]]] = {c: [] for c in categorical}
             for r in rows:
                 by[r["feature"]].append((r["value"], r["n"]))
-            wide = {c: len(v) for c, v in by.items() if len(v) > max_categories}
-            if wide or len(rows) > cap:
+            wide = {} if cap is None else {c: len(v) for c, v in by.items() if len(v) > max_categories}
+            if wide or (cap is not None and len(rows) > cap):
                 raise ValueError(f"too many categories to one-hot encode (> {max_categories} per column): "
                                  f"{wide or 'total over cap'}")
             for c in categorical:
@@ -179,22 +180,50 @@ def long_features(df: DataFrame, names: list[str], key: str = "app_id") -> DataF
 def correlated_pairs(enc_df: DataFrame, names: list[str], threshold: float = 0.85) -> DataFrame:
     """All pairs (i < j) with |r| > threshold over the encoded columns.
 
-    Beyond 15 columns the k x k matrix comes from ``pyspark.ml.stat.Correlation``
-    (one tree aggregation over an assembled vector; encoded columns hold no
-    nulls); below, from SQL ``corr`` aggregates. Only k x k numbers reach the
-    driver.
+    Pairwise complete (nulls and NaN are missing), whatever the number of
+    columns. A pair with a constant column has no r.
     """
-    from loanlens.operators.profile import corr_matrix, corr_matrix_ml
-    spark = enc_df.sparkSession
-    schema = "a string, b string, i int, j int, abs_r double"
-    if len(names) > 15:
-        m = corr_matrix_ml(enc_df, names)
-        rows = [(names[i], names[j], i, j, abs(m[i][j]))
-                for i in range(len(names)) for j in range(i + 1, len(names))
-                if m[i][j] == m[i][j] and abs(m[i][j]) > threshold]
-        return spark.createDataFrame(rows, schema)
-    cm = corr_matrix(enc_df, names)
-    return cm.where(F.abs("r") > threshold).select("a", "b", "i", "j", F.abs("r").alias("abs_r"))
+    r = F.abs(F.col("r"))
+    return pair_correlations(enc_df, names).where(r > threshold).select("a", "b", "i", "j", r.alias("abs_r"))
+
+
+def pair_correlations(df: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, i, j, r) of all pairs i < j, from k x k sums of centred values per Arrow batch.
+
+    One aggregation for the k means, one pass in which each task adds up its
+    batches, and one grouped sum over the tasks' k x k rows.
+    """
+    spark = df.sparkSession
+    if len(names) < 2:
+        return spark.createDataFrame([], "a string, b string, i int, j int, r double")
+    cols = [F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, n in enumerate(names)]
+    x = df.select(*cols)
+    means = np.array([m or 0.0 for m in x.agg(*[F.avg(f"c{i}") for i in range(len(names))]).head()])
+    ii, jj = (v.astype(np.int32) for v in np.triu_indices(len(names), 1))
+    parts = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def sums(batches):
+        import pyarrow as pa
+        total = None
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - means
+            there = ~np.isnan(v)
+            v = np.where(there, v, 0.0)
+            w = there.astype(float)
+            s, q = v.T @ w, (v * v).T @ w
+            part = np.stack([(w.T @ w)[ii, jj], s[ii, jj], s[jj, ii], q[ii, jj], q[jj, ii], (v.T @ v)[ii, jj]])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (ii, jj, *total)], names=["i", "j", *parts])
+
+    t = (x.mapInArrow(sums, "i int, j int, " + ", ".join(f"{p} double" for p in parts))
+         .groupBy("i", "j").agg(*[F.sum(p).alias(p) for p in parts]))
+    n, sx, sy, sxx, syy, sxy = (F.col(p) for p in parts)
+    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    # what rounding leaves of a constant column is no variance
+    r = F.when((n > 0) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy), (sxy - sx * sy / n) / (F.sqrt(vx) * F.sqrt(vy)))
+    name = F.array(*[F.lit(c) for c in names])
+    return t.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), "i", "j", r.alias("r"))
 
 
 def correlation_drop(enc_df: DataFrame, names: list[str], threshold: float = 0.85,
@@ -231,7 +260,7 @@ def variance_keep(enc_df: DataFrame, names: list[str], threshold: float = 0.01)
 
 def importance_filter(enc_df: DataFrame, names: list[str], label: str = "loan_status",
                       threshold: float = 0.01, num_trees: int = 100, seed: int = 42,
-                      max_depth: int = 12) -> DataFrame:
+                      max_depth: int = 30) -> DataFrame:
     """forest importances; keep >= threshold, ordered by importance desc."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler

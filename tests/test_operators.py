@@ -334,3 +334,44 @@ def test_registered_tuning_has_the_reference_sizes(monkeypatch):
     run = inspect.signature(offline.train_and_select).parameters
     assert run["full_grid"].default is True and run["k"].default == 5
     assert run["num_trees"].default == run["gbt_iter"].default == 100
+
+
+def test_correlated_pairs_are_pairwise_complete_at_any_width(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 18))
+    x[:, 17] = x[:, 2] * 3 + 0.2 * x[:, 3] + 1e6
+    x[:, 16] = 0.1
+    pdf = pd.DataFrame(x, columns=[f"f.{i}" for i in range(18)]).mask(rng.random((400, 18)) < 0.1)
+    df = spark.createDataFrame([[None if v != v else float(v) for v in r] for r in pdf.to_numpy()], list(pdf.columns))
+    for k in (3, 18):
+        names = list(pdf.columns)[-k:]
+        r = pdf[names].corr().abs().to_numpy()
+        want = {(names[i], names[j]): r[i, j] for i in range(k) for j in range(i + 1, k) if r[i, j] > 0.05}
+        got = {(p["a"], p["b"]): p["abs_r"] for p in EN.correlated_pairs(df.repartition(5), names, 0.05).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert EN.correlated_pairs(df.limit(0), list(pdf.columns)).count() == 0
+    assert EN.correlated_pairs(df, ["f.1"]).count() == 0
+
+
+def test_encoder_has_no_category_limit_by_default(spark):
+    df = spark.range(1100).selectExpr("CAST(id AS STRING) AS c")
+    enc = EN.FittedEncoder.fit(df, [], ["c"])
+    assert len(enc.output_names) == 1100
+    with pytest.raises(ValueError, match="too many categories"):
+        EN.FittedEncoder.fit(df, [], ["c"], max_categories=1000)
+
+
+def test_forests_grow_below_depth_12(spark):
+    import inspect
+
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from loanlens.operators import train as TR
+    assert inspect.signature(EN.importance_filter).parameters["max_depth"].default == 30
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.random() < 0.5), Vectors.dense(rng.normal(size=4))) for _ in range(1500)]
+    m = TR.fit_model("forest", spark.createDataFrame(rows, ["label", "features"]), num_trees=2)
+    assert max(t.depth for t in m.model.trees) > 12
