@@ -23,4 +23,4 @@ def load_all() -> None:
     """Import every operator module so that its ``register`` calls run."""
     from loanlens.llm import (  # noqa: F401
         url_filter, mixing, quality, token_ids, line_dedup, language, toxicity, simhash, decontaminate, suffix_repeats,
-        substring_dedup)
+        substring_dedup, importance, hard_negatives)
