@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import drop_stage, staged, table
+from loanlens.llm.common import staged, table
 from loanlens.llm.registry import register
 
 EVERY = 100
@@ -126,7 +126,7 @@ def first(scores: np.ndarray, able: np.ndarray, k: int) -> np.ndarray:
 
 
 def _meet(find, with_windows: bool):
-    """Rows sorted by (chunk, block), the chunk's own rows (block -1) first -> (anchor, key, id)."""
+    """Rows sorted by (chunk, anchor), the chunk's own rows (anchor -1) first -> (anchor, score, id)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple] = []
         chunk, held, number = None, None, None
@@ -138,16 +138,15 @@ def _meet(find, with_windows: bool):
             return ids, labels, vecs
 
         for b in batches:
-            c, block = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("chunk", "block"))
-            ids, labels = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("id", "label"))
-            anchors = b.column(b.schema.get_field_index("anchor")).to_numpy(zero_copy_only=False)
+            c, anchors, ids, labels = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
+                                       for n in ("chunk", "anchor", "id", "label"))
             vecs = b.column(b.schema.get_field_index("vec"))
             tops = b.column(b.schema.get_field_index("tops")).to_pylist() if with_windows else None
-            edges = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | ((block[1:] < 0) != (block[:-1] < 0)), True])
+            edges = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | ((anchors[1:] < 0) != (anchors[:-1] < 0)), True])
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if c[lo] != number:
                     own, held, number = [], None, c[lo]
-                if block[lo] < 0:
+                if anchors[lo] < 0:
                     own.append((ids[lo:hi], labels[lo:hi], _matrix(vecs.slice(lo, hi - lo))))
                     continue
                 if not own and held is None:
@@ -170,11 +169,10 @@ def _meet(find, with_windows: bool):
 def _against(rows: DataFrame, anchors: DataFrame, chunks: int, find, with_windows: bool = False) -> DataFrame:
     """(anchor, score, id) found by ``find`` in each chunk of rows for every anchor."""
     tops = "tops" if with_windows else F.lit(None).cast("array<long>").alias("tops")
-    own = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).cast("int").alias("chunk"), F.lit(-1).alias("block"),
-                      F.lit(None).cast("long").alias("anchor"), "id", "label", "vec", F.lit(None).cast("array<long>").alias("tops"))
-    asked = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
-                           (F.col("anchor") / F.lit(BLOCK)).cast("int").alias("block"), "anchor", "id", "label", "vec", tops)
-    both = own.unionByName(asked).repartition(chunks, "chunk").sortWithinPartitions("chunk", "block")
+    own = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(chunks)).cast("int").alias("chunk"),
+                      F.lit(-1).cast("long").alias("anchor"), "id", "label", "vec", F.lit(None).cast("array<long>").alias("tops"))
+    asked = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "anchor", "id", "label", "vec", tops)
+    both = own.unionByName(asked).repartition(chunks, "chunk").sortWithinPartitions("chunk", "anchor")
     return both.mapInArrow(_meet(find, with_windows), "anchor long, score long, id long")
 
 
