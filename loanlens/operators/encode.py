@@ -262,13 +262,14 @@ def importance_filter(enc_df: DataFrame, names: list[str], label: str = "loan_st
                       threshold: float = 0.01, num_trees: int = 100, seed: int = 42,
                       max_depth: int = 30) -> DataFrame:
     """forest importances; keep >= threshold, ordered by importance desc."""
-    from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
+
+    from loanlens.operators.forest import Forest, fit_forest
     spark = enc_df.sparkSession
+    key = [c for c in ("app_id",) if c in enc_df.columns]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(
-        enc_df.select(F.col(label).cast("double").alias("label"), *names))
-    model = RandomForestClassifier(numTrees=num_trees, seed=seed, maxDepth=max_depth,
-                                   labelCol="label").fit(data)
+        enc_df.select(*key, F.col(label).cast("double").alias("label"), *names))
+    model = fit_forest(data, Forest(num_trees, max_depth, balanced=False, seed=seed), key=key[0] if key else None)
     imp = model.featureImportances.toArray().tolist()
     rows = [(n, float(v)) for n, v in zip(names, imp)]
     df = spark.createDataFrame(rows, "feature string, importance double")

@@ -1,46 +1,51 @@
-"""Model training, cross-validation and tuning with ``pyspark.ml``.
+"""Model training, cross-validation and tuning.
 
-Four imbalanced binary classifiers, as in the reference, re-expressed with
-Spark estimators:
+Four imbalanced binary classifiers, as in the reference:
 
 * logistic regression, L2 with C = 1, balanced weights: the same objective
   as scikit-learn's by algebra (``regParam = 1 / (C * sum(weights))``,
   ``standardization=False``);
-* random forest, 100 trees, balanced weights, seed 42 (``max_depth``
-  is a parameter, default 30, Spark's limit; the reference sets none);
-* gradient-boosted trees, 100 rounds, depth 6, step 0.3, positive weight
-  n0/n1 (first-order boosting, no L2 term: results differ from XGBoost);
+* random forest, 100 trees, balanced weights, seed 42, depth at most 30
+  (:mod:`loanlens.operators.forest`);
+* gradient-boosted trees, 100 rounds, depth 6, step 0.3, L2 term 1, positive
+  weight n0/n1: second-order boosting on quantile bins
+  (:mod:`loanlens.operators.boosting`);
 * RBF SVM re-aimed: random Fourier features (Rahimi & Recht 2007) computed
   per Arrow batch with numpy, ``LinearSVC`` with balanced weights, then
   Platt scaling (a one-feature logistic regression on the margin) for a
   probability.
 
 All models expose one ``probability_default`` column. Folds are a column
-(``split.stratified_folds``), so cross-validation and ``CrossValidator``
-(``foldCol``) reuse the same exact stratified folds.
+(``split.stratified_folds``). Cross-validation and tuning of the tree models
+grow all folds and settings together, and a setting that only has fewer
+rounds, fewer trees or a smaller depth limit in a forest is scored from a
+part of the larger fit, which equals its own fit.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import product
 
 import numpy as np
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loanlens.operators.boosting import Setting, Training
 from loanlens.operators.evaluate import evaluate_all
+from loanlens.operators.forest import Forest, fit_forest
+from loanlens.operators.trees import Binned
 
 MODELS = ("logreg", "forest", "gbt", "svm")
 
-# The reference's tuning grids, mapped to Spark parameters
+# The reference's tuning grids under Spark's parameter names
 # (n_estimators -> maxIter / numTrees, max_depth -> maxDepth, learning_rate
 # -> stepSize, subsample -> subsamplingRate, min_samples_leaf ->
-# minInstancesPerNode; min_samples_split has no Spark equivalent).
+# minInstancesPerNode; min_samples_split is left out).
 REFERENCE_GRIDS = {
     "gbt": {"maxIter": [100, 200, 300], "maxDepth": [4, 5, 6], "stepSize": [0.01, 0.05, 0.1],
             "subsamplingRate": [0.8, 0.9, 1.0]},
@@ -130,6 +135,19 @@ class FittedModel:
                   .drop("_prob", "_raw", "_pred")
 
 
+def record_key(df: DataFrame, name: str = "app_id") -> "str | None":
+    """The column that names a record, where there is one: it draws the record into samples."""
+    return name if name in df.columns else None
+
+
+def setting_of(params: dict) -> Setting:
+    return Setting(params.get("maxDepth", 6), params.get("stepSize", 0.3), params.get("subsamplingRate", 1.0))
+
+
+def forest_of(params: dict, num_trees: int = 100, max_depth: int = 30, seed: int = 42) -> Forest:
+    return Forest(params.get("numTrees", num_trees), params.get("maxDepth", max_depth), params.get("minInstancesPerNode", 1), seed=seed)
+
+
 def fit_model(kind: str, train: DataFrame, features: str = "features", label: str = "label",
               seed: int = 42, max_depth: int = 30, num_trees: int = 100, gbt_iter: int = 100,
               rff_components: int = 256, **params) -> FittedModel:
@@ -143,19 +161,12 @@ def fit_model(kind: str, train: DataFrame, features: str = "features", label: st
                                  standardization=False, probabilityCol="_prob", **common)
         return FittedModel(kind, est.fit(tw))
     if kind == "forest":
-        est = RandomForestClassifier(numTrees=params.get("numTrees", num_trees),
-                                     maxDepth=params.get("maxDepth", max_depth),
-                                     minInstancesPerNode=params.get("minInstancesPerNode", 1),
-                                     weightCol="weight", seed=seed, probabilityCol="_prob", **common)
-        return FittedModel(kind, est.fit(balanced_weights(train, label)))
+        return FittedModel(kind, fit_forest(train, forest_of(params, num_trees, max_depth, seed), label, features, record_key(train)))
     if kind == "gbt":
-        est = GBTClassifier(maxIter=params.get("maxIter", gbt_iter), maxDepth=params.get("maxDepth", 6),
-                            stepSize=params.get("stepSize", 0.3),
-                            subsamplingRate=params.get("subsamplingRate", 1.0),
-                            weightCol="weight", seed=seed, featuresCol=features, labelCol=label,
-                            predictionCol="_pred")
-        m = est.fit(positive_weight(train, label))
-        return FittedModel(kind, m.setProbabilityCol("_prob").setRawPredictionCol("_raw"))
+        grown = Training.start(train, [setting_of(params)], label, features, None, record_key(train), seed=seed)
+        model = grown.run(params.get("maxIter", gbt_iter)).model(0)
+        grown.close()
+        return FittedModel(kind, model)
     if kind == "svm":
         names_dim = len(train.select(features).head()[0])
         vec = train.select(vector_to_array(features).alias("_a"))
@@ -185,28 +196,53 @@ def test_metrics(fm: FittedModel, test: DataFrame, label: str = "label", thresho
 
 
 def cross_validate(df: DataFrame, kinds: list[str], k: int, fold_col: str = "fold",
-                   label: str = "label", parallelism: int = 4, **fit_params) -> DataFrame:
+                   label: str = "label", parallelism: int = 4, seed: int = 42, num_trees: int = 100, gbt_iter: int = 100,
+                   max_depth: int = 30, **fit_params) -> DataFrame:
     """Per model and fold, fit on the other folds and score the held-out fold.
 
-    Returns (model, fold, metrics...). Folds are exact stratified (a column);
-    every fit is a distributed Spark job, and up to ``parallelism`` fits are
+    Returns (model, fold, metrics...). Folds are exact stratified (a column).
+    Boosting grows all folds together; a forest's folds share one binned
+    table; the other models have one fit a fold, up to ``parallelism`` of them
     submitted at once from driver threads (as ``CrossValidator`` does). The
-    driver loop moves no data.
+    driver moves no records. Boosting weighs positives by the ratio of the
+    whole table.
     """
     from concurrent.futures import ThreadPoolExecutor
+    spark, key = df.sparkSession, record_key(df)
 
-    def one(task):
-        kind, f = task
-        tr = df.where(F.col(fold_col) != f)
-        te = df.where(F.col(fold_col) == f)
-        m = test_metrics(fit_model(kind, tr, label=label, **fit_params), te, label)
-        return m.withColumn("fold", F.lit(f)).collect()  # one row
+    def measured(kind: str, fold: int, scores: DataFrame):
+        return [(kind, *r, fold) for r in evaluate_all(scores, 0.5).select("accuracy", "precision", "recall", "f1", "roc_auc").collect()]
 
-    tasks = [(kind, f) for kind in kinds for f in range(k)]
+    def one(task):
+        kind, f, scores = task
+        if scores is None:
+            fm = fit_model(kind, df.where(F.col(fold_col) != f), label=label, seed=seed, **fit_params)
+            scores = fm.predict(df.where(F.col(fold_col) == f)).select(F.col(label).alias("label"),
+                                                                       F.col("probability_default").alias("score"))
+        return measured(kind, f, scores)
+
+    tasks, open_ = [], []
+    for kind in kinds:
+        if kind == "gbt":
+            grown = Training.start(df, [Setting(fold=f) for f in range(k)], label, "features", fold_col, key, seed=seed).run(gbt_iter)
+            scores = grown.held_out_scores()
+            grown.close()
+            tasks += [(kind, f, scores.where(F.col("fit") == f)) for f in range(k)]
+        elif kind == "forest":
+            binned = Binned.write(df, label, "features", fold_col, key, work=num_trees)
+            blocks = binned.blocks().persist()
+            open_.append((blocks, binned))
+            tasks += [(kind, f, Forest(num_trees, max_depth, fold=f, seed=seed).grow(blocks, binned).held_out_scores(spark, blocks))
+                      for f in range(k)]
+        else:
+            tasks += [(kind, f, None) for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         rows = [r for part in ex.map(one, tasks) for r in part]
+    for blocks, binned in open_:
+        blocks.unpersist()
+        binned.delete()
     schema = "model string, accuracy double, precision double, recall double, f1 double, roc_auc double, fold int"
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+    return spark.createDataFrame(rows, schema)
 
 
 def cv_summary(per_fold: DataFrame) -> DataFrame:
@@ -218,33 +254,59 @@ def cv_summary(per_fold: DataFrame) -> DataFrame:
     return per_fold.groupBy("model").agg(*aggs)
 
 
-def grid_search(df: DataFrame, kind: str, grid: dict[str, list], fold_col: str = "fold",
-                label: str = "label", parallelism: int = 4, seed: int = 42):
-    """``CrossValidator`` over the fold column, scored on recall of class 1."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    if kind == "gbt":
-        est = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", seed=seed)
-        data = positive_weight(df, label)
-    elif kind == "forest":
-        est = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", seed=seed)
-        data = balanced_weights(df, label)
-    else:
-        raise ValueError(kind)
-    b = ParamGridBuilder()
-    for name, values in grid.items():
-        b = b.addGrid(est.getParam(name), values)
-    maps = b.build()
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="recallByLabel", metricLabel=1.0)
-    k = int(df.agg(F.max(fold_col)).head()[0]) + 1  # numFolds must match the fold column
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        numFolds=k, parallelism=parallelism, seed=seed)
-    model = cv.fit(data)
-    rows = []
-    for pm, metric in zip(maps, model.avgMetrics):
-        rows.append((kind, ";".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda t: t[0].name)),
-                     float(metric)))
-    return model, rows
+def grid_search(df: DataFrame, kind: str, grid: dict[str, list], fold_col: str = "fold", label: str = "label",
+                seed: int = 42, refit: bool = False):
+    """Every setting of the grid over the folds, scored on recall of class 1.
+
+    Returns (model, rows): rows are (model, parameters, mean recall over the
+    folds), the model is the best setting fitted on all records, or None
+    without ``refit``. Settings that differ in rounds (boosting), or in the
+    number of trees or the depth limit (forest), share their fits.
+    """
+    names = sorted(grid)
+    settings = [dict(zip(names, v, strict=True)) for v in product(*[grid[n] for n in names])]
+    k = int(df.agg(F.max(fold_col)).head()[0]) + 1
+    score = {"gbt": _boosting_recalls, "forest": _forest_recalls}[kind](df, settings, k, fold_col, label, seed)
+    rows = [(kind, ";".join(f"{n}={p[n]}" for n in names), float(m)) for p, m in zip(settings, score, strict=True)]
+    if not refit:
+        return None, rows
+    best = settings[max(range(len(rows)), key=lambda i: rows[i][2])]      # the first of equal ones
+    return fit_model(kind, df, label=label, seed=seed, **best), rows
+
+
+def _recall(counts: tuple[int, int, int, int]) -> float:
+    tp, _, _, fn = counts
+    return tp / (tp + fn) if tp + fn else 0.0
+
+
+def _boosting_recalls(df, settings: list[dict], k: int, fold_col: str, label: str, seed: int) -> list[float]:
+    """Mean recall of each setting: one fit a fold for all settings with the same trees, read at their rounds."""
+    fits = list(dict.fromkeys(setting_of(p) for p in settings))
+    grown = Training.start(df, [replace(s, fold=f) for s in fits for f in range(k)], label, "features", fold_col, record_key(df), seed=seed)
+    at = {}
+    for rounds in sorted({p.get("maxIter", 100) for p in settings}):
+        counts = grown.run(rounds).held_out_counts()
+        for i, s in enumerate(fits):
+            at[s, rounds] = sum(map(_recall, counts[i * k:(i + 1) * k])) / k
+    grown.close()
+    return [at[setting_of(p), p.get("maxIter", 100)] for p in settings]
+
+
+def _forest_recalls(df, settings: list[dict], k: int, fold_col: str, label: str, seed: int) -> list[float]:
+    """Mean recall of each setting: one fit a fold and leaf size, read at each number of trees and depth."""
+    want = [forest_of(p, seed=seed) for p in settings]
+    sizes, depths = sorted({w.trees for w in want}), sorted({w.max_depth for w in want})
+    binned = Binned.write(df, label, "features", fold_col, record_key(df), work=sizes[-1])
+    blocks = binned.blocks().persist()
+    at = {}
+    for leaf in sorted({w.min_leaf for w in want}):
+        folds = [Forest(sizes[-1], depths[-1], leaf, f, seed=seed).grow(blocks, binned).held_out_counts(blocks, depths, sizes)
+                 for f in range(k)]
+        for d, n in product(depths, sizes):
+            at[leaf, d, n] = sum(_recall(c[d, n]) for c in folds) / k
+    blocks.unpersist()
+    binned.delete()
+    return [at[w.min_leaf, w.max_depth, w.trees] for w in want]
 
 
 def feature_importance(fm: FittedModel, names: list[str]) -> list[tuple[str, float]]:

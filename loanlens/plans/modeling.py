@@ -1,7 +1,8 @@
 """Offline model flow: clean -> derive -> split -> fit encoder on train ->
 select features on train -> assemble -> fit / evaluate.
 
-The prepared (key, label, split, fold, features) table is cut from its
+The split table and the encoded table are written once (stages); every later
+step reads them. The prepared (key, label, split, fold, features) table is cut from its
 lineage with ``checkpoint()`` into the shared ``spark.checkpoint.dir``
 before the many model fits that reuse it, so a lost executor recomputes
 from the checkpoint, not from the raw scans.
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from loanlens.operators import encode as EN
 from loanlens.operators.split import stratified_folds, stratified_split
 from loanlens.operators.train import assemble
-from loanlens.plans.base import feat
+from loanlens.plans.base import _inputs, feat
 from loanlens.plans.q_encode import CATEGORICAL_ENC, NUMERIC_ENC
 from loanlens.session import ensure_checkpoint_dir
+from loanlens.sources.stages import input_stamp, stage
 from loanlens.sources.tables import TARGET
 
 
@@ -43,22 +45,22 @@ _CACHE: dict[tuple, Prepared] = {}
 
 def prepare(spark: SparkSession, d: str, fit_on: str = "train", k: int = 5,
             importance: bool = True) -> Prepared:
-    """Build (once per session and input) the assembled model table.
+    """Build (once per session and state of the input) the assembled model table.
 
     Feature selection follows the reference's order: correlation filter,
     forest importance (>= 0.01, ordered by importance), variance filter, all
     fitted on the training part (``fit_on='all'`` reproduces the reference's
     fit before the split).
     """
-    key = (spark.sparkContext.applicationId, d, fit_on, k, importance)
+    stamp = input_stamp(spark, _inputs(d))      # a changed input gives a new model
+    key = (spark.sparkContext.applicationId, d, stamp, fit_on, k, importance)
     if key in _CACHE:
         return _CACHE[key]
     ensure_checkpoint_dir(spark)
-    f = feat(spark, d)
-    sp = stratified_folds(stratified_split(f), k=k)
+    sp = stage(spark, f"split-{k}", _inputs(d), lambda: stratified_folds(stratified_split(feat(spark, d)), k=k))
     fit_df = sp.where(F.col("split") == "train") if fit_on == "train" else sp
     enc = EN.FittedEncoder.fit(fit_df, NUMERIC_ENC, CATEGORICAL_ENC)
-    wide = enc.transform(sp, keep=("app_id", TARGET, "split", "fold"))
+    wide = stage(spark, f"encoded-{fit_on}-{k}", _inputs(d), lambda: enc.transform(sp, keep=("app_id", TARGET, "split", "fold")))
     wide_train = wide.where(F.col("split") == "train") if fit_on == "train" else wide
     names = enc.output_names
     drop = set(EN.correlation_drop(wide_train, names))

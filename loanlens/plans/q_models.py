@@ -13,19 +13,20 @@ from loanlens.operators import train as TR
 from loanlens.operators.evaluate import classification_metrics
 from loanlens.operators.features import serving_view
 from loanlens.operators.score import score_records
-from loanlens.plans.base import apps, scored
+from loanlens.plans.base import _inputs, apps, scored
 from loanlens.plans.modeling import prepare
 from loanlens.plans.registry import register, rounded
 from loanlens.plans.sql_common import CLEAN, PSEUDO, with_
 from loanlens.sources import batches as B
 from loanlens.sources.runs import metrics_long
+from loanlens.sources.stages import input_stamp
 
 _FITTED: dict[tuple, TR.FittedModel] = {}
 
 
 def fitted(spark, d, kind: str) -> tuple:
     p = prepare(spark, d)
-    key = (spark.sparkContext.applicationId, d, kind)
+    key = (spark.sparkContext.applicationId, d, input_stamp(spark, _inputs(d)), kind)
     if key not in _FITTED:
         _FITTED[key] = TR.fit_model(kind, p.train)
     return p, _FITTED[key]
@@ -54,11 +55,11 @@ def cv_summary(spark, d):
 
 @register("grid_search")
 def grid_search(spark, d):
-    """CrossValidator over the 5 folds, the reference's grid per model, by recall of class 1."""
+    """The reference's grid per model over the 5 folds, by recall of class 1."""
     p = prepare(spark, d)
     rows = []
     for kind in ("gbt", "forest"):
-        _, r = TR.grid_search(p.train.select("label", "features", "fold"), kind, TR.REFERENCE_GRIDS[kind])
+        _, r = TR.grid_search(p.train.select("app_id", "label", "features", "fold"), kind, TR.REFERENCE_GRIDS[kind])
         rows += r
     return spark.createDataFrame(rows, "model string, params string, mean_recall double")
 
