@@ -8,18 +8,6 @@ from pyspark.sql import functions as F
 from loanlens.sources.tables import TARGET
 
 
-def median_expr(c: str, exact: bool = True):
-    """Exact interpolated median (pandas' definition) or a bounded-memory sketch.
-
-    ``percentile`` keeps a map of distinct values; it is right for columns
-    with few distinct values (rates, ages). ``exact=False`` switches to
-    ``percentile_approx`` with accuracy 10000 for high-cardinality columns.
-    """
-    if exact:
-        return F.percentile(F.col(c), F.lit(0.5))
-    return F.percentile_approx(F.col(c), 0.5, 10000).cast("double")
-
-
 def filter_outliers(df: DataFrame, max_age: int = 100, max_emp: float = 60.0) -> DataFrame:
     """Keep age < max_age and employment length <= max_emp.
 
@@ -40,11 +28,14 @@ def clean_applications(df: DataFrame, exact: bool = True, max_age: int = 100,
                        max_emp: float = 60.0) -> DataFrame:
     """Filter, fill employment length with 0, fill rate with its median.
 
-    The median is taken **after** the filters. It is a one-row aggregate that
-    is cross-joined back as a broadcast constant (no shuffle of the rows).
+    The median is taken **after** the filters. It is one row, which is
+    cross-joined back as a broadcast constant (no shuffle of the rows);
+    ``exact=False`` takes it from a bounded-memory sketch.
     """
+    from loanlens.operators.profile import quantile_row
     kept = filter_outliers(df, max_age, max_emp)
-    med = kept.agg(median_expr("loan_int_rate", exact).alias("_rate_median"))
+    med = quantile_row(kept, ["loan_int_rate"], [0.5], ["median"], "exact" if exact else "approx").select(
+        F.col("loan_int_rate__median").alias("_rate_median"))
     out = (kept.crossJoin(F.broadcast(med))
            .withColumn("person_emp_length", F.coalesce(F.col("person_emp_length"), F.lit(0.0)))
            .withColumn("loan_int_rate", F.coalesce(F.col("loan_int_rate"), F.col("_rate_median")))

@@ -263,7 +263,7 @@ def wasserstein_drift(ref: DataFrame, cur: DataFrame, cols: list[str], buckets:
 
 
 def psi_drift(ref: DataFrame, cur: DataFrame, cols: list[str], threshold: float = PSI_THRESHOLD,
-              eps: float = EPS, quantiles: str = "auto") -> DataFrame:
+              eps: float = EPS, quantiles: str = "exact") -> DataFrame:
     """PSI over 10 bins cut at the reference deciles (right-closed).
 
     The deciles are one row (``quantile_row``), broadcast to every row; each

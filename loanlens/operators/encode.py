@@ -41,22 +41,19 @@ class FittedEncoder:
     # ---------------------------------------------------------------- fit
     @classmethod
     def fit(cls, df: DataFrame, numeric: list[str], categorical: list[str],
-            quantiles: str = "auto", max_categories: int | None = None) -> "FittedEncoder":
+            quantiles: str = "exact", max_categories: int | None = None) -> "FittedEncoder":
         enc = cls(list(numeric), list(categorical))
-        # pass 1: per numeric column count, rows, mean, population variance and a
-        # distinct-count sketch, all in one aggregation (k values to the driver)
+        # pass 1: per numeric column count, rows, mean and population variance,
+        # all in one aggregation (k values to the driver)
         if numeric:
-            from loanlens.operators.profile import ndv_sketch, quantile_row
+            from loanlens.operators.profile import quantile_row
             aggs = [F.count(F.lit(1)).alias("_rows")]
             for c in numeric:
                 x = F.col(c).cast("double")
-                aggs += [F.count(x).alias(f"{c}__c"), F.avg(x).alias(f"{c}__m"), F.var_pop(x).alias(f"{c}__v"),
-                         ndv_sketch(x).alias(f"{c}__ndv")]
+                aggs += [F.count(x).alias(f"{c}__c"), F.avg(x).alias(f"{c}__m"), F.var_pop(x).alias(f"{c}__v")]
             mom = df.agg(*aggs).head()
-            # pass 2: exact medians ('auto': Spark's percentile map or the
-            # distributed selection per column, chosen by the sketch)
-            qrow = quantile_row(df, numeric, [0.5], ["median"], quantiles,
-                                ndv={c: mom[f"{c}__ndv"] for c in numeric}).head()
+            # then exact medians
+            qrow = quantile_row(df, numeric, [0.5], ["median"], quantiles).head()
             n = mom["_rows"]
             for c in numeric:
                 med = qrow[f"{c}__median"]

@@ -17,55 +17,20 @@ from pyspark.sql import functions as F
 from loanlens.functions.columns import categorical_columns, null_safe_join, numeric_columns, safe_div
 
 
-def _pct(c: str | Column, qs: list[float], exact: bool = True) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    if exact:
-        return F.percentile(c, F.array(*[F.lit(q) for q in qs]))
-    return F.transform(F.percentile_approx(c, qs, 10000), lambda x: x.cast("double"))
-
-
-MAP_QUANTILE_MAX_DISTINCT = 1_000_000  # a 1M-entry percentile map is ~50-80 MB in one task
-NDV_RSD = 0.1  # the sketch only decides "<= 1M distinct or not"
-
-
-def ndv_sketch(c: "str | Column") -> Column:
-    """Approximate distinct count used to choose the quantile method."""
-    return F.approx_count_distinct(F.col(c) if isinstance(c, str) else c, rsd=NDV_RSD)
-
-
 def quantile_row(df: DataFrame, cols: list[str], qs: list[float], names: list[str],
-                 mode: str = "auto", groups: list[str] | None = None,
-                 ndv: dict[str, int] | None = None) -> DataFrame:
-    """One row per group with ``<col>__<name>`` quantile columns (exact, interpolated).
-
-    ``map``: Spark's ``percentile`` (a map of distinct values per group;
-    memory grows with the number of distinct values);
-    ``distributed``: the scalable selection of ``operators.quantiles``;
-    ``auto`` (default): one HyperLogLog pass (``approx_count_distinct``)
-    picks ``map`` for columns with <= 1M distinct values and
-    ``distributed`` for the rest; ``approx``: ``percentile_approx``.
+                 mode: str = "exact", groups: list[str] | None = None) -> DataFrame:
+    """One row per group with ``<col>__<name>`` quantile columns.
+
+    ``exact``: interpolated, by nested histograms (``operators.quantiles``);
+    ``approx``: ``percentile_approx``, one pass.
     """
     from loanlens.operators.quantiles import quantiles_wide
     groups = list(groups or [])
-    if mode == "auto":
-        if ndv is None:  # callers that already scan the data pass ``ndv`` in
-            ndv = df.agg(*[ndv_sketch(c).alias(c) for c in cols]).head().asDict()
-        small = [c for c in cols if ndv[c] <= MAP_QUANTILE_MAX_DISTINCT]
-        big = [c for c in cols if c not in small]
-        parts = []
-        if small:
-            parts.append(quantile_row(df, small, qs, names, "map", groups))
-        if big:
-            parts.append(quantile_row(df, big, qs, names, "distributed", groups))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.join(p, groups, "full") if groups else out.crossJoin(F.broadcast(p))  # one row each
-        return out
-    if mode == "distributed":
+    if mode != "approx":
         return quantiles_wide(df, cols, qs, groups, names)
     aggs = []
     for c in cols:
-        arr = _pct(F.col(c).cast("double"), qs, exact=(mode == "map"))
+        arr = F.transform(F.percentile_approx(F.col(c).cast("double"), qs, 10000), lambda x: x.cast("double"))
         aggs += [arr[i].alias(f"{c}__{n}") for i, n in enumerate(names)]
     return df.groupBy(*groups).agg(*aggs)
 
@@ -91,24 +56,21 @@ def profile_info(df: DataFrame) -> DataFrame:
 
 # --- B3 / B4 ---------------------------------------------------------------
 
-def describe_numeric(df: DataFrame, cols: list[str] | None = None, quantiles: str = "auto") -> DataFrame:
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, quantiles: str = "exact") -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column.
 
-    Pass 1: moments and distinct-count sketches of every column in one
-    aggregation (a k-value row reaches the driver); pass 2: quartiles
-    (``quantile_row``, whose method the sketches choose). The moments come
-    back into the plan as literals.
+    Pass 1: moments of every column in one aggregation (a k-value row reaches
+    the driver); then the quartiles (``quantile_row``). The moments come back
+    into the plan as literals.
     """
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
         aggs += [F.count(F.col(c)).alias(f"{c}__count"), F.avg(F.col(c)).alias(f"{c}__mean"),
                  F.stddev_samp(F.col(c)).alias(f"{c}__std"), F.min(F.col(c)).cast("double").alias(f"{c}__min"),
-                 F.max(F.col(c)).cast("double").alias(f"{c}__max"),
-                 ndv_sketch(c).alias(f"{c}__ndv")]
+                 F.max(F.col(c)).cast("double").alias(f"{c}__max")]
     m = df.agg(*aggs).head()
-    qr = quantile_row(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], quantiles,
-                      ndv={c: m[f"{c}__ndv"] for c in cols})
+    qr = quantile_row(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], quantiles)
     row = qr.select(*[F.struct(
         F.lit(m[f"{c}__count"]).cast("bigint").alias("count"), F.lit(m[f"{c}__mean"]).cast("double").alias("mean"),
         F.lit(m[f"{c}__std"]).cast("double").alias("std"), F.lit(m[f"{c}__min"]).cast("double").alias("min"),
@@ -237,17 +199,16 @@ def sample_skew(c: str) -> Column:
     return F.when(n >= 3, F.skewness(F.col(c)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def iqr_outliers(df: DataFrame, cols: list[str], quantiles: str = "auto") -> DataFrame:
+def iqr_outliers(df: DataFrame, cols: list[str], quantiles: str = "exact") -> DataFrame:
     """IQR rule per column: q1, q3, bounds, outliers (strict), percent of all rows, skew.
 
-    Pass 1: one aggregation of row count, skewness and distinct-count
-    sketches (k values to the driver), then the quartiles (``quantile_row``).
+    Pass 1: one aggregation of row count and skewness (k values to the
+    driver), then the quartiles (``quantile_row``).
     Pass 2: that row is broadcast-joined back and all outlier counts are
     conditional sums of a single aggregation.
     """
-    m = df.agg(F.count(F.lit(1)).alias("_n"), *[sample_skew(c).alias(f"{c}__skew") for c in cols],
-               *[ndv_sketch(c).alias(f"{c}__ndv") for c in cols]).head()
-    qr = quantile_row(df, cols, [0.25, 0.75], ["q1", "q3"], quantiles, ndv={c: m[f"{c}__ndv"] for c in cols})
+    m = df.agg(F.count(F.lit(1)).alias("_n"), *[sample_skew(c).alias(f"{c}__skew") for c in cols]).head()
+    qr = quantile_row(df, cols, [0.25, 0.75], ["q1", "q3"], quantiles)
     stats = qr.select("*", F.lit(m["_n"]).cast("bigint").alias("_n"),
                       *[F.lit(m[f"{c}__skew"]).cast("double").alias(f"{c}__skew") for c in cols])
     joined = df.select(*cols).crossJoin(F.broadcast(stats))
@@ -292,7 +253,7 @@ def rate_by(df: DataFrame, x: str, hue: str = "loan_status") -> DataFrame:
 
 
 def box_summary(df: DataFrame, value: str, by: str | None = "loan_status",
-                quantiles: str = "auto") -> DataFrame:
+                quantiles: str = "exact") -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers (last value inside 1.5 IQR), outliers."""
     keys = [by] if by else []
     stats = quantile_row(df, [value], [0.25, 0.5, 0.75], ["q1", "median", "q3"], quantiles, keys) \
