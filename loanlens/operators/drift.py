@@ -14,7 +14,6 @@ distance and chi-square for text columns.
 
 from __future__ import annotations
 
-import html
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions.columns import INTEGRAL_TYPES, NUMERIC_TYPES
 from loanlens.operators.ranks import BUCKETS, adaptive_buckets, cumulative
+from loanlens.operators.report import page
 
 # Fixed default decision thresholds (parameters; the library's own are unknown).
 PSI_THRESHOLD = 0.2
@@ -29,6 +29,7 @@ KS_P_THRESHOLD = 0.05
 JS_THRESHOLD = 0.1
 EPS = 1e-4  # share floor inside PSI logs
 
+# Names that a target column may have.
 TARGET_CANDIDATES = ["default_flag", "loan_status", "target", "y"]
 
 
@@ -148,33 +149,25 @@ def drift_summary(ref: DataFrame, cur: DataFrame, target: str = "default",
     return out
 
 
+def report_sections(ref: DataFrame, cur: DataFrame, target: str = "default", exclude: tuple[str, ...] = (),
+                    cast: str = "strict") -> dict[str, DataFrame]:
+    """The tables of the report by heading; a target outside 0/1 is an error unless ``cast='truncate'``."""
+    t = resolve_target(ref, cur, target)
+    num, oth = shared_columns(ref, cur, t, exclude)
+    out = {"Rows by side": drift_overview(ref, cur), "Target drift": check_binary_target(target_drift(ref, cur, t), cast)}
+    if num:
+        out["Means of numeric columns"] = mean_shift(ref, cur, num).orderBy(F.desc_nulls_last("mean_shift"), "feature")
+        out["Stability index of numeric columns"] = psi_drift(ref, cur, num).orderBy(F.desc_nulls_last("psi"), "feature")
+    if oth:
+        out["Most frequent values"] = top_categories(ref, cur, oth).orderBy("feature", "side", "rank")
+        out["Jensen-Shannon distance of other columns"] = js_drift(ref, cur, oth).orderBy("feature")
+    return out
+
+
 def report_html(ref: DataFrame, cur: DataFrame, target: str = "default",
                 exclude: tuple[str, ...] = (), cast: str = "strict") -> str:
-    """The simple HTML report built from k summary rows.
-
-    A target outside 0/1 is an error unless ``cast='truncate'``.
-    """
-    t = resolve_target(ref, cur, target)
-    ov = drift_overview(ref, cur).head()
-    td = check_binary_target(target_drift(ref, cur, t), cast).head()
-    rows = drift_summary(ref, cur, t, exclude).orderBy("kind", "feature").collect()
-    body = []
-    for r in rows:
-        if r["kind"] == "numeric":
-            shift = r["mean_shift"]
-            text = "mean moved by " + ("n/a" if shift is None else f"{shift:.3f}")
-        else:
-            text = f"most frequent before: {r['reference_top']}; now: {r['current_top']}"
-        body.append(f"<tr><td>{html.escape(r['feature'])}</td><td>{html.escape(text)}</td></tr>")
-    if not body:
-        body = ['<tr><td colspan="2">The two tables share no feature.</td></tr>']
-    rr, cr = td["reference_rate"] or 0.0, td["current_rate"] or 0.0
-    return ("<!DOCTYPE html>\n<html lang=\"en\">\n<head><meta charset=\"utf-8\" />"
-            "<title>Monitoring summary</title></head>\n<body>\n<h1>Monitoring summary</h1>\n"
-            f"<p>{ov['reference_rows']} rows before, {ov['current_rows']} rows now</p>\n"
-            f"<h2>Target drift</h2>\n<p>Share of positives: {rr:.2%} before, {cr:.2%} now, a move of {abs(cr - rr):.3%}</p>\n"
-            "<h2>Features</h2>\n<table>\n<thead><tr><th>Column</th><th>Change</th></tr></thead>\n"
-            f"<tbody>{''.join(body)}</tbody>\n</table>\n</body>\n</html>\n")
+    """The report's tables as one HTML page."""
+    return page("Monitoring summary", report_sections(ref, cur, target, exclude, cast))
 
 
 # ------------------------------------------------------------------ distances

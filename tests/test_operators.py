@@ -271,9 +271,10 @@ def test_target_resolution_fallback_and_binary_check(spark):
 def test_report_text_of_golden_pair(spark):
     ref, cur = _pair(spark, "default")
     html = D.report_html(ref, cur, "default")
-    assert "4 rows before, 4 rows now" in html
-    assert "50.00% before, 75.00% now, a move of 25.000%" in html
-    assert "mean moved by 0.125" in html
+    assert "<td>4</td><td>4</td>" in html                                     # rows by side
+    assert "<td>0.5</td><td>0.75</td><td>0.25</td><td>0</td>" in html         # target rates and their change
+    assert "<td>score</td><td>0.475</td><td>0.6</td><td>0.125</td>" in html   # mean shift
+    assert {"psi", "mean_shift", "rate_change"} <= set(__import__("re").findall("<th>(.*?)</th>", html))
 
 
 def test_corr_matrix_pairwise_complete_with_nulls(spark):
