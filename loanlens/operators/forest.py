@@ -62,7 +62,7 @@ class Forest:
         nodes = grow(blocks, binned, n, evidence, rule, np.full(n, sum(binned.class_counts(self.fold))))
         positive = nodes.b * w[1]
         total = nodes.a * w[0] + positive
-        nodes.gain = np.where(nodes.feature >= 0, nodes.gain, 0.0)
+        nodes.a = nodes.b = None
         return Grown(self, nodes, np.divide(positive, total, out=np.zeros(len(total)), where=total > 0))
 
 
@@ -77,6 +77,13 @@ class Grown:
         trees = [tree_of(self.nodes, t, self.value, binned.edges) for t in range(self.forest.trees)]
         return TreesModel(trees, len(binned.edges), "mean")
 
+    def importances(self, dim: int) -> np.ndarray:
+        """Share of the gain of each feature; every tree counts alike."""
+        n, at = self.forest.trees, self.nodes.feature >= 0
+        one = np.bincount(self.nodes.root[at] * dim + self.nodes.feature[at], self.nodes.gain[at], n * dim).reshape(n, dim)
+        one = np.divide(one, one.sum(axis=1, keepdims=True), out=np.zeros((n, dim)), where=one.sum(axis=1, keepdims=True) > 0)
+        return one.sum(axis=0) / one.sum() if one.sum() else one.sum(axis=0)
+
     def held_out_counts(self, blocks, depths: list[int], sizes: list[int]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
         """(tp, fp, tn, fn) on the held-out fold at one half, for each (depth, number of trees)."""
         nodes, value, fold, n = self.nodes, self.value, self.forest.fold, self.forest.trees
@@ -111,12 +118,19 @@ class Grown:
         return spark.read.parquet(path)
 
 
-def fit_forest(df: DataFrame, forest: Forest, label: str = "label", features: str = "features", key: str | None = None,
-               max_bins: int = MAX_BINS) -> TreesModel:
-    """Fit one forest on all records."""
+def grow_forest(df: DataFrame, forest: Forest, label: str = "label", features: str = "features", key: str | None = None,
+                max_bins: int = MAX_BINS) -> tuple[Grown, Binned]:
+    """Grow one forest on all records; the written blocks are deleted."""
     binned = Binned.write(df, label, features, None, key, max_bins, forest.trees)
     blocks = binned.blocks().persist()
-    model = forest.grow(blocks, binned).model(binned)
+    grown = forest.grow(blocks, binned)
     blocks.unpersist()
     binned.delete()
-    return model
+    return grown, binned
+
+
+def fit_forest(df: DataFrame, forest: Forest, label: str = "label", features: str = "features", key: str | None = None,
+               max_bins: int = MAX_BINS) -> TreesModel:
+    """Fit one forest on all records."""
+    grown, binned = grow_forest(df, forest, label, features, key, max_bins)
+    return grown.model(binned)

@@ -146,6 +146,10 @@ class Nodes:
         return node
 
 
+#: Types of finished nodes, which the driver gathers.
+NARROW = {"root": np.int32, "a": np.float64, "b": np.float64, "feature": np.int32, "cut": np.int16, "left": np.int32, "gain": np.float32}
+
+
 def grow_local(x: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, keys: np.ndarray, depth: np.ndarray,
                rule: Rule, bins: np.ndarray) -> Nodes:
     """Trees of records (features x records); ``root`` numbers the trees, whose depths left are ``depth``."""
@@ -309,28 +313,33 @@ def _finish(blocks, binned: Binned, evidence: Evidence, rule: Rule, nodes: "Node
         x = np.concatenate([p[0] for _, p in parts], axis=1)
         a, b = (np.concatenate([p[k] for _, p in parts]).astype(np.float64) for k in (1, 2))
         root = np.repeat([i for i, _ in parts], [len(p[1]) for _, p in parts])
-        return ids.tolist(), grow_local(x, root, a, b, keys[ids], left[ids], part.part(ids), bins)
+        sub = grow_local(x, root, a, b, keys[ids], left[ids], part.part(ids), bins)
+        return ids.tolist(), Nodes(key=None, **{f: getattr(sub, f).astype(t) for f, t in NARROW.items()})
 
     grown = blocks.flatMap(send).partitionBy(tasks, int).mapPartitions(build).collect()     # the trees
     if after is not None:
         after()
     if nodes is None:
-        nodes = Nodes.leaves(roots, rule.key.copy(), np.zeros(len(roots)), np.zeros(len(roots)))
-    for ids, sub in grown:
-        _attach(nodes, open_[np.array(ids)], sub)
-    return nodes
-
-
-def _attach(nodes: Nodes, at: np.ndarray, sub: Nodes) -> None:
-    """Put trees with roots 0, 1, ... in the place of the leaves ``at``."""
-    n, k = len(nodes.root), len(at)
-    left = np.where(sub.feature >= 0, sub.left - k + n, 0)
-    for f in ("a", "b", "feature", "cut", "gain"):
-        getattr(nodes, f)[at] = getattr(sub, f)[:k]
-    nodes.left[at] = left[:k]
-    tail = slice(k, None)
-    nodes.add(Nodes(nodes.root[at][sub.root[tail]], sub.key[tail], sub.a[tail], sub.b[tail], sub.feature[tail], sub.cut[tail],
-                    left[tail], sub.gain[tail]))
+        nodes = Nodes.leaves(roots, rule.key, np.zeros(len(roots)), np.zeros(len(roots)))
+    return _attached(nodes, open_, grown)
+
+
+def _attached(nodes: Nodes, open_: np.ndarray, grown: list[tuple[list[int], Nodes]]) -> Nodes:
+    """The nodes with finished trees (roots 0, 1, ...) in the place of the leaves ``open_``, in narrow types and without keys."""
+    out = {f: [getattr(nodes, f).astype(t)] for f, t in NARROW.items()}
+    base = len(nodes.root)
+    while grown:
+        ids, sub = grown.pop()
+        at, k = open_[np.array(ids)], len(ids)
+        left = np.where(sub.feature >= 0, sub.left - k + base, 0)
+        for f in ("a", "b", "feature", "cut", "gain"):
+            out[f][0][at] = getattr(sub, f)[:k]
+            out[f].append(getattr(sub, f)[k:])
+        out["left"][0][at] = left[:k]
+        out["left"].append(left[k:].astype(np.int32))
+        out["root"].append(nodes.root[at][sub.root[k:]].astype(np.int32))
+        base += len(sub.root) - k
+    return Nodes(key=None, **{f: np.concatenate(parts) for f, parts in out.items()})
 
 
 def _levels(nodes: Nodes) -> np.ndarray:

@@ -150,6 +150,8 @@ def test_forest_leaves_hold_the_weighted_class_shares(spark, table):
     assert R.fit_forest(table, R.Forest(3, 30, 200), key="app_id").trees[0].depth <= 3
     top = m.featureImportances.toArray()
     assert top.sum() == pytest.approx(1) and top.argmax() == 0
+    grown, _ = R.grow_forest(table, R.Forest(30, 30, 1), key="app_id")
+    assert np.allclose(grown.importances(5), top)
 
 
 def test_models_round_trip_and_nan_goes_right(spark, table, tmp_path):
