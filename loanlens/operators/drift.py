@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.columns import INTEGRAL_TYPES, NUMERIC_TYPES
-from loanlens.operators.ranks import BUCKETS, adaptive_buckets, cumulative
+from loanlens.operators.ranks import cumulative, cut_bucket, sketch_cuts
 from loanlens.operators.report import page
+from loanlens.sources.stages import written
 
 # Fixed default decision thresholds (parameters; the library's own are unknown).
 PSI_THRESHOLD = 0.2
@@ -181,34 +182,31 @@ def _value_hist(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
         F.count_if(F.col("side") == "current").alias("n_cur"))
 
 
-def _ecdf(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = BUCKETS) -> DataFrame:
+def _ecdf(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     """Merged histogram with both empirical CDFs and the next distinct value.
 
-    Rows are bucketed by value range per column; bucket totals (and each
-    bucket's first value) form a small table whose running sums are the
-    offsets. One window over (feature, bucket) then yields the inclusive
-    running counts and ``lead(value)``; the last value of a bucket takes the
-    first value of the next non-empty bucket. No window spans a whole column.
+    The histogram is written once and bucketed per column by sketch cuts of
+    its distinct values, so outliers and crowded ranges spread alike. Bucket
+    totals (and each bucket's first value) form a small table whose running
+    sums are the offsets. One window over (feature, bucket) then yields the
+    inclusive running counts and ``lead(value)``; the last value of a bucket
+    takes the first value of the next non-empty bucket. No window spans a
+    whole column.
     """
-    h = _value_hist(ref, cur, cols)
-    rng = h.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"),
-                                   adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"))
-    b = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-                                   * F.col("_B")), F.col("_B") - 1), F.lit(0)).cast("int")
-    h = h.join(F.broadcast(rng), "feature").withColumn("_bk", b).drop("_lo", "_hi", "_B")
+    h = written(_value_hist(ref, cur, cols), "value-histogram")
+    cuts = sketch_cuts(h, "value", ["feature"], {"tot_ref": "n_ref", "tot_cur": "n_cur"})
+    h = h.join(F.broadcast(cuts), "feature").withColumn("_bk", cut_bucket("value")).drop("_cuts")  # one row a column
     tot = h.groupBy("feature", "_bk").agg(F.sum("n_ref").alias("_tr"), F.sum("n_cur").alias("_tc"),
                                           F.min("value").alias("_fv"))
-    wb = Window.partitionBy("feature").orderBy("_bk")  # <= buckets rows per column
+    wb = Window.partitionBy("feature").orderBy("_bk")  # 1,024 rows a column at most
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("feature")
     offs = tot.select("feature", "_bk",
                       F.coalesce(F.sum("_tr").over(before), F.lit(0)).alias("_or"),
                       F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"),
-                      F.lead("_fv").over(wb).alias("_nb"),
-                      F.sum("_tr").over(whole).alias("tot_ref"), F.sum("_tc").over(whole).alias("tot_cur"))
+                      F.lead("_fv").over(wb).alias("_nb"))
     w = Window.partitionBy("feature", "_bk").orderBy("value")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    j = h.join(F.broadcast(offs), ["feature", "_bk"])
+    j = h.join(offs, ["feature", "_bk"])
     return j.select("feature", "value", "tot_ref", "tot_cur",
                     F.try_divide((F.sum("n_ref").over(upto) + F.col("_or")).cast("double"), F.col("tot_ref")).alias("F_ref"),
                     F.try_divide((F.sum("n_cur").over(upto) + F.col("_oc")).cast("double"), F.col("tot_cur")).alias("F_cur"),
@@ -247,9 +245,9 @@ def ks_drift(ref: DataFrame, cur: DataFrame, cols: list[str], p_threshold: float
     return g.withColumn("drifted", (F.col("p_value") < p_threshold).cast("int"))
 
 
-def wasserstein_drift(ref: DataFrame, cur: DataFrame, cols: list[str], buckets: int = BUCKETS) -> DataFrame:
+def wasserstein_drift(ref: DataFrame, cur: DataFrame, cols: list[str]) -> DataFrame:
     """W1 = sum |F_ref(x_i) - F_cur(x_i)| * (x_{i+1} - x_i) per numeric column."""
-    e = _ecdf(ref, cur, cols, buckets)
+    e = _ecdf(ref, cur, cols)
     gap = F.col("next_value") - F.col("value")
     return e.groupBy("feature").agg(
         F.coalesce(F.sum(F.abs(F.col("F_ref") - F.col("F_cur")) * gap), F.lit(0.0)).alias("wasserstein"))
@@ -352,13 +350,9 @@ def quality_by_side(ref: DataFrame, cur: DataFrame, label: str, score: str | Non
     p, y = F.col("score") >= threshold, F.col("label") == 1
     cm = s.groupBy("side").agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"),
                                F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"))
-    h = s.groupBy("side", "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    from loanlens.operators.ranks import score_bucket
-    rng = h.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"),
-                adaptive_buckets(F.count(F.lit(1)), BUCKETS).alias("_B"))  # one row
-    hb = h.crossJoin(F.broadcast(rng))
-    bk = score_bucket("score", F.col("_B"), descending=True, lo=F.col("_lo"), hi=F.col("_hi"))
-    c = cumulative(hb, bk, [F.desc("score")], ["pos", "neg"], groups=["side"])
+    h = written(s.groupBy("side", "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")), "side-histogram")
+    hb = h.crossJoin(F.broadcast(sketch_cuts(h, "score")))  # one row
+    c = cumulative(hb, cut_bucket("score", descending=True), [F.desc("score")], ["pos", "neg"], groups=["side"])
     auc = c.groupBy("side").agg(F.try_divide(F.sum(F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2.0)),
                                              F.sum("neg") * F.sum("pos")).alias("roc_auc"))
     return metrics_from_counts(cm).join(auc, "side")

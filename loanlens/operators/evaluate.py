@@ -2,8 +2,9 @@
 
 Everything is derived from one aggregation of the score histogram: rows are
 first reduced to (score, positives, negatives) per distinct score (map-side
-combined), then running sums over scores in descending order come from
-``ranks.cumulative`` (bucketed by score, never a single-task window).
+combined) and written once; running sums over scores in descending order come
+from ``ranks.cumulative`` over buckets cut by a quantile sketch of the distinct
+scores, so margins, outliers or scores that crowd together spread alike.
 
 Definitions follow scikit-learn: ROC-AUC counts ties one half; the PR
 curve stops at the first threshold reaching full recall and ends at
@@ -19,7 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.operators.ranks import BUCKETS, adaptive_buckets, cumulative, score_bucket
+from loanlens.operators.ranks import cumulative, cut_bucket, sketch_cuts
+from loanlens.sources.stages import written
 
 
 def _z(c: Column) -> Column:
@@ -51,21 +53,14 @@ def classification_metrics(df: DataFrame, threshold: float = 0.5, label: str = "
     return metrics_from_counts(confusion(df, threshold, label, score))
 
 
-def score_histogram(df: DataFrame, label: str = "label", score: str = "score",
-                    buckets: int = BUCKETS) -> DataFrame:
-    """(score, pos, neg) per distinct score with inclusive running sums in
+def score_histogram(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """(score, pos, neg, tp, fp, P, N) per distinct score with inclusive running sums in
     descending score order: tp, fp = rows with score >= this score."""
-    h = df.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    tot = h.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"),
-                F.min("score").alias("_lo"), F.max("score").alias("_hi"))  # one row
-    hb = h.crossJoin(F.broadcast(tot.select("_B", "_lo", "_hi")))
-    bk = score_bucket("score", F.col("_B"), descending=True, lo=F.col("_lo"), hi=F.col("_hi"))
-    c = cumulative(hb, bk, [F.desc("score")], ["pos", "neg"]).drop("_B", "_lo", "_hi")
-    tot = tot.drop("_B", "_lo", "_hi")
-    return c.withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp") \
-            .crossJoin(F.broadcast(tot))
+    h = written(df.groupBy(F.col(score).alias("score")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")), "score-histogram")
+    hb = h.crossJoin(F.broadcast(sketch_cuts(h, "score", sums={"P": "pos", "N": "neg"})))  # one row
+    c = cumulative(hb, cut_bucket("score", descending=True), [F.desc("score")], ["pos", "neg"])
+    return c.select("score", "pos", "neg", F.col("pos_cum").alias("tp"), F.col("neg_cum").alias("fp"), "P", "N")
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -87,31 +82,27 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> Data
 
 
 def auc_trapezoid(points: DataFrame, x: str = "fpr", y: str = "tpr",
-                  order: list[Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
+                  order: list[Column] | None = None) -> DataFrame:
     """H5: area by trapezoid over points sorted by ``order`` (default x, then y).
 
-    The previous point comes from ``lag`` inside x-buckets; the first point
-    of a bucket takes the last point of the previous non-empty bucket from a
-    small broadcast table, so no window covers all points at once. Buckets
-    follow the observed x range.
+    Steps without width have no area, so points are first reduced to the
+    first and last y of each distinct x; a crowded x is one row. These are
+    bucketed by sketch cuts: a bucket gives its inner area and its two end
+    points, and the joints between buckets are added over those few rows.
     """
-    order = order or [F.col(x), F.col(y)]
-    rng = points.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"),
-                     adaptive_buckets(F.count(F.lit(1)), buckets).alias("_B"))  # one row
-    bk = score_bucket("_x", F.col("_B"), lo=F.col("_lo"), hi=F.col("_hi"))
-    p = (points.select(F.col(x).alias("_x"), F.col(y).alias("_y"), *order)
-         .crossJoin(F.broadcast(rng)).withColumn("_bk", bk).drop("_lo", "_hi", "_B"))
-    w = Window.partitionBy("_bk").orderBy(*order)
-    p = p.withColumn("_rn", F.row_number().over(w)) \
-         .withColumn("_px", F.lag("_x").over(w)).withColumn("_py", F.lag("_y").over(w))
-    last = p.withColumn("_rd", F.row_number().over(Window.partitionBy("_bk").orderBy(*[o.desc() for o in order]))) \
-            .where(F.col("_rd") == 1).select("_bk", F.col("_x").alias("_lx"), F.col("_y").alias("_ly"))
-    wl = Window.orderBy("_bk")  # k rows (<= buckets)
-    prev = last.select("_bk", F.lag("_lx").over(wl).alias("_bx"), F.lag("_ly").over(wl).alias("_by"))
-    j = p.join(F.broadcast(prev), "_bk")
-    px = F.coalesce(F.col("_px"), F.col("_bx"))
-    py = F.coalesce(F.col("_py"), F.col("_by"))
-    return j.agg(F.coalesce(F.sum((F.col("_x") - px) * (F.col("_y") + py) / 2.0), F.lit(0.0)).alias("auc"))
+    place = F.struct(*(order or [F.col(x), F.col(y)]), F.col(y).alias("_y"))
+    p = written(points.groupBy(F.col(x).cast("double").alias("_x")).agg(
+        F.min(place)["_y"].cast("double").alias("_y0"), F.max(place)["_y"].cast("double").alias("_y1")), "points")
+    p = p.crossJoin(F.broadcast(sketch_cuts(p, "_x"))).select("_x", "_y0", "_y1", cut_bucket("_x").alias("_bk"))  # one row
+    w = Window.partitionBy("_bk").orderBy("_x")
+    step = (F.col("_x") - F.lag("_x").over(w)) * (F.lag("_y1").over(w) + F.col("_y0")) / 2.0
+    ends = p.withColumn("_step", step).groupBy("_bk").agg(
+        F.sum("_step").alias("_inner"), F.min("_x").alias("_x0"), F.min_by("_y0", "_x").alias("_y0"),
+        F.max("_x").alias("_x1"), F.max_by("_y1", "_x").alias("_y1"))
+    wl = Window.orderBy("_bk")  # a row for each bucket, 1,024 at most
+    joint = (F.col("_x0") - F.lag("_x1").over(wl)) * (F.lag("_y1").over(wl) + F.col("_y0")) / 2.0
+    return (ends.withColumn("_joint", joint)
+            .agg(F.coalesce(F.sum(F.coalesce("_inner", F.lit(0.0)) + F.coalesce("_joint", F.lit(0.0))), F.lit(0.0)).alias("auc")))
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -3,8 +3,10 @@
 ``Window.orderBy(x)`` with no partition moves every row into one task, and
 partitioning only by class gives two tasks. Instead (SURVEY §4.3):
 
-1. put every row in a bucket by a fixed monotone function of the order key
-   (a hash prefix, or ``floor(score * B)``);
+1. put every row in a bucket by a monotone function of the order key: a hash
+   prefix, or for values of any distribution the cuts of a quantile sketch
+   (``sketch_cuts``, ``cut_bucket``), so that an outlier or a narrow range
+   does not fill one bucket;
 2. count rows (or sum values) per (group, bucket): at most groups x B rows;
 3. cumulate those small totals into per-bucket offsets (a window over the
    k-row table) and broadcast them back;
@@ -21,19 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.functions.columns import null_safe_join
+from loanlens.sources.stages import written
 
 # Default bucket count of the offset scheme (16^4). Only non-empty buckets
 # reach the offsets table, so small inputs pay nothing; at ~1e11 rows a
 # (group, bucket) window partition holds ~2 million rows.
 BUCKETS = 65536
 ROWS_PER_BUCKET = 2048
-
-
-def adaptive_buckets(distinct: Column, cap: int = BUCKETS) -> Column:
-    """Bucket count for ``distinct`` ordered values: about ROWS_PER_BUCKET
-    values per bucket, between 1 and ``cap`` (a column, so it can differ per
-    group without an extra job)."""
-    return F.least(F.lit(cap), F.greatest(F.lit(1), F.ceil(distinct / F.lit(ROWS_PER_BUCKET)))).cast("int")
+# Cuts of a quantile sketch; one less than a power of two.
+CUTS = 1023
 
 
 def hex_digits_for(n: int, cap: int = 4) -> int:
@@ -67,6 +65,31 @@ def score_bucket(score_col: str, buckets: "int | Column" = BUCKETS, descending:
     return (nb - 1 - b) if descending else b
 
 
+def sketch_cuts(hist: DataFrame, value: str, groups: list[str] | None = None,
+                sums: dict[str, str] | None = None) -> DataFrame:
+    """(groups..., _cuts, sums...): ``CUTS`` rising cut values of each group, from a quantile sketch.
+
+    ``hist`` has one row for each distinct value (of a group), so the cuts
+    share out distinct values whatever their distribution or frequency. The
+    sketch is merged map-side; its error is a tenth of a bucket. ``sums``
+    (name -> column) adds totals of the group in the same pass. The table (one
+    row a group, 8 KB each) is written: every branch sees the same cuts.
+    """
+    shares = ", ".join(f"{i / (CUTS + 1)!r}D" for i in range(1, CUTS + 1))
+    cuts = F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), array({shares}), {10 * (CUTS + 1)})")
+    aggs = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
+    return written(hist.groupBy(*(groups or [])).agg(cuts.alias("_cuts"), *aggs), "cuts")
+
+
+def cut_bucket(value: str, descending: bool = False, cuts: str = "_cuts") -> Column:
+    """Number of cuts below a value (0 to ``CUTS``) by binary search, or its
+    reverse. Null comes first and NaN last, as in ``ORDER BY``."""
+    v = F.col(value).cast("double")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(CUTS.bit_length()))])
+    b = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(F.col(cuts), at + s - 1) < v, at + s).otherwise(at))
+    return (F.lit(CUTS) - b) if descending else b
+
+
 def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column],
            name: str = "rank") -> DataFrame:
     """Add ``name`` = 1-based row_number within ``groups`` in ``order``.
@@ -94,16 +117,18 @@ def cumulative(df: DataFrame, bucket: Column, order: list[Column], sums: list[st
     """Inclusive running sums of ``sums`` in ``order`` (ties: rows must be distinct in order).
 
     Same offset scheme as ``ranked``: per-bucket totals are cumulated on the
-    small table and added to a running sum inside each bucket partition.
+    small table and added to a running sum inside each bucket partition. A
+    null bucket comes first. Without groups the join and the window share one
+    shuffle by bucket.
     """
     groups = groups or []
-    b = df.withColumn("_bk", bucket)
+    b = df.withColumn("_bk", F.coalesce(bucket, F.lit(-1)))
     tot = b.groupBy(*groups, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     wo = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*groups, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
                                          for c in sums])
     w = Window.partitionBy(*groups, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = null_safe_join(b, offs, [*groups, "_bk"])
+    out = null_safe_join(b, offs, [*groups, "_bk"]) if groups else b.join(offs, "_bk")
     for c in sums:
         out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w) + F.col(f"_o_{c}"))
     return out.drop("_bk", *[f"_o_{c}" for c in sums])

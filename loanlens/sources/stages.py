@@ -100,3 +100,30 @@ def stage(spark: SparkSession, name: str, inputs: list[str], build: Callable[[],
             if not fs.rename(src, dst):  # another builder won: keep theirs
                 fs.delete(src, True)
     return spark.read.parquet(path)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table once under the shared folder and read it back.
+
+    For tables that several branches of one plan read (a histogram, its cuts):
+    no branch computes it again, and all branches see the same rows whichever
+    task is repeated. ``drop_written`` deletes them.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    _WRITTEN.setdefault(scratch_path(spark, ""), []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables ``written`` so far; results that still read them must be finished. Returns their number."""
+    paths = _WRITTEN.pop(scratch_path(spark, ""), [])
+    for path in paths:
+        p, fs = _fs(spark, path)
+        if fs is not None:
+            fs.delete(p, True)
+    return len(paths)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loanlens.operators import evaluate as EV
 from loanlens.operators.quantiles import quantiles_long
-from loanlens.operators.ranks import md5_bucket, md5_order_key, top_k
+from loanlens.operators.ranks import CUTS, cut_bucket, md5_bucket, md5_order_key, sketch_cuts, top_k
 from loanlens.operators.split import class_counts, stratified_split
 
 N = 30000
@@ -83,3 +83,64 @@ def test_roc_auc_with_scores_outside_unit_interval(skewed):
     assert auc == pytest.approx(ev.evaluate(margins.withColumn("label", F.col("label").cast("double"))), abs=1e-9)
     ap = EV.average_precision(margins).head()[0]
     assert 0.0 <= ap <= 1.0
+
+
+@pytest.mark.parametrize("shape", ["outlier", "crowded", "nulls"])
+def test_sketch_cuts_spread_any_distribution(spark, shape):
+    v = F.col("id") * 1.0
+    value = {"outlier": F.when(F.col("id") == 0, 1e12).otherwise(v),
+             "crowded": F.when(F.col("id") % 10 > 0, 0.5 + v * 1e-12).otherwise(v),
+             "nulls": F.when(F.col("id") > 0, v)}[shape]
+    h = spark.range(N).select(value.cast("double").alias("v")).unionByName(
+        spark.createDataFrame([(float("nan"),), (float("-inf"),)], "v double"))
+    b = h.crossJoin(sketch_cuts(h, "v")).select("v", cut_bucket("v").alias("b"), cut_bucket("v", descending=True).alias("d"))
+    assert b.groupBy("b").count().agg(F.max("count")).head()[0] <= 3 * N / (CUTS + 1)
+    rows = b.orderBy("v").collect()
+    assert [r.b for r in rows] == sorted(r.b for r in rows) and all(r.b + r.d == CUTS for r in rows)
+    assert rows[0].b == 0 and rows[-1].b == CUTS
+
+
+def test_curves_and_distances_with_an_outlier(spark, skewed):
+    from loanlens.operators import drift as D
+    far = skewed.withColumn("score", F.when(F.col("app_id") == 1, 1e12).otherwise(F.col("score")))
+    rows = far.select("label", "score").collect()
+    pos, neg = sorted(r.score for r in rows if r.label == 1), [r.score for r in rows if r.label == 0]
+    from bisect import bisect_left, bisect_right
+    won = sum((len(pos) - bisect_right(pos, s)) + (bisect_right(pos, s) - bisect_left(pos, s)) / 2 for s in neg)
+    assert EV.roc_auc(far).head()[0] == pytest.approx(won / len(pos) / len(neg), abs=1e-9)
+    assert EV.auc_trapezoid(EV.roc_curve(far)).head()[0] == pytest.approx(won / len(pos) / len(neg), abs=1e-9)
+    ref, cur = far.where("label = 0"), far.where("label = 1")
+    both = sorted(pos + neg)
+    sn = sorted(neg)
+    cdf = [(bisect_right(sn, x) / len(sn), bisect_right(pos, x) / len(pos)) for x in both]
+    assert D.ks_drift(ref, cur, ["score"]).head().ks_stat == pytest.approx(max(abs(a - b) for a, b in cdf))
+    w = sum(abs(a - b) * (y - x) for (a, b), x, y in zip(cdf, both, both[1:]))
+    assert D.wasserstein_drift(ref, cur, ["score"]).head().wasserstein == pytest.approx(w)
+
+
+def test_trapezoid_of_repeated_x(spark):
+    pts = [(0.0, 0.0), (0.0, 0.4), (0.0, 0.2), (0.5, 0.5), (0.5, 0.9), (1.0, 1.0)]
+    area = EV.auc_trapezoid(spark.createDataFrame(pts, "fpr double, tpr double")).head()[0]
+    assert area == pytest.approx(0.5 * (0.4 + 0.5) / 2 + 0.5 * (0.9 + 1.0) / 2)
+    assert EV.auc_trapezoid(spark.createDataFrame([], "fpr double, tpr double")).head()[0] == 0.0
+
+
+def test_split_does_not_shuffle_whole_rows(spark, skewed, capsys):
+    stratified_split(skewed.withColumn("wide", F.lit("x")), key="app_id", label="label").explain()
+    plan = capsys.readouterr().out
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_split_of_many_and_null_classes(spark, monkeypatch, limit):
+    from loanlens.operators import split as S
+    monkeypatch.setattr(S, "MAX_BROADCAST_CLASSES", limit)
+    df = spark.range(4000).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 97).alias("c"))
+    got = {(r.c, r.split): r["count"] for r in S.stratified_split(df, "id", "c").groupBy("c", "split").count().collect()}
+    import math
+    for r in class_counts(df, "c").collect():
+        test = math.ceil(r.n * 0.2)
+        assert got[(r.c, "test")] == test and got.get((r.c, "train"), 0) == r.n - test
+    whole = {r.split for r in S.stratified_split(df, "id", "c", test_size=0.0).collect()}
+    assert whole == {"train"}
+    assert S.stratified_split(df.limit(0), "id", "c").count() == 0
