@@ -17,16 +17,22 @@ benchmark's size; there is one pass a block. Documents are not shuffled, so
 no passage, however common, meets in one task.
 
 Words are runs of letters and digits of the lower-cased text (every other
-ASCII character separates). Defined results: null or empty texts and items
-match nothing; items of fewer than ``MIN_ITEM`` words are too short to be
-evidence and are left out; repeated documents each get their rows; ties go to the earliest
-stretch; an empty table on either side gives no rows. Other columns are kept
-by :func:`remove_leaks` and ignored by :func:`find_leaks`.
+ASCII character separates); in scripts written without spaces each character
+is a word. Every further copy of an item that does not overlap a better one
+is a span of its own. Defined results: null or empty texts and items
+match nothing; items of fewer than ``MIN_ITEM`` words are everyday phrases
+inside a text, so they match only where they are a whole line of it; repeated
+documents each get their rows; ties go to the earliest stretch; very long
+texts are looked up whole; an empty table on either side gives no rows. Item
+ids are integers. Other columns are kept by :func:`remove_leaks` and ignored
+by :func:`find_leaks`.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -48,14 +54,31 @@ MIN_SHARE = 0.8
 BLOCK_SEEDS = 1_000_000
 
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana, Han; their punctuation separates.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+                       "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_STOPS = re.compile("[\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff61-\uff65]")
 _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(64)], np.uint64)
 _FILTER_BITS = 22
 
 
+def words_of(text: str | None) -> list[bytes]:
+    low = (text or "").lower()
+    if not low.isascii() and _UNSPACED.search(low):
+        low = _UNSPACED.sub(r" \g<0> ", _STOPS.sub(" ", low))
+    return low.encode("utf-8", "replace").translate(_WORDS).split()
+
+
+def line_bounds(text: str) -> set[tuple[int, int]]:
+    """(first word, word after the last) of every line with words."""
+    at = np.cumsum([0, *(len(words_of(line)) for line in text.split("\n"))]).tolist()
+    return {(a, b) for a, b in zip(at, at[1:]) if a < b}
+
+
 def tokens(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's words."""
     import xxhash
-    words = (text or "").lower().encode("utf-8", "replace").translate(_WORDS).split()
+    words = words_of(text)
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
@@ -78,10 +101,10 @@ def need_of(n: int) -> int:
 
 
 def masks_for(n: int, masks=MASKS) -> list[str]:
-    """The masks of an item of ``n`` words; none below ``MIN_ITEM``."""
+    """The masks of an item of ``n`` words; all its words below ``MIN_ITEM``."""
     if n * MIN_SHARE >= MIN_MATCH:
         return masks
-    return SHORT_MASKS if n >= MIN_ITEM else []
+    return SHORT_MASKS if n >= MIN_ITEM else ["1" * n] if n else []
 
 
 class Block:
@@ -121,9 +144,13 @@ class Block:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def overlaps(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, equal words, words of the stretch, first word in the document), the best of each item."""
+        """(item id, equal words, words of the stretch, first word in the document) of every span.
+
+        Spans of one item do not overlap; where they would, the one with more equal words stays.
+        """
         tok = tokens(text)
-        best: dict[int, tuple[int, int, int]] = {}
+        found: dict[int, set[tuple[int, int, int]]] = {}
+        lines = None
         for k, start in self.hits(tok):
             item = self.tokens[k]
             lo, hi = max(0, start), min(len(tok), start + len(item))
@@ -131,10 +158,24 @@ class Block:
             need = need_of(len(item))
             if np.count_nonzero(same) < need:
                 continue
+            if len(item) < MIN_ITEM:
+                lines = line_bounds(text) if lines is None else lines
+                if (lo, hi) not in lines:
+                    continue
             matched, first, length = best_stretch(same)
-            if matched >= need and (k not in best or matched > best[k][0]):
-                best[k] = (matched, length, lo + first)
-        return [(self.ids[k], *map(int, v)) for k, v in sorted(best.items())]
+            if matched >= need:
+                found.setdefault(int(k), set()).add((matched, length, int(lo + first)))
+        return [(self.ids[k], *span) for k in sorted(found) for span in apart(found[k])]
+
+
+def apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (equal words, length, start) those that overlap no better one, by start; ties go to the earlier."""
+    kept: list[tuple[int, int, int]] = []      # (start, end, equal words)
+    for matched, length, start in sorted(spans, key=lambda s: (-s[0], s[2])):
+        at = bisect_left(kept, (start, 0, 0))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or start + length <= kept[at][0]):
+            kept.insert(at, (start, start + length, matched))
+    return [(matched, end - start, start) for start, end, matched in kept]
 
 
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
@@ -162,8 +203,8 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
 def blocks(benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> Iterator[Block]:
     """The benchmark (item_id, text) in blocks of about ``block_seeds`` seeds, one at a time on the driver."""
     items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    # a word has two characters at least, and a seed for each mask
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a word has two bytes at least (its separator or a character of several), and a seed for each mask
     n = max(1, -(-total * max(len(MASKS), len(SHORT_MASKS)) // (2 * block_seeds)))
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
@@ -201,5 +242,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK
 
 @register("op6_decontaminate")
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark overlaps of all documents, one row for each document and item."""
+    """Benchmark overlaps of all documents, one row for each span."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
