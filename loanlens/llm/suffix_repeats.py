@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import drop_stage, release, staged, table
+from loanlens.llm.common import release, staged, table
 from loanlens.llm.registry import register
 
 LENGTH = 50
@@ -299,20 +299,22 @@ def _mark_group(length: int):
     return mark
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(length: int):
     """(doc, row, text, open: [(ah, pos)]) -> (ah, doc, pos, text of the phrase)."""
-    for b in batches:
-        out: list[list] = [[], [], [], []]
-        cols = [b.column(b.schema.get_field_index(c)) for c in ("doc", "row", "text", "open")]
-        for doc, row, text, phrase_list in zip(*cols, strict=True):
-            raw, doc, row = text.as_buffer().to_pybytes(), doc.as_py(), row.as_py()
-            for x in phrase_list.as_py():
-                lo, n = x["pos"] >> _LO & (1 << _ROW - _LO) - 1, x["pos"] & (1 << _N_BITS) - 1
-                if x["pos"] >> _ROW == row:
-                    for o, v in zip(out, (x["ah"], doc, x["pos"], raw[lo:lo + n + LENGTH - 1]), strict=True):
-                        o.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                                          pa.array(out[3], pa.binary())], names=["ah", "doc", "pos", "text"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("doc", "row", "text", "open")]
+            for doc, row, text, phrase_list in zip(*cols, strict=True):
+                raw, doc, row = text.as_buffer().to_pybytes(), doc.as_py(), row.as_py()
+                for x in phrase_list.as_py():
+                    lo, n = x["pos"] >> _LO & (1 << _ROW - _LO) - 1, x["pos"] & (1 << _N_BITS) - 1
+                    if x["pos"] >> _ROW == row:
+                        for o, v in zip(out, (x["ah"], doc, x["pos"], raw[lo:lo + n + length - 1]), strict=True):
+                            o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
+                                              pa.array(out[3], pa.binary())], names=["ah", "doc", "pos", "text"])
+    return cut
 
 
 def _by_window(phrase_rows: DataFrame, length: int) -> DataFrame:
@@ -335,14 +337,21 @@ def numbered(docs: DataFrame) -> DataFrame:
     return d.withColumn("row", (F.dense_rank().over(order) - 1).cast("long")).select("doc", "row", "text")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def gram_for(length: int) -> int:
+    """Bytes of an anchor for repeats of ``length`` bytes: a phrase has 31 windows at most, as its mark holds them in one long."""
+    if length < 1:
+        raise ValueError("length must be positive")
+    return min(length, max(GRAM, length - LENGTH + GRAM))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, pos, mask) of phrases with windows that also start in a smaller document.
 
     ``docs`` is (doc, row, text). Bit i of mask stands for the window that
     starts at byte lo + i, where pos packs (row, lo, windows).
     """
     spark = docs.sparkSession
-    rows = docs.filter("doc IS NOT NULL").mapInArrow(_phrase_rows(length, gram), "ah long, ph long, doc long, pos long")
+    rows = docs.filter("doc IS NOT NULL").mapInArrow(_phrase_rows(length, gram_for(length)), "ah long, ph long, doc long, pos long")
     rows = rows.repartition("ah")
     group = Window.partitionBy("ah")
     same = Window.partitionBy("ah", "ph")
@@ -357,7 +366,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     # first documents of phrases that share their anchor with other phrases
     lists = found.filter("ah IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("ah", "pos")).alias("open"))
     texts = docs.filter("text IS NOT NULL").join(lists, "doc").select("doc", "row", "text", "open")
-    cut = texts.mapInArrow(_cut, "ah long, doc long, pos long, text binary")
+    cut = texts.mapInArrow(_cut(length), "ah long, doc long, pos long, text binary")
     big = staged(found.filter("ah IS NOT NULL").groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).drop("n"),
                  "big-anchors")
     some_big = not big.isEmpty()
@@ -420,10 +429,10 @@ def other_places(raw: bytes, lo: int, size: int) -> Iterator[int]:
         at = raw.find(part, at + 1)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document; ids are whole numbers."""
     d = numbered(docs)
-    marks = repeats(d, length, gram).groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
+    marks = repeats(d, length).groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
     return (d.join(marks, "doc", "left").select("doc", "row", "text", "marks")
             .mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
