@@ -77,6 +77,25 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, or a longer name, that no column of ``df`` has (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that a result of these names replaces."""
+    gone = {n.lower() for n in names}
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in gone])
+
+
+def quoted(c: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -16,7 +16,8 @@ Defined results: a null or empty page has no lines; pages without a host
 share the host ''; a line that a page repeats counts once for that page, and
 all its copies are dropped together; repeated rows are pages of their own; a
 ratio equal to ``max_ratio`` is kept; an empty table gives an empty result;
-other columns are ignored.
+other columns are kept, those named host_pages, n_lines, n_dropped or text
+replaced; very long lines are compared by digest, very long pages line by line.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import LOWER, UPPER, staged, table
+from loanlens.llm.common import LOWER, UPPER, free_name, staged, table, without
 from loanlens.llm.pages import BLOCK, HIDDEN, TAG, visible_lines
 from loanlens.llm.registry import register
 from loanlens.llm.url_filter import host_of
@@ -50,13 +51,15 @@ def boilerplate(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
 def dedup_lines(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``lines`` (host, lines, ...) with host_pages, n_lines, n_dropped and the kept text."""
-    bad = boilerplate(lines, max_ratio, min_pages)
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), _key(x))))
-    return (lines.join(bad, "host").withColumn("_kept", kept)
+    rest = without(lines, "host_pages", "n_lines", "n_dropped", "text")
+    drop, left = free_name(rest, "drop"), free_name(rest, "_kept")
+    bad = boilerplate(lines, max_ratio, min_pages).withColumnRenamed("drop", drop)
+    kept = F.when(F.col(drop).isNull(), F.col("lines")).otherwise(
+        F.filter("lines", lambda x: ~F.array_contains(F.col(drop), _key(x))))
+    return (rest.join(bad, "host").withColumn(left, kept)
             .withColumn("n_lines", F.size("lines").cast("long"))
-            .withColumn("n_dropped", (F.size("lines") - F.size("_kept")).cast("long"))
-            .withColumn("text", F.array_join("_kept", "\n")).drop("_kept", "drop", "lines"))
+            .withColumn("n_dropped", (F.size("lines") - F.size(left)).cast("long"))
+            .withColumn("text", F.array_join(left, "\n")).drop(left, drop, "lines"))
 
 
 _ORACLE = f"""

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import WORD, drop_stage, staged, table, word_count
+from loanlens.llm.common import WORD, drop_stage, free_name, staged, table, word_count
 from loanlens.llm.registry import register
 
 WEIGHTS = (1, 2, 3)
@@ -129,8 +129,8 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
     h = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 64 - HASH_BITS)
     n = (F.col("_c.passes") + F.when(h < F.col("_c.cut"), 1).otherwise(0)).cast("int")
     out = docs.alias("_d").join(cuts.alias("_c"), _same(F.col("_d.source"), F.col("_c._c_source")))
-    return (out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n)))
-            .select(*[F.col(f"_d.`{c}`") for c in docs.columns]))
+    copy = free_name(docs, "_copy")
+    return (out.select("_d.*", F.explode(F.array_repeat(F.lit(1), n)).alias(copy)).drop(copy))
 
 
 @register("op7_mixing")

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import table
+from loanlens.llm.common import free_name, table
 from loanlens.llm.registry import register
 
 MIN_WORDS = 20
@@ -150,14 +150,15 @@ def judge(nav_terms: list[str] = NAV_TERMS, boilerplate: list[str] = BOILERPLATE
 def clean_documents(df: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST, min_words: int = MIN_WORDS,
                     max_repeat: float = MAX_REPEAT, with_text: bool = True) -> DataFrame:
     """``df`` with the statistics, base_failed, kept and (``with_text``) the cleaned text."""
-    out = df.withColumn("_q", judge(with_text=with_text)(F.col(text_col)))
+    q = free_name(df, "_q")
+    out = df.withColumn(q, judge(with_text=with_text)(F.col(text_col)))
     names = [c.split()[0] for c in _BASE.split(", ")] + ["lost_words", "n_punctuation", "n_navigation", "n_boilerplate"]
     for c in names + (["clean_text"] if with_text else []):
-        out = out.withColumn(c, F.col(f"_q.{c}"))
+        out = out.withColumn(c, F.col(q)[c])
     percent = lambda x: F.lit(round(100 * x))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > percent(max_repeat) * F.col("n_words"))
     out = out.withColumn("base_failed", base)
-    return out.withColumn("kept", ~base & (100 * F.col("lost_words") <= percent(max_lost) * F.col("n_words"))).drop("_q")
+    return out.withColumn("kept", ~base & (100 * F.col("lost_words") <= percent(max_lost) * F.col("n_words"))).drop(q)
 
 
 @register("op4_quality_lines")

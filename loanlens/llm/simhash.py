@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import LOWER, UPPER, drop_stage, staged, table
+from loanlens.llm.common import LOWER, UPPER, drop_stage, free_name, staged, table, without
 from loanlens.llm.registry import register
 
 SHINGLE = 4
@@ -180,7 +180,11 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """``rows`` (doc_id, fp, ...) with component_id, the smallest doc_id reachable over links."""
+    """``rows`` (doc_id, fp, ...) with root and component_id, the smallest doc_id reachable over links.
+
+    Columns of ``rows`` with these two names are replaced.
+    """
+    rows = without(rows, "root", "component_id")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
     member = components(links(fps.select("fp"), max_bits, hot))
     of = fps.join(member, fps["fp"] == member["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -196,9 +200,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "th")
     keep = near.groupBy("root").agg(F.min(order).alias("k")).select(
         F.col("k.doc_id").alias("_k_id"), F.col("k.th").alias("_k_th"))
-    d = docs.withColumn("_th", F.xxhash64("text"))
-    kept = d.join(keep, d["doc_id"].eqNullSafe(keep["_k_id"]) & (d["_th"] == keep["_k_th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    th = free_name(docs, "_th")
+    d = docs.withColumn(th, F.xxhash64("text"))
+    kept = d.join(keep, d["doc_id"].eqNullSafe(keep["_k_id"]) & (d[th] == keep["_k_th"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", th]).drop(th)
 
 
 @register("op1_simhash")

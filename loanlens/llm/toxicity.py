@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import staged, table
+from loanlens.llm.common import free_name, staged, table
 from loanlens.llm.registry import register
 
 SAMPLE_ROWS = 20_000
@@ -200,9 +200,10 @@ def severity(model: Model | None):
 
 def score_documents(docs: DataFrame, model: Model | None, reject: float = REJECT) -> DataFrame:
     """``docs`` with expected_severity, grade and toxic (severity of ``reject`` or more)."""
-    out = docs.withColumn("_s", severity(model)(F.col("text")))
-    out = out.withColumn("expected_severity", F.col("_s.expected_severity")).withColumn("grade", F.col("_s.grade"))
-    return out.withColumn("toxic", F.col("expected_severity") >= reject).drop("_s")
+    s = free_name(docs, "_s")
+    out = docs.withColumn(s, severity(model)(F.col("text")))
+    out = out.withColumn("expected_severity", F.col(s)["expected_severity"]).withColumn("grade", F.col(s)["grade"])
+    return out.withColumn("toxic", F.col("expected_severity") >= reject).drop(s)
 
 
 @register("op5_toxicity")

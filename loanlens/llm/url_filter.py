@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import LOWER, UPPER, ascii_lower, table
+from loanlens.llm.common import LOWER, UPPER, ascii_lower, free_name, table
 from loanlens.llm.registry import register
 
 #: (host, path, verdict); a rule fits its host and all subdomains.
@@ -89,14 +89,14 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules=RULES, strict: list[s
 
     Input columns with one of these names are replaced.
     """
-    url = F.col(url_col)
-    out = (df.withColumn("_hit", term_hits(strict, soft)(url))
+    url, hit, fit = F.col(url_col), free_name(df, "_hit"), free_name(df, "_rule")
+    out = (df.withColumn(hit, term_hits(strict, soft)(url))
            .withColumn("host", host_of(url)).withColumn("path", path_of(url))
-           .withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)))
-    method = F.when((F.col("_hit.n_strict") > 0) | (F.col("_hit.n_soft") >= min_soft), "block").otherwise("allow")
-    return (out.withColumn("rule", F.col("_rule.rule"))
-            .withColumn("n_strict", F.col("_hit.n_strict")).withColumn("n_soft", F.col("_hit.n_soft"))
-            .withColumn("verdict", F.coalesce(F.col("_rule.verdict"), method)).drop("_hit", "_rule"))
+           .withColumn(fit, rule_of(F.col("host"), F.col("path"), rules)))
+    method = F.when((F.col(hit)["n_strict"] > 0) | (F.col(hit)["n_soft"] >= min_soft), "block").otherwise("allow")
+    return (out.withColumn("rule", F.col(fit)["rule"])
+            .withColumn("n_strict", F.col(hit)["n_strict"]).withColumn("n_soft", F.col(hit)["n_soft"])
+            .withColumn("verdict", F.coalesce(F.col(fit)["verdict"], method)).drop(hit, fit))
 
 
 def _oracle() -> str:

@@ -43,7 +43,7 @@ def empty(spark):
 def extra(df):
     """Clashing column names that an operator may use itself."""
     from pyspark.sql import functions as F
-    for c in ("kept", "host", "n_words", "h", "fp", "th", "target"):
+    for c in ("kept", "host", "n_words", "h", "fp", "th", "_TH", "target", "_copy", "_q", "_s", "_hit", "_rule", "root", "passes", "cut"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -121,6 +121,17 @@ def test_segments_follow_the_pigeonhole():
         assert sum(b for _, b, _ in parts) == 64 and sum(r + 1 for _, _, r in parts) >= 5
 
 
+@pytest.mark.parametrize("apply", [
+    lambda d: simhash.keep_one(d), lambda d: mixing.apply_mix(d), lambda d: quality.clean_documents(d, with_text=False),
+    lambda d: toxicity.score_documents(d, None), lambda d: url_filter.filter_urls(d, "text")])
+def test_clashing_columns_are_carried(docs, apply):
+    given = extra(docs)
+    out = apply(given)
+    carried = [c for c in given.columns if c.startswith("_") or c in ("root", "passes", "cut")]
+    assert set(given.columns) <= set(out.columns) and out.count() > 0
+    assert {tuple(r) for r in out.select(*carried).collect()} == {("clash",) * len(carried)}
+
+
 # ---- 2 language ------------------------------------------------------------------
 
 def test_language_on_held_out_pages(spark):
@@ -173,6 +184,13 @@ def random_texts():
     return [*rows, (70, "z" * 400), (71, "z" * 120), (72, None), (73, ""), (None, pool[0] * 2), (74, "short")]
 
 
+@pytest.mark.parametrize("length", [8, 21, 80, 120])
+def test_repeats_of_other_lengths_equal_brute_force(spark, length):
+    rows = random_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, suffix_repeats.remove_repeats(df, length).collect()), key=repr) == brute_repeats(rows, length)
+
+
 @pytest.mark.parametrize("group", [20_000, 3])
 def test_repeats_equal_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_repeats, "GROUP", group)
@@ -316,6 +334,33 @@ def test_decontamination_finds_changed_short_items():
     assert not decontaminate.Block([(1, "four word item only")]).overlaps("a four word item only b")
 
 
+def test_decontamination_of_items_under_five_words():
+    block = decontaminate.Block([(1, "four word item only"), (2, "Yes."), (3, "!")])
+    assert block.overlaps("First line\n- Four word item ONLY?\nyes and no\n yes \n") == [(1, 4, 4, 2), (2, 1, 1, 9)]
+    assert not block.overlaps("First line four\nword item only") and not block.overlaps("") and not block.overlaps(None)
+
+
+def test_decontamination_of_scripts_without_spaces():
+    item = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。"
+    block = decontaminate.Block([(1, item), (2, "東京")])
+    n = len(decontaminate.words_of(item))
+    assert n == len(item) - 3
+    assert block.overlaps("「" + item) == [(1, n, n, 0)]
+    assert block.overlaps("x " + item.replace("見", "健"))[0][:2] == (1, n - 1)
+    assert not block.overlaps("東京は日本の首都である") and block.overlaps("首都\n東京") == [(2, 2, 2, 2)]
+    assert not block.overlaps("まったく別の文章がここに長く書かれている")
+
+
+def test_decontamination_reports_every_copy():
+    item = [f"w{i}" for i in range(20)]
+    block = decontaminate.Block([(1, " ".join(item))])
+    text = " ".join([*item, "between", *item[:18], "x", "y", "z", *item])
+    assert block.overlaps(text) == [(1, 20, 20, 0), (1, 18, 18, 21), (1, 20, 20, 42)]
+    many = decontaminate.Block([(1, "a b " * 10)]).overlaps("a b " * 40)
+    assert [s[3] for s in many] == sorted(s[3] for s in many) and sum(s[2] for s in many) <= 80
+    assert all(x[3] + x[2] <= y[3] for x, y in zip(many, many[1:], strict=False)) and len(many) == 4
+
+
 def test_best_stretch_equals_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -397,7 +442,10 @@ def test_line_dedup_drops_site_boilerplate(spark):
     rows = [(i, "http://a.org/x", html.format(i)) for i in range(6)] + [(9, "http://b.org/", html.format(9)), (10, None, None),
                                                                         (10, "http://a.org/x", "")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, drop string")
-    lines = df.select("page_id", url_filter.host_of(df["url"]).alias("host"), pages.visible_lines(df["html"]).alias("lines"))
+    lines = df.select("page_id", url_filter.host_of(df["url"]).alias("host"), pages.visible_lines(df["html"]).alias("lines"),
+                      "drop", df["drop"].alias("_kept"), df["drop"].alias("host_pages"), df["drop"].alias("Text"))
+    assert set(line_dedup.dedup_lines(lines).columns) == {"page_id", "host", "drop", "_kept", "host_pages", "n_lines", "n_dropped", "text"}
+    assert {tuple(r) for r in line_dedup.dedup_lines(lines).select("drop", "_kept").collect()} == {("clash", "clash")}
     got = line_dedup.dedup_lines(lines).collect()
     assert len(got) == len(rows)
     for r in got:
