@@ -43,6 +43,21 @@ def test_stream_scoring_equals_batch(spark, sf, small_model):
     assert batch.filter("probability_default IS NULL AND coalesce(violations, '') = ''").count() == 0
 
 
+def test_replay_safe_scoring_equals_batch(spark, sf, small_model):
+    p, m = small_model
+    recs = serving_view(apps(spark, sf)).drop("app_ts", "loan_status")
+    src, out = (scratch_path(spark, f"ll-{x}-" + uuid.uuid4().hex[:8]) for x in ("in", "safe"))
+    recs.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(recs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    S.score_stream_safe(stream, out, p.encoder, p.selected, m, 0.55)
+    cols = ["app_id", "prediction", "risk_level", "recommendation"]
+    batch = score_records(recs, p.encoder, p.selected, m, 0.55, on_invalid="drop").select(*cols).collect()
+    got = S.committed(spark, out, "scored").select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch)) and got
+    bad = S.committed(spark, out, "quarantine")
+    assert bad.count() == recs.count() - len(got) and bad.where("size(violations) = 0").count() == 0
+
+
 def test_late_events_beyond_watermark_are_dropped(spark):
     """Spark drops a late row against the previous batch's watermark, so the
     late file comes third: batch 0 advances the watermark to 2024-01-11 05:00,
