@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.llm.common import free_name, quoted
+
 #: A key with more than this share of the rows is split; there are fewer than ``PARTS`` such keys.
 PARTS = 4096
 
@@ -22,9 +24,10 @@ def counted_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n
     total = table.agg(F.sum(n)).first()[0] or 0
     share = max(1, total // parts)
     salts = F.ceil(F.col(n) / F.lit(share)).cast("int")
-    frequent = table.filter(F.col(n) > share).select(*keys, salts.alias("_salts"))
+    salt, of = free_name(rows, "_salt"), free_name(rows, "_salts")
+    frequent = table.filter(F.col(n) > share).select(*keys, salts.alias(of))
     dealt = (rows.join(F.broadcast(frequent), keys, "left")
-             .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int"), F.lit(0)))
-             .drop("_salts"))
+             .withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns]), F.col(of)).cast("int"), F.lit(0)))
+             .drop(of))
     copies = F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, salts - 1).otherwise(F.lit(0))))
-    return dealt.join(table.withColumn("_salt", copies).drop(n), [*keys, "_salt"]).drop("_salt")
+    return dealt.join(table.withColumn(salt, copies).drop(n), [*keys, salt]).drop(salt)

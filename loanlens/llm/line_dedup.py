@@ -8,7 +8,8 @@ nothing there.
 
 A host has at most (mean distinct lines of its pages) / ``max_ratio``
 boilerplate lines, so the list of them that travels back to its pages is
-bounded by the pages' length whatever the host's size. Lines are counted as
+bounded by the pages' length whatever the host's size. Pages and lines of a
+host with many pages are dealt over salts to meet it. Lines are counted as
 16-byte digests with partial sums before the shuffle, so a host or line with
 a third of all rows arrives as one row a task.
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.llm.common import LOWER, UPPER, free_name, staged, table, without
+from loanlens.llm.joins import counted_join
 from loanlens.llm.pages import BLOCK, HIDDEN, TAG, visible_lines
 from loanlens.llm.registry import register
 from loanlens.llm.url_filter import host_of
@@ -40,10 +42,10 @@ def _key(c):
 
 def boilerplate(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, host_pages, drop): per host the digests of its boilerplate lines."""
-    hosts = lines.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    hosts = staged(lines.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")), "hosts")
     counts = (lines.select("host", F.explode(F.array_distinct("lines")).alias("line"))
               .groupBy("host", _key(F.col("line")).alias("key")).agg(F.count(F.lit(1)).alias("n")))
-    frequent = (counts.filter(F.col("n") > 1).join(hosts, "host")
+    frequent = (counted_join(counts.filter(F.col("n") > 1), hosts.withColumn("pages", F.col("host_pages")), ["host"], "pages")
                 .filter((F.col("host_pages") >= min_pages) & (F.col("n") > F.lit(max_ratio) * F.col("host_pages"))))
     drops = frequent.groupBy("host").agg(F.collect_list("key").alias("drop"))
     return hosts.join(drops, "host", "left")
@@ -53,10 +55,12 @@ def dedup_lines(lines: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     """``lines`` (host, lines, ...) with host_pages, n_lines, n_dropped and the kept text."""
     rest = without(lines, "host_pages", "n_lines", "n_dropped", "text")
     drop, left = free_name(rest, "drop"), free_name(rest, "_kept")
-    bad = boilerplate(lines, max_ratio, min_pages).withColumnRenamed("drop", drop)
+    weight = free_name(rest, "n")
+    bad = staged(boilerplate(lines, max_ratio, min_pages).select("host", "host_pages", F.col("drop").alias(drop),
+                                                                F.col("host_pages").alias(weight)), "boilerplate")
     kept = F.when(F.col(drop).isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains(F.col(drop), _key(x))))
-    return (rest.join(bad, "host").withColumn(left, kept)
+    return (counted_join(rest, bad, ["host"], weight).withColumn(left, kept)
             .withColumn("n_lines", F.size("lines").cast("long"))
             .withColumn("n_dropped", (F.size("lines") - F.size(left)).cast("long"))
             .withColumn("text", F.array_join(left, "\n")).drop(left, drop, "lines"))

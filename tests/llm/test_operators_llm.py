@@ -443,8 +443,8 @@ def test_line_dedup_drops_site_boilerplate(spark):
                                                                         (10, "http://a.org/x", "")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, drop string")
     lines = df.select("page_id", url_filter.host_of(df["url"]).alias("host"), pages.visible_lines(df["html"]).alias("lines"),
-                      "drop", df["drop"].alias("_kept"), df["drop"].alias("host_pages"), df["drop"].alias("Text"))
-    assert set(line_dedup.dedup_lines(lines).columns) == {"page_id", "host", "drop", "_kept", "host_pages", "n_lines", "n_dropped", "text"}
+                      "drop", df["drop"].alias("_kept"), df["drop"].alias("host_pages"), df["drop"].alias("Text"), df["drop"].alias("n"), df["drop"].alias("_salt"))
+    assert set(line_dedup.dedup_lines(lines).columns) == {"page_id", "host", "drop", "_kept", "n", "_salt", "host_pages", "n_lines", "n_dropped", "text"}
     assert {tuple(r) for r in line_dedup.dedup_lines(lines).select("drop", "_kept").collect()} == {("clash", "clash")}
     got = line_dedup.dedup_lines(lines).collect()
     assert len(got) == len(rows)
@@ -456,6 +456,20 @@ def test_line_dedup_drops_site_boilerplate(spark):
     assert line_dedup.dedup_lines(lines.limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_host_with_most_pages(spark):
+    rows = [(i, "hot.org" if i % 10 else f"h{i % 7}.org", ["Menu", f"Text {i % 400}", "Menu", "Text 1"] if i % 3 else [f"only {i}"])
+            for i in range(2000)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, host string, lines array<string>").repartition(5))
+    from collections import Counter
+    pages_of = Counter(h for _, h, _ in rows)
+    holding = Counter((h, x) for _, h, lines in rows for x in set(lines))
+    want = {}
+    for i, h, lines in rows:
+        kept = [x for x in lines if not (holding[h, x] > 1 and pages_of[h] >= 5 and holding[h, x] > 0.2 * pages_of[h])]
+        want[i] = (h, pages_of[h], len(lines), len(lines) - len(kept), "\n".join(kept))
+    assert {r.page_id: (r.host, r.host_pages, r.n_lines, r.n_dropped, r.text) for r in got.collect()} == want
+
+
 # ---- 9 token files ---------------------------------------------------------------
 
 def test_elias_fano_round_trip():
