@@ -12,16 +12,17 @@ max_bits // m, the first (max_bits - r m + 1) segments have radius r, the
 others r - 1. Every fingerprint therefore looks up, in the table of each
 segment, all values of the small Hamming ball around its own value; matches
 are verified on all 64 bits inside the join. m follows from the number of
-fingerprints, so that segment tables stay sparse as the corpus grows.
+fingerprints by the cost of probes and candidates: 5 to 3 segments up to
+about 1e8 distinct fingerprints (``max_bits`` 4), then two of 32 bits.
 
 A segment value shared by more than ``hot`` times as many fingerprints as
 evenly spread ones would share it (a dense group of near copies) would yield
 all pairs of the group. Such fingerprints are
 linked another way, also exact: two fingerprints at ``max_bits`` or fewer
-share a member of their Hamming balls of radius ceil(max_bits / 2) in the
-64-bit space, and members of a ball are linked to its smallest member after
-the same verification bound (any two fingerprints of one ball of radius 2
-differ by 4 bits at most). That is linear in the group.
+share a member of their Hamming balls in the 64-bit space, one of radius
+floor(max_bits / 2), the other of radius ceil(max_bits / 2). All members of
+the larger ball are linked to the smallest fingerprint of the smaller one,
+from which they differ by ``max_bits`` at most. That is linear in the group.
 
 Components come from min-label contraction over written tables; nothing is
 collected to the driver.
@@ -52,6 +53,7 @@ SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 HOT = 64
+PROBE = 4
 BLOCK_WORDS = 200_000
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -96,17 +98,31 @@ def ball_masks(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)] if radius >= 0 else []
 
 
+def lookup_cost(n: int, parts: list[tuple[int, int, int]]) -> tuple[int, float]:
+    """(probes, expected candidates) of one fingerprint among ``n`` evenly spread ones."""
+    sizes = [(sum(math.comb(bits, r) for r in range(radius + 1)), bits) for _, bits, radius in parts]
+    return sum(s for s, _ in sizes), sum(n * s / (1 << bits) for s, bits in sizes)
+
+
 def segments(n: int, max_bits: int) -> list[tuple[int, int, int]]:
     """(shift, bits, radius) of each segment for about ``n`` fingerprints.
 
-    Segments of about log2(n) bits keep the expected matches of a look-up
-    near one. More segments than ``max_bits`` + 1 have no use, and fewer than
-    three would need balls of hundreds of members.
+    Few wide segments have large balls (probes), many narrow ones have
+    crowded values (candidates). The number of segments is the one with the
+    least work for a fingerprint, a probe (a shuffled row) counted as
+    ``PROBE`` candidates (rows met inside the join). More than ``max_bits`` +
+    1 segments have no use.
     """
-    m = min(max_bits + 1, max(3, round(64 / max(1.0, math.log2(max(2, n))))))
-    r, wide = max_bits // m, max_bits - max_bits // m * m + 1
-    edges = [64 * i // m for i in range(m + 1)]
-    return [(lo, hi - lo, r if i < wide else r - 1) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+    def cut(m: int) -> list[tuple[int, int, int]]:
+        r, wide = max_bits // m, max_bits - max_bits // m * m + 1
+        edges = [64 * i // m for i in range(m + 1)]
+        return [(lo, hi - lo, r if i < wide else r - 1) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+
+    def work(parts) -> float:
+        probes, candidates = lookup_cost(n, parts)
+        return PROBE * probes + candidates
+    # one segment is the whole fingerprint: its ball has hundreds of thousands of members from 4 bits on
+    return min((cut(m) for m in range(min(2, max_bits + 1), max_bits + 2)), key=work)
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
@@ -137,13 +153,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
     out = p.join(t.hint("merge"), (t["seg"] == p["seg"]) & (t["v"] == p["v"]) & (t["a"] < p["b"]) & near(t["a"], p["b"])).select("a", "b")
     if some_hot:
         inside = staged(probes.join(sizes, ["seg", "v"], "left_semi").select("fp").distinct(), "hot-members")
-        masks = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in ball_masks(64, max_bits // 2)])
+        masks = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in ball_masks(64, (max_bits + 1) // 2)])
         center = inside.select("fp", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fp")))).alias("c"))
         # exploded rows are many times what the planner takes them for, so no side is broadcast
-        star = center.join(center.groupBy("c").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").drop("z").hint("merge"), "c")
-        if max_bits % 2:   # odd: the ball of radius k covers distance 2k, one more bit is looked up directly
-            raise ValueError("hot segment values need an even max_bits")
-        out = out.unionByName(star.select("a", F.col("fp").alias("b")).filter("a < b"))
+        inner = F.bit_count(F.col("c").bitwiseXOR(F.col("fp"))) <= max_bits // 2
+        least = F.min(F.when(inner, F.col("fp"))) if max_bits % 2 else F.min("fp")
+        star = center.join(center.groupBy("c").agg(least.alias("a"), F.min("fp").alias("y"), F.max("fp").alias("z"))
+                           .filter("a IS NOT NULL AND y < z").select("c", "a").hint("merge"), "c")
+        out = out.unionByName(star.filter("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")))
     return out.distinct()
 
 
