@@ -12,7 +12,7 @@ document) under the shared folder. A file holds
 
 A document's offset is ``select(i)``: one sample, a few popcounts and the
 low bits, about 2 + log2(ids / documents) bits a document and no 64-bit
-table. Reading goes through Spark's ``binaryFile`` source.
+table. Readers get manifest rows and open those files in their tasks.
 
 Tokenizing: the vocabulary's words never reach over white space, nor from a
 letter to a mark or digit, so a text is cut there and each distinct part is
@@ -47,6 +47,8 @@ from loanlens.llm.registry import register
 END_ID = 2
 FILE_IDS = 4_000_000
 CACHE_WORDS = 400_000
+READ_TASKS = 10_000
+PLACES = 4096        # documents of one block when places are looked up in files
 MAGIC = b"EFTK1\0\0\0"
 SAMPLE = 256
 _HEAD = struct.Struct("<8I")
@@ -270,10 +272,9 @@ _MANIFEST = "part int, seq int, file string, n_docs long, n_ids long"
 
 def _writer(folder: str, vocab: str, end_id: int, file_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = _store(folder)
         enc = encoder(vocab)
         ids, docs, lens, held, seq = [], [], [], 0, 0
 
@@ -323,34 +324,95 @@ def write_tokens(docs: DataFrame, vocab: str, folder: str, end_id: int = END_ID,
     n = [partitions] if partitions else []
     ordered = keyed.repartitionByRange(*n, F.col("doc_id").asc_nulls_first(), "_tie")
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie")
-    manifest = staged(ordered.drop("_tie").mapInArrow(_writer(folder, vocab, end_id, file_ids), _MANIFEST), "manifest")
+    manifest = staged(ordered.drop("_tie").mapInArrow(_writer(qualified(spark, folder), vocab, end_id, file_ids), _MANIFEST), "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, id_type: str = "long") -> DataFrame:
-    """One row per document, in files' order: doc_id, start, n_tokens, ids_crc32, ids (array<int>)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eftk").load(folder)
-    beside = spark.read.format("binaryFile").option("pathGlobFilter", "*.docs").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    both = (manifest.select("file", "start")
-            .join(files.select(name.alias("file"), F.col("content").alias("blob")), "file")
-            .join(beside.select(F.regexp_replace(name, r"\.docs$", "").alias("file"), F.col("content").alias("docs")), "file"))
-    return both.mapInArrow(_decode, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
-
-
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for blob, docs, start in zip(*(b.column(b.schema.get_field_index(c)) for c in ("blob", "docs", "start")), strict=True):
-            ids, bounds = unpack(blob.as_buffer().to_pybytes())
-            doc = pa.ipc.open_stream(docs.as_buffer()).read_all().column("doc_id").combine_chunks()
-            ends = bounds.all()
-            starts = np.concatenate([[0], ends[:-1]])
-            wide = ids.astype("<u4")
-            crc = [zlib.crc32(wide[s:e]) for s, e in zip(starts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [doc, pa.array(starts + start.as_py()), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
+def _store(folder: str):
+    """(file system, root) of a qualified folder, on the driver or in a task."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme and host that Hadoop's settings give it; a local one as ``file:///...``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, id_type: str = "long", with_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (array<int>).
+
+    Tasks open the files of their manifest rows; contents are not shuffled.
+    """
+    at = _dealt(manifest.select("file", "start"))
+    ids = ", ids array<int>" if with_ids else ""
+    return at.mapInArrow(_decode(qualified(spark, folder), with_ids), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long{ids}")
+
+
+def read_documents(spark: SparkSession, folder: str, manifest: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(number, ids) of documents by their place in the whole corpus (``numbers``: one long column, from 0).
+
+    Places outside the corpus give no row. A file is opened once for all
+    places asked of it; their ends come from its select structure, not from
+    decoding the others.
+    """
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.withColumn("first", F.coalesce(F.sum("n_docs").over(before), F.lit(0)))
+    files = files.select("file", "first", (F.col("first") + F.col("n_docs")).alias("last"))
+    wanted = numbers.toDF("number").filter("number IS NOT NULL").distinct()
+    # a place lies in one file: both sides meet by blocks of places, the files' rows once for each block they reach
+    block = files.select("*", F.explode(F.expr(f"sequence(first div {PLACES}, (last - 1) div {PLACES})")).alias("block"))
+    hit = wanted.withColumn("block", F.expr(f"number div {PLACES}")).join(block, "block").filter("number >= first AND number < last")
+    return (hit.select("file", (F.col("number") - F.col("first")).alias("at"), "number")
+            .repartition("file").sortWithinPartitions("file", "at").mapInArrow(_select(qualified(spark, folder)), "number long, ids array<int>"))
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """One task for each file up to ``READ_TASKS``; rows are a file's name and a number, so dealing them costs nothing."""
+    return files.repartition(max(1, min(READ_TASKS, files.count())))
+
+
+def _select(folder: str):
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        opened, name = None, None          # the last file read
+        for b in batches:
+            numbers, found = [], []
+            for file, at, number in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("file", "at", "number")), strict=True):
+                if file != name:
+                    with store.open_input_file(f"{root}/{file}") as f:
+                        opened, name = unpack(f.read()), file
+                ids, bounds = opened
+                numbers.append(number)
+                found.append(ids[bounds.select(at - 1) if at else 0:bounds.select(at)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["number", "ids"])
+    return select
+
+
+def _decode(folder: str, with_ids: bool):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        for b in batches:
+            for file, start in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("file", "start")), strict=True):
+                with store.open_input_file(f"{root}/{file}") as f:
+                    ids, bounds = unpack(f.read())
+                with store.open_input_file(f"{root}/{file}.docs") as f:
+                    doc = pa.ipc.open_stream(f).read_all().column("doc_id").combine_chunks()
+                ends = bounds.all()
+                starts = np.concatenate([[0], ends[:-1]])
+                wide = ids.astype("<u4")
+                crc = [zlib.crc32(wide[s:e]) for s, e in zip(starts, ends, strict=True)]
+                out = [doc, pa.array(starts + start), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+                if with_ids:
+                    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                    out.append(pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names=names)
+    return decode
 
 
 def tokens_of(docs: DataFrame, vocab: str, end_id: int = END_ID) -> DataFrame:

@@ -86,8 +86,8 @@ def test_simhash_fingerprints_and_components(docs, empty):
     assert simhash.near_duplicates(simhash.fingerprints(empty)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [2, 64])
-def test_simhash_links_connect_the_same_pairs(spark, hot):
+@pytest.mark.parametrize(("hot", "max_bits"), [(2, 4), (64, 4), (2, 3), (64, 3), (2, 1)])
+def test_simhash_links_connect_the_same_pairs(spark, hot, max_bits):
     rng = np.random.default_rng(7)
     fps = set()
     for c in rng.integers(0, 1 << 63, 12, np.uint64).tolist():
@@ -98,8 +98,8 @@ def test_simhash_links_connect_the_same_pairs(spark, hot):
             fps.add(f)
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(i, signed(f)) for i, f in enumerate(sorted(fps))], "doc_id long, fp long")
-    got = simhash.near_duplicates(df, hot=hot).collect()
-    comp = brute_components(fps)
+    got = simhash.near_duplicates(df, max_bits, hot).collect()
+    comp = brute_components(fps, max_bits)
     ids = {signed(f): i for i, f in enumerate(sorted(fps))}
     first = {}
     for f in fps:
@@ -121,6 +121,17 @@ def test_segments_follow_the_pigeonhole():
         assert sum(b for _, b, _ in parts) == 64 and sum(r + 1 for _, _, r in parts) >= 5
 
 
+@pytest.mark.parametrize("max_bits", [0, 1, 2, 3, 4, 5])
+def test_segments_bound_probes_and_candidates(max_bits):
+    for n in (1, 10**4, 10**6, 10**8, 10**9):
+        parts = simhash.segments(n, max_bits)
+        probes, candidates = simhash.lookup_cost(n, parts)
+        assert sum(b for _, b, _ in parts) == 64 and sum(r + 1 for _, _, r in parts) == max_bits + 1
+        if max_bits <= 4:
+            assert probes < 1_000
+            assert candidates < 1_000 or n < 10**9
+
+
 @pytest.mark.parametrize("apply", [
     lambda d: simhash.keep_one(d), lambda d: mixing.apply_mix(d), lambda d: quality.clean_documents(d, with_text=False),
     lambda d: toxicity.score_documents(d, None), lambda d: url_filter.filter_urls(d, "text")])
@@ -496,6 +507,19 @@ def test_tokens_equal_whole_text_encoding(spark, docs, empty):
         assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, at, len(ids))
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
+    folder = token_ids.new_path(spark, "tokens-test")
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_ids.write_tokens(df, path, folder, file_ids=2_000, partitions=2)
+    assert manifest.count() == 2
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for _, t in sorted(rows, key=lambda r: r[0])]
+    read = token_ids.read_tokens(spark, folder, manifest, with_ids=True).orderBy("doc_id").collect()
+    assert [r["ids"] for r in read] == want
+    places = [0, 1, 17, len(rows) - 1, 17, -1, len(rows), None]
+    some = token_ids.read_documents(spark, folder, manifest, spark.createDataFrame([(x,) for x in places], "n long")).collect()
+    assert sorted((r["number"], r["ids"]) for r in some) == [(x, want[x]) for x in sorted({0, 1, 17, len(rows) - 1})]
+    assert token_ids.qualified(spark, "file:/x/y") == token_ids.qualified(spark, "/x/y") == "file:///x/y"
     many = token_ids.tokens_of(extra(docs), path)
     assert many.count() == len(doc_rows()) and token_ids.tokens_of(empty, path).count() == 0
 
