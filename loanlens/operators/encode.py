@@ -184,38 +184,43 @@ def correlated_pairs(enc_df: DataFrame, names: list[str], threshold: float = 0.8
     return pair_correlations(enc_df, names).where(r > threshold).select("a", "b", "i", "j", r.alias("abs_r"))
 
 
-def pair_correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, i, j, r) of all pairs i < j, from k x k sums of centred values per Arrow batch.
+#: Columns of one block, and block pairs whose sums one task holds (six matrices of BLOCK x BLOCK doubles each).
+BLOCK = 512
+HELD = 4
+#: Tasks of one pass over some block pairs; each sends on its sums once.
+PASS_TASKS = 64
 
-    One aggregation for the k means, one pass in which each task adds up its
-    batches, and one grouped sum over the tasks' k x k rows.
+
+def pair_correlations(df: DataFrame, names: list[str], block: int = BLOCK) -> DataFrame:
+    """(a, b, i, j, r) of all pairs i < j, from sums of products of centred values, block of columns by block.
+
+    The columns are written once as one array a block. A pass adds up at most
+    ``HELD`` pairs of blocks and reads those blocks' arrays only, so a task's
+    memory does not grow with the number of columns; all passes are one job,
+    and one grouped sum adds the tasks' matrices. Up to ``block`` columns are
+    one pass over the given table.
     """
     spark = df.sparkSession
     if len(names) < 2:
         return spark.createDataFrame([], "a string, b string, i int, j int, r double")
-    cols = [F.nanvl(F.col(f"`{n}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, n in enumerate(names)]
-    x = df.select(*cols)
-    means = np.array([m or 0.0 for m in x.agg(*[F.avg(f"c{i}") for i in range(len(names))]).head()])
-    ii, jj = (v.astype(np.int32) for v in np.triu_indices(len(names), 1))
-    parts = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-    def sums(batches):
-        import pyarrow as pa
-        total = None
-        for batch in batches:
-            v = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - means
-            there = ~np.isnan(v)
-            v = np.where(there, v, 0.0)
-            w = there.astype(float)
-            s, q = v.T @ w, (v * v).T @ w
-            part = np.stack([(w.T @ w)[ii, jj], s[ii, jj], s[jj, ii], q[ii, jj], q[jj, ii], (v.T @ v)[ii, jj]])
-            total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (ii, jj, *total)], names=["i", "j", *parts])
-
-    t = (x.mapInArrow(sums, "i int, j int, " + ", ".join(f"{p} double" for p in parts))
-         .groupBy("i", "j").agg(*[F.sum(p).alias(p) for p in parts]))
-    n, sx, sy, sxx, syy, sxy = (F.col(p) for p in parts)
+    starts = list(range(0, len(names), block))
+    cell = [F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float("nan"))) for n in names]
+    x = df.select(*[F.array(*cell[lo:lo + block]).alias(f"b{k}") for k, lo in enumerate(starts)])
+    if len(starts) > 1:
+        from loanlens.sources.stages import written
+        x = written(x, "column-blocks")
+    means = _column_means(x, starts, len(names))
+    pairs = [(k, m) for k in range(len(starts)) for m in range(k, len(starts))]
+    t = None
+    for lo in range(0, len(pairs), HELD):
+        part = pairs[lo:lo + HELD]
+        rows = x.select(*[f"b{k}" for k in sorted({k for p in part for k in p})])
+        if len(pairs) > HELD:
+            rows = rows.coalesce(PASS_TASKS)
+        sums = rows.mapInArrow(_pair_sums(part, starts, means), "i int, j int, " + ", ".join(f"{p} double" for p in _SUMS))
+        t = sums if t is None else t.unionByName(sums)
+    t = t.groupBy("i", "j").agg(*[F.sum(p).alias(p) for p in _SUMS])
+    n, sx, sy, sxx, syy, sxy = (F.col(p) for p in _SUMS)
     vx, vy = sxx - sx * sx / n, syy - sy * sy / n
     # what rounding leaves of a constant column is no variance
     r = F.when((n > 0) & (vx > 1e-12 * sxx) & (vy > 1e-12 * syy), (sxy - sx * sy / n) / (F.sqrt(vx) * F.sqrt(vy)))
@@ -223,6 +228,61 @@ def pair_correlations(df: DataFrame, names: list[str]) -> DataFrame:
     return t.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), "i", "j", r.alias("r"))
 
 
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _matrix(batch, name: str) -> np.ndarray:
+    """Rows x columns of one block's arrays, NaN where a value is missing."""
+    values = batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(batch.num_rows, -1) if batch.num_rows else values.reshape(0, 0)
+
+
+def _column_means(x: DataFrame, starts: list[int], k: int) -> np.ndarray:
+    """Mean of every column, 0 where it has no value: one pass, k sums from each task."""
+    def sums(batches):
+        import pyarrow as pa
+        n, s = np.zeros(k), np.zeros(k)
+        for batch in batches:
+            for b, lo in enumerate(starts):
+                v = _matrix(batch, f"b{b}")
+                if len(v):
+                    n[lo:lo + v.shape[1]] += np.count_nonzero(~np.isnan(v), axis=0)
+                    s[lo:lo + v.shape[1]] += np.nansum(v, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(n), pa.array(s)], names=["i", "n", "s"])
+
+    out = np.zeros(k)
+    for r in x.mapInArrow(sums, "i long, n double, s double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+        out[r["i"]] = r["s"] / r["n"] if r["n"] else 0.0
+    return out
+
+
+def _pair_sums(pairs: list[tuple[int, int]], starts: list[int], means: np.ndarray):
+    """Sums of products of the columns of some block pairs, one row for each pair of columns i < j."""
+    def sums(batches):
+        import pyarrow as pa
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = {}
+            for b in {b for p in pairs for b in p}:
+                v = _matrix(batch, f"b{b}")
+                v = v - means[starts[b]:starts[b] + v.shape[1]]
+                there = ~np.isnan(v)
+                v = np.where(there, v, 0.0)
+                held[b] = v, there.astype(float)
+            for p in pairs:
+                (v, w), (u, z) = held[p[0]], held[p[1]]
+                part = np.stack([w.T @ z, v.T @ z, w.T @ u, (v * v).T @ z, w.T @ (u * u), v.T @ u])
+                total[p] = total[p] + part if p in total else part
+        for (a, b), part in total.items():
+            i, j = np.meshgrid(starts[a] + np.arange(part.shape[1]), starts[b] + np.arange(part.shape[2]), indexing="ij")
+            up = i < j
+            yield pa.RecordBatch.from_arrays([pa.array(i[up].astype(np.int32)), pa.array(j[up].astype(np.int32)),
+                                              *[pa.array(m[up]) for m in part]], names=["i", "j", *_SUMS])
+    return sums
+
+
 def correlation_drop(enc_df: DataFrame, names: list[str], threshold: float = 0.85,
                      policy: str = "later", target: str | None = None) -> list[str]:
     """F8: names to drop.

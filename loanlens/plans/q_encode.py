@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loanlens.operators import encode as EN
+from loanlens.operators.categories import CategoryDictionary, positions
 from loanlens.plans.base import feat
 from loanlens.plans.registry import register, rounded
 from loanlens.plans.sql_common import CLEAN, FEAT, with_
@@ -159,3 +160,23 @@ def feature_info(spark, d):
     """the fitted params table (medians, means, stds, modes, categories)."""
     _, enc = fitted(spark, d)
     return enc.params_df(spark)
+
+
+@register("category_dictionary", with_(*ENC_CTES) +
+          "SELECT cpos.feature, cpos.v AS value, cpos.pos - " + str(len(NUMERIC_ENC)) + " AS index, cc.n "
+          "FROM cpos JOIN cc ON cc.feature = cpos.feature AND cc.v = cpos.v")
+def category_dictionary(spark, d):
+    """every category with its index and count, as a table of any size."""
+    return CategoryDictionary.fit(feat(spark, d), CATEGORICAL_ENC).named()
+
+
+@register("sparse_one_hot", with_(*ENC_CTES) +
+          f"SELECT app_id, CAST((SELECT count(*) FROM cpos) AS INT) AS dimension, "
+          f"string_agg(CAST(pos - {len(NUMERIC_ENC)} AS VARCHAR), ',' ORDER BY pos) AS positions "
+          "FROM catenc WHERE value = 1e0 GROUP BY app_id")
+def sparse_one_hot(spark, d):
+    """one sparse vector an application by the dictionary, nulls as the mode; its positions as text."""
+    df = feat(spark, d)
+    dictionary = CategoryDictionary.fit(df, CATEGORICAL_ENC)
+    return dictionary.encode(df, "app_id").select(
+        "app_id", F.lit(dictionary.dimension).alias("dimension"), F.array_join(positions("features"), ",").alias("positions"))

@@ -8,7 +8,10 @@ are near-unique doubles, customer names are unique strings).
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loanlens.operators import profile as P
+from loanlens.operators.categories import CategoryDictionary, positions
 from loanlens.operators.split import stratified_split
 from loanlens.plans.q_profile import IQR_DOUBLES, _corr_sql, iqr_sql
 from loanlens.plans.registry import register, rounded
@@ -85,3 +88,17 @@ def stratified_split_labels(spark, d):
     """G1 on labels (key doc_id, target quality)."""
     return stratified_split(read_table(spark, d, "labels"), key="doc_id", label="quality") \
         .select("doc_id", "quality", "split")
+
+
+@register("sparse_one_hot_customer",
+          "WITH v AS (SELECT c_custkey, 0 AS c, c_name AS v FROM customer UNION ALL SELECT c_custkey, 1, c_mktsegment FROM customer), "
+          "d AS (SELECT c, v, row_number() OVER (ORDER BY c, v) - 1 AS i FROM (SELECT DISTINCT c, v FROM v WHERE v IS NOT NULL)) "
+          "SELECT v.c_custkey, CAST((SELECT count(*) FROM d) AS INT) AS dimension, "
+          "coalesce(string_agg(CAST(d.i AS VARCHAR), ',' ORDER BY d.i), '') AS positions "
+          "FROM v LEFT JOIN d ON v.c = d.c AND v.v = d.v GROUP BY v.c_custkey")
+def sparse_one_hot_customer(spark, d):
+    """F4 on customer: a category of its own for nearly every row, nulls without a position."""
+    df = read_table(spark, d, "customer")
+    dictionary = CategoryDictionary.fit(df, ["c_name", "c_mktsegment"])
+    return dictionary.encode(df, "c_custkey", impute=False).select(
+        "c_custkey", F.lit(dictionary.dimension).alias("dimension"), F.array_join(positions("features"), ",").alias("positions"))
