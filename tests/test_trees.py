@@ -197,3 +197,39 @@ def test_cross_validation_covers_models_and_folds(spark, table):
     rows = TR.cross_validate(table, ["gbt", "forest"], 3, num_trees=5, gbt_iter=5).collect()
     assert {(r["model"], r["fold"]) for r in rows} == {(m, f) for m in ("gbt", "forest") for f in range(3)}
     assert all(0.6 < r["roc_auc"] <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("local", [1, 1 << 16])
+def test_importances_leave_the_trees_in_their_tasks(spark, table, monkeypatch, local):
+    forest = R.Forest(20, 30, 1, balanced=False)
+    want = R.grow_forest(table, forest, key="app_id")[0].importances(5)
+    monkeypatch.setattr(G, "LOCAL", local)
+    monkeypatch.setattr(G, "_attached", lambda *_: pytest.fail("trees on the driver"))
+    assert np.allclose(R.forest_importances(table, forest, key="app_id"), want, rtol=1e-12)
+
+
+def test_filled_bins_split_as_all_bins():
+    rng = np.random.default_rng(5)
+    bins = np.array([7, 2, 5, 1, 3])
+    x = np.stack([rng.integers(0, w, 300) for w in bins], 1).astype(np.uint8)
+    y, copies = rng.integers(0, 2, 300), rng.integers(1, 4, 300)
+    rule = G.Rule("gini", np.array([9]), np.array([2.0]), np.ones(1), np.array([[0.7, 1.9]]), np.array([11], np.uint64), 3)
+    got = G.grow_local(x, np.zeros(300, int), copies * (y == 0.0), copies * (y == 1.0), rule.key, rule.depth, rule, bins)
+    at, deep = got.walk(np.ascontiguousarray(x.T), np.array([0])), 0
+    for node in np.flatnonzero(got.feature >= 0).tolist():
+        picks, best, root = rule.picks(got.key[[node]], 5)[0], G.Best(1), np.array([0])
+        mine = np.flatnonzero([node in path(got, r) for r in x])
+        for j in picks.tolist():
+            ha, hb = (np.bincount(x[mine, j], copies[mine] * (y[mine] == c), bins[j])[None] for c in (0, 1))
+            best.consider(rule, root, j, ha, hb, got.a[[node]], got.b[[node]])
+        assert (best.feature[0], best.cut[0], best.gain[0]) == (got.feature[node], got.cut[node], got.gain[node])
+        deep += 1
+    assert deep > 20 and (got.feature[at] < 0).all()
+
+
+def path(nodes, record):
+    k, out = 0, {0}
+    while nodes.feature[k] >= 0:
+        k = int(nodes.left[k] + (record[nodes.feature[k]] > nodes.cut[k]))
+        out.add(k)
+    return out
