@@ -74,3 +74,18 @@ def test_boosting_of_a_middling_table_uses_all_cores(spark, table):
     parts = t.binned.parts
     t.close()
     assert parts >= min(8, spark.sparkContext.defaultParallelism)
+
+
+def test_feature_importance_leaves_the_trees_in_their_tasks(spark, table, monkeypatch):
+    from types import SimpleNamespace
+
+    from loanlens.operators import train as TR
+    from loanlens.plans import q_models
+    names = [f"x{j}" for j in range(4)]
+    want = TR.feature_importance(TR.fit_model("forest", table), names)
+    monkeypatch.setattr(grow, "_attached", lambda *a: pytest.fail("trees at the driver"))
+    monkeypatch.setattr(q_models, "prepare", lambda *a: SimpleNamespace(train=table, selected=names))
+    monkeypatch.setattr(q_models, "input_stamp", lambda *a: "made up")
+    got = q_models.feature_importance(spark, "/nowhere").orderBy("rank").collect()
+    assert [r["feature"] for r in got] == [n for n, _ in want]
+    assert [r["importance"] for r in got] == pytest.approx([v for _, v in want], rel=1e-9)
