@@ -55,3 +55,51 @@ def test_tables_too_small_for_folds(spark):
     df = spark.createDataFrame([(0.0, Vectors.dense(0.0, 1.0)), (1.0, Vectors.dense(1.0, 0.0))], ["label", "features"])
     out = TR.fit_model("svm", df, rff_components=8).predict(df).select("label", "probability_default").collect()
     assert all(0.0 <= r["probability_default"] <= 1.0 for r in out)
+
+
+def made_up(spark, n=4000):
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 2] + rng.normal(0, 0.4, n) > 0.5).astype(float)
+    return spark.createDataFrame([(float(b), Vectors.dense(a.tolist()), float(1 + i % 3)) for i, (a, b) in enumerate(zip(x, y, strict=True))],
+                                 ["label", "features", "weight"])
+
+
+def test_machine_is_that_of_linear_svc_without_mapped_rows(spark, monkeypatch):
+    """Six machines in step, a pass for all of them; the first is ``LinearSVC``'s on the mapped rows."""
+    from pyspark.ml.classification import LinearSVC
+    df = made_up(spark)
+    m = K.NystromMap.fit(df, components=24)
+    mapped = m.transform(df, "features", "z").coalesce(1)
+    total = df.agg(F.sum("weight")).head()[0]
+    for most in (1, 6):
+        want = LinearSVC(featuresCol="z", labelCol="label", weightCol="weight", maxIter=most, regParam=1.0 / total).fit(mapped)
+        passes, summed = [], K._hinge
+
+        def counted(blocks, shared, u, offset, left_out, passes=passes, summed=summed):
+            passes.append(len(offset))
+            return summed(blocks, shared, u, offset, left_out)
+        with monkeypatch.context() as mp:
+            mp.setattr(K, "_hinge", counted)
+            mp.setattr(K.NystromMap, "transform", lambda *a, **k: pytest.fail("mapped rows"))
+            mp.setattr(K.minimised, "__defaults__", (most, 10, 1e-6))
+            got, _ = K.fit_machine(df, m, "features", "label")
+        assert max(passes) == K.FOLDS + 1 and len(passes) <= 20 * most + 1
+        assert np.allclose(got.coefficients, want.coefficients.toArray(), rtol=1e-6, atol=1e-8)
+        assert got.intercept == pytest.approx(want.intercept, rel=1e-6)
+
+
+def test_machines_in_step_equal_machines_alone(spark):
+    df = made_up(spark, 1500)
+    m = K.NystromMap.fit(df, components=12)
+    one = K.fit_machine(df, m, "features", "label", calibrate=False)[0]
+    six = K.fit_machine(df, m, "features", "label")[0]
+    x = np.stack([r["features"].toArray() for r in df.limit(200).collect()])
+    assert np.abs(one.margins(x) - six.margins(x)).max() < 0.05
+
+
+def test_fourier_map_fits(spark):
+    df = made_up(spark, 600).drop("weight")
+    out = TR.fit_model("svm", df, rff_components=16, kernel_map="fourier").predict(df).agg(F.min("probability_default"), F.max("probability_default")).head()
+    assert 0.0 <= out[0] < out[1] <= 1.0
