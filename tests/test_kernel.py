@@ -99,6 +99,25 @@ def test_machines_in_step_equal_machines_alone(spark):
     assert np.abs(one.margins(x) - six.margins(x)).max() < 0.05
 
 
+def test_first_gradient_of_the_intercept_is_the_exact_sum(spark, monkeypatch):
+    """Balanced classes: zero but for the rounding of the weights, whose sign steers the steps."""
+    from fractions import Fraction
+    df = TR.balanced_weights(made_up(spark, 3000).drop("weight"))
+    want = float(sum(Fraction(r["weight"]) * (-1 if r["label"] else 1) for r in df.select("label", "weight").collect()))
+    first, summed = [], K._hinge
+
+    def spied(*a):
+        out = summed(*a)
+        first.append(out[2][0])
+        return out
+    monkeypatch.setattr(K, "_hinge", spied)
+    monkeypatch.setattr(K.minimised, "__defaults__", (1, 10, 1e-6))
+    for parts in (1, 7):
+        first.clear()
+        K.fit_machine(df.repartition(parts), K.NystromMap.fit(df, components=8), "features", "label")
+        assert first[0] == pytest.approx(want, rel=1e-3, abs=1e-17)
+
+
 def test_fourier_map_fits(spark):
     df = made_up(spark, 600).drop("weight")
     out = TR.fit_model("svm", df, rff_components=16, kernel_map="fourier").predict(df).agg(F.min("probability_default"), F.max("probability_default")).head()
