@@ -89,3 +89,75 @@ def test_feature_importance_leaves_the_trees_in_their_tasks(spark, table, monkey
     got = q_models.feature_importance(spark, "/nowhere").orderBy("rank").collect()
     assert [r["feature"] for r in got] == [n for n, _ in want]
     assert [r["importance"] for r in got] == pytest.approx([v for _, v in want], rel=1e-9)
+
+
+def test_the_compared_models_are_fitted_at_once(spark, monkeypatch):
+    """Four fits meet at a barrier, which one after another would never pass."""
+    from threading import Barrier
+    from types import SimpleNamespace
+
+    from loanlens.plans import q_models
+    together = Barrier(4, timeout=60)
+
+    def metrics(fm, test):
+        return spark.createDataFrame([(fm, 0.5, 0.5, float(len(fm)), 0.5, 0.5)],
+                                     "model string, accuracy double, precision double, recall double, f1 double, roc_auc double")
+    monkeypatch.setattr(q_models, "prepare", lambda *a: SimpleNamespace(train=None, test=None))
+    monkeypatch.setattr(q_models, "input_stamp", lambda *a: "made up at once")
+    monkeypatch.setattr(q_models.TR, "fit_model", lambda kind, train: (together.wait(), kind)[1])
+    monkeypatch.setattr(q_models.TR, "test_metrics", metrics)
+    assert [r["model"] for r in q_models.model_comparison(spark, "/nowhere").collect()] == list(q_models.TR.MODELS)
+    assert q_models.best_model(spark, "/nowhere").head()["model"] == "forest"       # the longest name, then the first one
+
+
+def test_folds_of_all_models_are_fitted_at_once(spark, table, monkeypatch):
+    from threading import Barrier
+
+    from pyspark.sql import functions as F
+
+    from loanlens.operators import train as TR
+    together, fit, start = Barrier(2, timeout=60), TR.fit_model, TR.Training.start
+    waited = []
+
+    def logistic(*a, **k):
+        if not waited:
+            waited.append(1)
+            together.wait()
+        return fit(*a, **k)
+    monkeypatch.setattr(TR, "fit_model", logistic)
+    monkeypatch.setattr(TR.Training, "start", lambda *a, **k: (together.wait(), start(*a, **k))[1])
+    df = table.withColumn("fold", F.pmod("app_id", F.lit(2)))
+    rows = TR.cross_validate(df, ["logreg", "gbt"], 2, gbt_iter=2).collect()
+    assert [(r["model"], r["fold"]) for r in rows] == [("logreg", 0), ("logreg", 1), ("gbt", 0), ("gbt", 1)]
+
+
+def test_small_features_are_counted_together(monkeypatch):
+    """Nine of two bins and one of five: three joint counts, and the sums of counting each alone."""
+    rng = np.random.default_rng(3)
+    wide = np.array([2] * 5 + [30] + [2] * 4 + [5])
+    n = 4000
+    x = np.stack([rng.integers(0, w, n) for w in wide]).astype(np.uint8)
+    block = boosting.Scored(rng.integers(0, 2, n).astype(np.uint8), np.full(n, -1), np.arange(n).astype(np.uint64), x, rng.normal(size=(1, n)))
+
+    def evidence(b, fits):
+        return np.ones((1, n), bool), *boosting.derivatives(b.margin[fits], b.y, 2.5)
+    top, columns, counts, count = grow.Nodes.leaves(np.arange(1), None, np.zeros(1), np.zeros(1)), grow._columns(wide, None), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: (counts.append(1), count(*a, **k))[1])
+    got = grow._bin_sums(block, evidence, top, np.arange(1), columns)
+    together = len(counts)
+    monkeypatch.setattr(grow, "JOINT", 0)
+    want = grow._bin_sums(block, evidence, top, np.arange(1), columns)
+    assert (got == want).all() and together == 2 * 4 and len(counts) == 2 * (4 + 11)
+
+
+def test_a_single_boosting_fit_has_few_tasks(spark, table, monkeypatch):
+    monkeypatch.setattr(boosting, "PART", 1 << 8)
+    monkeypatch.setattr(boosting, "WIDE", 1 << 12)
+    monkeypatch.setattr(boosting, "PASSES", 1000)
+    monkeypatch.setattr("pyspark.SparkContext.defaultParallelism", 1)
+    parts = []
+    for fits in (1, 4):
+        t = boosting.Training.start(table, [boosting.Setting()] * fits, key="app_id")
+        parts.append(t.binned.parts)
+        t.close()
+    assert parts == [1, 3]
