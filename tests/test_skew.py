@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loanlens.operators import evaluate as EV
 from loanlens.operators.quantiles import quantiles_long
 from loanlens.operators.ranks import CUTS, cut_bucket, md5_bucket, md5_order_key, sketch_cuts, top_k
-from loanlens.operators.split import class_counts, stratified_split
+from loanlens.operators.split import class_counts, stratified_split, with_weights
 
 N = 30000
 
@@ -144,3 +144,15 @@ def test_split_of_many_and_null_classes(spark, monkeypatch, limit):
     whole = {r.split for r in S.stratified_split(df, "id", "c", test_size=0.0).collect()}
     assert whole == {"train"}
     assert S.stratified_split(df.limit(0), "id", "c").count() == 0
+
+
+def test_weights_leave_the_rows_of_a_class_in_their_tasks(spark, skewed):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")        # as for a table too large to be broadcast
+    try:
+        got = with_weights(skewed.repartition(6), "label")
+        tasks = got.groupBy("label", F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("w")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.label: round(r.w, 9) for r in tasks} == {0: 0.75, 1: 1.5}
+    assert max(r.n for r in tasks if r.label == 0) < N / 4
