@@ -122,3 +122,17 @@ def test_fourier_map_fits(spark):
     df = made_up(spark, 600).drop("weight")
     out = TR.fit_model("svm", df, rff_components=16, kernel_map="fourier").predict(df).agg(F.min("probability_default"), F.max("probability_default")).head()
     assert 0.0 <= out[0] < out[1] <= 1.0
+
+
+def test_kernel_is_exact_without_a_call_for_each_value(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 5)), rng.normal(size=(7, 5))
+    x[0], x[1], x[2, 0], x[3] = y[0], 1e3, np.nan, 1e100
+    want = np.exp(-0.3 * ((x[:, None, :] - y[None]) ** 2).sum(-1))
+    z = -np.concatenate([[0.0, 1e-17, 1e-9], rng.random(5000) * 40, rng.random(500) * 700])
+    exps = np.exp(z)
+    monkeypatch.setattr(np, "exp", lambda *a, **k: pytest.fail("numpy's exp"))
+    got = K.rbf(x, y, 0.3)
+    assert np.isnan(got[2]).all() and not np.isnan(np.delete(got, 2, 0)).any()
+    assert np.allclose(got, want, rtol=1e-12, atol=1e-300, equal_nan=True) and np.nanmax(got) <= 1.0
+    assert np.abs(K._exp(z) / exps - 1).max() < 1e-15
