@@ -161,3 +161,13 @@ def test_a_single_boosting_fit_has_few_tasks(spark, table, monkeypatch):
         parts.append(t.binned.parts)
         t.close()
     assert parts == [1, 3]
+
+
+def test_passes_have_as_many_tasks_on_every_core(spark, table):
+    """One task more than there are cores would leave all but one of them idle in the second half of each pass."""
+    cores = spark.sparkContext.defaultParallelism
+    assert [trees.even_tasks(p, 6) for p in (1, 6, 7, 9, 12, 13)] == [1, 6, 12, 12, 12, 18]
+    binned = trees.Binned.write(table, key="app_id", work=10_000, part=-(-3000 // (cores + 1)))
+    assert binned.parts > cores and binned.parts % cores == 0
+    assert sum(binned.blocks().map(lambda b: len(b.y)).collect()) == 3000
+    binned.delete()
