@@ -171,3 +171,18 @@ def test_passes_have_as_many_tasks_on_every_core(spark, table):
     assert binned.parts > cores and binned.parts % cores == 0
     assert sum(binned.blocks().map(lambda b: len(b.y)).collect()) == 3000
     binned.delete()
+
+
+def test_records_are_sent_with_a_bit_for_a_feature_of_two_bins(spark, table, monkeypatch):
+    rng = np.random.default_rng(2)
+    for bins in ([5, 2, 1, 32, *[2] * 28], [2, 2], [7, 3], [1]):
+        bins = np.array(bins)
+        x = rng.integers(0, bins, (50, len(bins))).astype(np.uint8)
+        sent = grow.squeezed(x, bins)
+        assert (grow.widened(sent, bins) == x).all() and (grow.widened(sent[:0], bins) == x[:0]).all()
+        assert sent.shape[1] == (bins > 2).sum() + -(-(bins <= 2).sum() // 8)
+    from loanlens.operators.forest import Forest, forest_importances
+    want = forest_importances(table, Forest(3, 6), key="app_id")
+    monkeypatch.setattr(grow, "squeezed", lambda x, bins: x)
+    monkeypatch.setattr(grow, "widened", lambda x, bins: x)
+    assert (forest_importances(table, Forest(3, 6), key="app_id") == want).all()
